@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import license_scan, mixing, secret_scan
+from tidewell.llm import html_text, license_scan, mixing, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices and texts of Dice 0.8 or more."""
     return license_scan.scan(_table(spark, sf_dir, "documents"))
@@ -30,7 +35,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op4_license_scan, op5_mix_sources, op9_secret_scan)}
+    return {q.__name__: q for q in (op3_html_text, op4_license_scan, op5_mix_sources, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
