@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
-MEMO = 1 << 18
+MEMO = 3 << 17
+#: Stretches of up to so many code points are searched in one window.
+SHORT = 64
 _CODECS: dict[str, PieceCodec] = {}
 
 
@@ -61,6 +63,13 @@ class PieceCodec:
         # no piece crosses the boundary before a mark or beside a character of no piece
         inside = any(MARK in p.lstrip(MARK) for p in self.cost)
         self.stretch = re.compile(r"(?s).+" if inside else rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n+" if "\n" not in "".join(self.cost) else rf"{MARK}*[^{MARK}]+|{MARK}+")
+        self.root: dict[str, list] = {}  # character -> [next characters, cost, id or -1]
+        for p, (price, i) in self.cost.items():
+            level, node = self.root, []
+            for character in p:
+                node = level.setdefault(character, [{}, 0.0, -1])
+                level = node[0]
+            node[1:] = price, i
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def stream(self, text: str) -> Iterator[list[int]]:
@@ -123,12 +132,42 @@ class PieceCodec:
             end = before
         return ids[::-1]
 
+    def _short(self, text: str) -> tuple[int, ...]:
+        """As ``stream``, for a text that fits in the window."""
+        n, root = len(text), self.root
+        best, back, piece = [1e300] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for at in range(n):
+            here, level, end = best[at], root, at
+            for character in text[at:]:
+                node = level.get(character)
+                if node is None:
+                    break
+                level, price, found = node
+                end += 1
+                if found >= 0 and here + price < best[end]:
+                    best[end], back[end], piece[end] = here + price, at, found
+            if text[at] not in root or root[text[at]][2] < 0:
+                price = self.byte_cost * len(text[at].encode())
+                if here + price < best[at + 1]:
+                    best[at + 1], back[at + 1], piece[at + 1] = here + price, at, -1
+        ids: list[int] = []
+        while n:
+            before = back[n]
+            if piece[n] >= 0:
+                ids.append(piece[n])
+            else:
+                ids.extend(self.byte_ids[b] for b in reversed(text[before:n].encode()))
+            n = before
+        return tuple(ids[::-1])
+
     def _stretch_ids(self, stretch: str) -> tuple[int, ...]:
-        ids = tuple(i for part in self.stream(stretch) for i in part)
+        if len(stretch) > SHORT:
+            return tuple(i for part in self.stream(stretch) for i in part)
+        ids = self._short(stretch)
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        if len(stretch) <= 64:
-            self.memo[stretch] = ids
+        self.memo[stretch] = ids
         return ids
 
     def encode_into(self, text: str, out: array) -> None:

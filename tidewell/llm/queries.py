@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import html_text, license_scan, mixing, secret_scan
+from tidewell.llm import html_text, license_scan, mixing, piece_codec, secret_scan
+
+#: The public tokenizer file that op8 uses where no other is named.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,13 +32,18 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_piece_codec(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    return piece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model_file).select("doc_id", "n_ids", "round_trip", "ids")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of the base patterns and of the Markov models."""
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op3_html_text, op4_license_scan, op5_mix_sources, op9_secret_scan)}
+    return {q.__name__: q for q in (op3_html_text, op4_license_scan, op5_mix_sources, op8_piece_codec, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
