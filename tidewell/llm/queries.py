@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import html_text, license_scan, mixing, piece_codec, secret_scan
+from tidewell.llm import html_text, license_scan, mixing, piece_codec, quality, secret_scan
 
 #: The public tokenizer file that op8 uses where no other is named.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -42,8 +42,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and language bands of 5-gram perplexity."""
+    return quality.assess(_table(spark, sf_dir, "documents")).drop("key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op3_html_text, op4_license_scan, op5_mix_sources, op8_piece_codec, op9_secret_scan)}
+    return {q.__name__: q for q in (op3_html_text, op4_license_scan, op5_mix_sources, op8_piece_codec, op9_secret_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -134,13 +134,13 @@ def window_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, hashes
 
 
-def distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, hash) pairs, ordered by row, then hash."""
-    if not len(rows):
-        return rows, hashes
-    order = np.argsort(hashes, kind="stable")
-    order = order[np.argsort(rows[order], kind="stable")]
-    rows, hashes = rows[order], hashes[order]
-    keep = np.ones(len(rows), dtype=bool)
-    keep[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
-    return rows[keep], hashes[keep]
+def distinct(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, hash) pairs, ordered by row, then hash; of a hash, the top bits that one
+    64-bit number leaves beside the row (50 or more in a slice)."""
+    bits = np.uint64(max(1, int(n_rows).bit_length()))
+    packed = (rows.astype(np.uint64) << (np.uint64(64) - bits)) | (hashes >> bits)
+    packed.sort()
+    keep = np.ones(len(packed), dtype=bool)
+    keep[1:] = packed[1:] != packed[:-1]
+    packed = packed[keep]
+    return (packed >> (np.uint64(64) - bits)).astype(np.int64), packed & ((np.uint64(1) << (np.uint64(64) - bits)) - np.uint64(1))
