@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import html_text, license_scan, mixing, piece_codec, quality, secret_scan
+from tidewell.llm import html_text, imatch, license_scan, mixing, piece_codec, quality, secret_scan
 
 #: The public tokenizer file that op8 uses where no other is named.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -32,6 +32,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every document and of its edited text."""
+    return imatch.with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
     return piece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model_file).select("doc_id", "n_ids", "round_trip", "ids")
@@ -48,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op3_html_text, op4_license_scan, op5_mix_sources, op8_piece_codec, op9_secret_scan, op10_quality_rules)}
+    return {q.__name__: q for q in (op3_html_text, op4_license_scan, op5_mix_sources, op6_imatch, op8_piece_codec, op9_secret_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
