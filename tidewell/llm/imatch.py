@@ -50,8 +50,8 @@ def document_frequencies(docs: DataFrame, lexicon_bits: int) -> DataFrame:
         for batch in batches:
             for _, part in tk.slices(tk.as_string_array(batch.column("text"))):
                 words = tk.Words(part, lower=True)
-                _, entry = tk.distinct(words.row, (words.hash >> shift) << shift, len(part))
-                np.add.at(total, entry >> (shift - np.uint64(max(1, len(part).bit_length()))), 1)
+                _, entry = tk.distinct(words.row, (words.hash >> shift) << shift)
+                np.add.at(total, entry >> np.uint64(tk.TOKEN_BITS - lexicon_bits), 1)
         entry = np.flatnonzero(total).astype(np.int32)
         for at in range(0, len(entry), 1 << 17):
             own = entry[at : at + (1 << 17)]
@@ -83,16 +83,14 @@ def subset_hashes(column: pa.Array, bits: np.ndarray, lexicon_bits: int) -> np.n
     words = tk.Words(column, lower=True)
     entry = (words.hash >> np.uint64(64 - lexicon_bits)).astype(np.int64)
     inside = (bits[entry >> 5] >> (entry & 31).astype(np.uint32)) & np.uint32(1) == 1
-    row, term = tk.distinct(words.row[inside], words.hash[inside], n)
+    row, term = tk.distinct(words.row[inside], words.hash[inside])
     few = np.bincount(row, minlength=n) < LEAST_TERMS
     if few.any():
         every = few[words.row]
-        more = tk.distinct(words.row[every], words.hash[every], n)
+        more = tk.distinct(words.row[every], words.hash[every])
         stay = ~few[row]
         row, term = np.concatenate([row[stay], more[0]]), np.concatenate([term[stay], more[1]])
-    # the rows of a slice differ in number, so that only what every slice has of a hash counts
-    bits_lost = np.uint64(max(1, n.bit_length()))
-    term = tk.mix((term << bits_lost) >> np.uint64(32))
+    term = tk.mix(term)
     out = np.zeros((n, len(GROUPS), SUBSETS), dtype=np.uint32)
     for level, groups in enumerate(GROUPS):
         h = tk.mix(term + np.uint64(0x9E3779B97F4A7C15 * (level + 1) & (2**64 - 1)))

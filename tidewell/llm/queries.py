@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import html_text, imatch, license_scan, mixing, piece_codec, quality, secret_scan
+from tidewell.llm import html_text, imatch, license_scan, mixing, ngram_jaccard, piece_codec, quality, secret_scan
 
 #: The public tokenizer file that op8 uses where no other is named.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with Jaccard similarity 0.85 or more on 4-word shingles."""
+    return ngram_jaccard.similar(_table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(_table(spark, sf_dir, "pages"))
@@ -53,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op3_html_text, op4_license_scan, op5_mix_sources, op6_imatch, op8_piece_codec, op9_secret_scan, op10_quality_rules)}
+    return {q.__name__: q for q in (op1_ngram_jaccard, op3_html_text, op4_license_scan, op5_mix_sources, op6_imatch, op8_piece_codec, op9_secret_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

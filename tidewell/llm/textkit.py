@@ -17,8 +17,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POW: dict[str, np.ndarray] = {}
 
-#: Bytes of text that are handled at a time; bounds the arrays of a task.
-SLICE_BYTES = 1 << 20
+#: Bytes of text and rows that are handled at a time; they bound the arrays of a task.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 13
+#: Bits of a hash that are kept beside the row of a slice in one 64-bit number.
+TOKEN_BITS = 50
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +67,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
     _, offsets = raw(column)
     at, n = 0, len(column)
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1), at + SLICE_ROWS)
         yield at, column.slice(at, to - at)
         at = to
 
@@ -134,13 +136,20 @@ def window_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, hashes
 
 
-def distinct(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, hash) pairs, ordered by row, then hash; of a hash, the top bits that one
-    64-bit number leaves beside the row (50 or more in a slice)."""
-    bits = np.uint64(max(1, int(n_rows).bit_length()))
-    packed = (rows.astype(np.uint64) << (np.uint64(64) - bits)) | (hashes >> bits)
+def distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, token) pairs of a slice, ordered by row, then token; a token is the top
+    ``TOKEN_BITS`` bits of a hash."""
+    packed = (rows.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (hashes >> np.uint64(64 - TOKEN_BITS))
     packed.sort()
     keep = np.ones(len(packed), dtype=bool)
     keep[1:] = packed[1:] != packed[:-1]
     packed = packed[keep]
-    return (packed >> (np.uint64(64) - bits)).astype(np.int64), packed & ((np.uint64(1) << (np.uint64(64) - bits)) - np.uint64(1))
+    return (packed >> np.uint64(TOKEN_BITS)).astype(np.int64), packed & np.uint64((1 << TOKEN_BITS) - 1)
+
+
+def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums (modulo 2**64) of consecutive segments of the given lengths."""
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values, out=total[1:])
+    end = np.cumsum(counts)
+    return total[end] - total[end - counts]
