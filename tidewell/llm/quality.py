@@ -231,18 +231,21 @@ def _keyed(lang: str, size: int, gram: np.ndarray) -> np.ndarray:
 class Model:
     """Log-probabilities of n-grams and gaps of contexts, as sorted hash arrays."""
 
-    def __init__(self, table: pa.Table):
-        langs, sizes = np.array(table["lang"].to_pylist(), dtype=object), table["size"].to_numpy()
-        gram, logp, gap = (table[c].to_numpy() for c in ("gram", "logp", "gap"))
+    def __init__(self, table: DataFrame):
         keys, values, context_keys, context_values = [], [], [], []
-        for lang in sorted(set(langs)):
-            for size in range(1, ORDER + 1):
-                own = np.flatnonzero((langs == lang) & (sizes == size))
-                keys.append(_keyed(lang, size, gram[own]))
-                values.append(logp[own])
-                context, first = np.unique(gram[own] >> BITS, return_index=True)
+        for size in range(1, ORDER + 1):  # one after the other, as the driver's memory is small
+            own = table.filter(F.col("size") == size).select("lang", "gram", F.col("logp").cast("float"), F.col("gap").cast("float")).toArrow().combine_chunks()
+            langs = own["lang"].combine_chunks().dictionary_encode()
+            gram, logp, gap = (own[c].to_numpy() for c in ("gram", "logp", "gap"))
+            code = langs.indices.to_numpy()
+            del own
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                rows = np.flatnonzero(code == i)
+                keys.append(_keyed(lang, size, gram[rows]))
+                values.append(logp[rows])
+                context, first = np.unique(gram[rows] >> BITS, return_index=True)
                 context_keys.append(_keyed(lang, size, context))
-                context_values.append(gap[own][first])
+                context_values.append(gap[rows][first])
         self.logp = HashArrays(np.concatenate(keys), np.concatenate(values))
         self.gap = HashArrays(np.concatenate(context_keys), np.concatenate(context_values))
 
@@ -283,7 +286,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def scores(docs: DataFrame, most_entries: int = 6_000_000) -> DataFrame:
+def scores(docs: DataFrame, most_entries: int = 4_000_000) -> DataFrame:
     """Per document: its metrics and ``score``, its log-perplexity per word."""
     spark: SparkSession = docs.sparkSession
     model = written(train(written(count_grams(docs), "grams")), "model")
@@ -292,7 +295,7 @@ def scores(docs: DataFrame, most_entries: int = 6_000_000) -> DataFrame:
     schema = f"doc_id {id_type}, lang string, key long, " + ", ".join(f"{m} long" for m in METRICS) + ", score double"
     entries = model.count()
     if 0 < entries <= most_entries:
-        shared = spark.sparkContext.broadcast(Model(model.toArrow()))  # at most 24 bytes an entry
+        shared = spark.sparkContext.broadcast(Model(model))  # at most 24 bytes an entry
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _pieces(batches):
@@ -326,7 +329,7 @@ def scores(docs: DataFrame, most_entries: int = 6_000_000) -> DataFrame:
     return rows.mapInArrow(plain, schema).drop("score").join(mean, ["lang", "key"], "left").withColumn("score", F.coalesce(F.col("total") / F.greatest("n_words", F.lit(1)), F.lit(0.0))).drop("total")
 
 
-def assess(docs: DataFrame, *, reach: float = 2.5, floor: float = 0.25, most_entries: int = 6_000_000) -> DataFrame:
+def assess(docs: DataFrame, *, reach: float = 2.5, floor: float = 0.25, most_entries: int = 4_000_000) -> DataFrame:
     """Per document: the metrics, ``base_failed``, ``perplexity``, its band and ``kept``."""
     scored = written(scores(docs, most_entries), "scores").withColumn("length", F.floor(F.log2(F.greatest("n_words", F.lit(1)))))
     steps = scored.select("lang", "length", F.col("score").alias("exact")).distinct().groupBy("lang", "length", F.round("exact", 3).alias("step")).agg(F.count(F.lit(1)).alias("times"))
