@@ -6,9 +6,9 @@ template by ``2 * shared / (a + b)`` over the sets of word bigrams, where ``a``
 the sizes of the sets.  As that is at most ``2 * min(a, b) / (a + b)``, a template is a
 candidate only for units whose size is in [b * t / (2 - t), b * (2 - t) / t] for threshold t.
 
-A second bound prunes whole documents and loses nothing either: a match shares more than
+A second bound prunes units and loses nothing either: a match shares more than
 b * t / (2 - t) bigrams of the template, so it can't miss every word of a set of words that
-touches the rest of them; documents without any such word are left out by substring search.
+touches the rest of them; units without any such word are left out before bigrams are made.
 
 Only DataFrame functions are used, and rows are handled by themselves: no shuffle.
 
@@ -73,10 +73,7 @@ def scan(docs: DataFrame, *, threshold: float = 0.8, templates: dict[str, str] =
     bounds = {name: (len(g) * threshold / (2 - threshold), len(g) * (2 - threshold) / threshold) for name, g in grams.items()}
     needed = sorted(set().union(*(required_words(g, threshold) for g in grams.values())))
     text = _lowered(F.coalesce("text", F.lit("")))
-    hit = F.lit(False)
-    for word in needed:
-        hit = hit | F.contains(F.col("_text"), F.lit(word))
-    likely = docs.select("doc_id", text.alias("_text")).filter(hit)
+    lowered = docs.select("doc_id", text.alias("_text"))
     paragraphs = F.split(F.col("_text"), r"\n[\x20\x09-\x0D]*\n")
     units = F.concat(
         F.transform(F.split(F.col("_text"), "\n"), lambda u: F.struct(F.lit("line").alias("kind"), u.alias("unit"))),
@@ -84,20 +81,15 @@ def scan(docs: DataFrame, *, threshold: float = 0.8, templates: dict[str, str] =
         F.when((F.size(paragraphs) > 1), F.array(F.struct(F.lit("whole").alias("kind"), F.col("_text").alias("unit")))).otherwise(F.array().cast("array<struct<kind:string,unit:string>>")),
     )
     smallest, largest = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
-    words = F.regexp_extract_all("unit", F.lit("[a-z0-9]+"), F.lit(0))
-    in_unit = F.lit(False)
-    for word in needed:
-        in_unit = in_unit | F.contains(F.col("unit"), F.lit(word))
-    sized = (
-        likely.select("doc_id", F.explode(units).alias("u"))
-        .select("doc_id", F.col("u.unit").alias("unit"))
-        .filter(in_unit)
-        .withColumn("words", words)
-        .filter(F.size("words") > smallest)
-        .withColumn("bigrams", F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))))
-        .withColumn("n", F.size("bigrams"))
-        .filter((F.col("n") >= smallest) & (F.col("n") <= largest))
-    )
+    every = F.array(*(F.lit(g) for g in sorted({g for own in grams.values() for g in own})))
+    required = F.array(*(F.lit(w) for w in needed))
+    # one chain of array functions up to explode, so that each step is computed once
+    words = F.filter(F.transform(units, lambda u: F.regexp_extract_all(u["unit"], F.lit("[a-z0-9]+"), F.lit(0))), lambda w: (F.size(w) > smallest) & F.arrays_overlap(w, required))
+    bigrams = F.transform(words, lambda w: F.array_distinct(F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda v, i: F.concat_ws(" ", F.get(w, i), v))))
+    shared = F.transform(bigrams, lambda g: F.struct(F.size(g).alias("n"), F.array_intersect(g, every).alias("bigrams")))
+    likely = F.filter(shared, lambda h: (h["n"] >= smallest) & (h["n"] <= largest) & (F.size(h["bigrams"]) >= smallest))
+    # the outer form, as for the other Spark would compute the chain once more to test for rows
+    sized = lowered.select("doc_id", F.explode_outer(likely).alias("u")).filter("u is not null").select("doc_id", "u.n", "u.bigrams")
     compared = F.array(
         *(
             F.struct(
