@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from tidewell.llm import html_text, imatch, license_scan, mixing, ngram_jaccard, piece_codec, quality, secret_scan
+from tidewell.llm import html_text, imatch, license_scan, mixing, ngram_jaccard, piece_codec, quality, secret_scan, toxicity
 
 #: The public tokenizer file that op8 uses where no other is named.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -22,6 +23,13 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.similar(_table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document: grade 0 not toxic, 1 toxic, 2 toxic and of low quality."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    grade = F.col("toxic") * (2 - F.col("quality"))
+    return toxicity.score(docs, toxicity.train(docs, labels, grade, grades=3))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(_table(spark, sf_dir, "pages"))
@@ -58,7 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_ngram_jaccard, op3_html_text, op4_license_scan, op5_mix_sources, op6_imatch, op8_piece_codec, op9_secret_scan, op10_quality_rules)}
+    return {q.__name__: q for q in (op1_ngram_jaccard, op2_toxicity, op3_html_text, op4_license_scan, op5_mix_sources, op6_imatch, op8_piece_codec, op9_secret_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -73,18 +73,24 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
 
 
 class Words:
-    """Words of a slice of rows: byte bounds, hash and owning row of each, in order."""
+    """Words of a slice of rows: byte bounds, hash and owning row of each, in order.
+
+    With ``letters``, words are runs of ASCII letters and of bytes beyond ASCII instead.
+    """
 
     __slots__ = ("bytes", "count", "end", "first", "hash", "offsets", "row", "start")
 
-    def __init__(self, column: pa.Array, lower: bool = False, hashed: bool = True):
+    def __init__(self, column: pa.Array, lower: bool = False, letters: bool = False):
         data, offsets = raw(column)
         if lower and len(data):
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         self.bytes, self.offsets = data, offsets
         n = len(data)
         inside = np.ones(n + 1, dtype=bool)
-        inside[:n] = (data > 32) | (data < 9) | ((data > 13) & (data < 32))
+        if letters:
+            inside[:n] = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128)
+        else:
+            inside[:n] = (data > 32) | (data < 9) | ((data > 13) & (data < 32))
         inside[n] = False
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
@@ -100,7 +106,7 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)  # of each row, and the total
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(len(self.count)), self.count)
-        self.hash = word_hashes(data, self.start, self.end) if hashed else np.zeros(0, np.uint64)
+        self.hash = word_hashes(data, self.start, self.end)
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
