@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from tidewell.llm import html_text, imatch, license_scan, mixing, ngram_jaccard, piece_codec, quality, secret_scan, toxicity
+from tidewell.llm import html_text, imatch, license_scan, mixing, ngram_jaccard, passage_chains, piece_codec, quality, secret_scan, toxicity
 
 #: The public tokenizer file that op8 uses where no other is named.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -50,6 +50,11 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op7_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has as well, exactly or nearly."""
+    return passage_chains.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
     return piece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model_file).select("doc_id", "n_ids", "round_trip", "ids")
@@ -66,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_ngram_jaccard, op2_toxicity, op3_html_text, op4_license_scan, op5_mix_sources, op6_imatch, op8_piece_codec, op9_secret_scan, op10_quality_rules)}
+    return {q.__name__: q for q in (op1_ngram_jaccard, op2_toxicity, op3_html_text, op4_license_scan, op5_mix_sources, op6_imatch, op7_passage_chains, op8_piece_codec, op9_secret_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
