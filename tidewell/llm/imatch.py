@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import textkit as tk
+from tidewell.llm.bitfield import packed_bits, tested
 
 SUBSETS = 32
 GROUPS = (32, 128, 512, 2048)
@@ -65,16 +66,7 @@ def lexicon(docs: DataFrame, lexicon_bits: int, band: tuple[float, float]) -> np
     total = docs.count()
     scale = float(np.log(max(total, 2)))
     idf = F.log(F.lit(float(max(total, 1))) / F.col("n")) / scale
-    words = (
-        document_frequencies(docs, lexicon_bits)
-        .filter(idf.between(*band))
-        .groupBy(F.shiftright("entry", 5).alias("word"))
-        .agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("entry").bitwiseAND(F.lit(31)))).alias("bits"))
-        .toArrow()
-    )
-    bits = np.zeros(1 << (lexicon_bits - 5), dtype=np.uint32)
-    bits[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return bits
+    return packed_bits(document_frequencies(docs, lexicon_bits).filter(idf.between(*band)), F.col("entry"), lexicon_bits)
 
 
 def subset_hashes(column: pa.Array, bits: np.ndarray, lexicon_bits: int) -> np.ndarray:
@@ -82,7 +74,7 @@ def subset_hashes(column: pa.Array, bits: np.ndarray, lexicon_bits: int) -> np.n
     n = len(column)
     words = tk.Words(column, lower=True)
     entry = (words.hash >> np.uint64(64 - lexicon_bits)).astype(np.int64)
-    inside = (bits[entry >> 5] >> (entry & 31).astype(np.uint32)) & np.uint32(1) == 1
+    inside = tested(bits, entry)
     row, term = tk.distinct(words.row[inside], words.hash[inside])
     few = np.bincount(row, minlength=n) < LEAST_TERMS
     if few.any():

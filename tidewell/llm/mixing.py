@@ -150,3 +150,18 @@ def mix_sources(
         F.when(F.col("size") > 0, F.col("passes") * F.col("size") + part_of).otherwise(F.lit(0)).cast("long").alias("taken"),
         F.when(F.col("size") > 0, F.col("passes") + chosen(middle).cast("long")).otherwise(F.lit(0)).cast("long").alias("copies"),
     )
+
+
+def mixed(docs: DataFrame, **options: float) -> DataFrame:
+    """The mix of whole documents: each row ``copies`` times, with its own columns.
+
+    A document of no words is in no block of tokens, so the mix doesn't hold it.
+    """
+    columns = docs.columns
+    key = [F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size")]
+    # rows that are equal in all of these get their copies in turn
+    turn = Window.partitionBy("_id", "_source", "_size").orderBy("_order")
+    taken = mix_sources(docs, **options).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", F.col("copies").alias("_order")).withColumn("_turn", F.row_number().over(turn)).filter("copies > 0").drop("_order")
+    rows = docs.select("*", *key, F.xxhash64("text").alias("_order")).withColumn("_turn", F.row_number().over(turn)).drop("_order")
+    chosen = rows.join(taken, (rows["_id"] == taken["_id"]) & rows["_source"].eqNullSafe(taken["_source"]) & (rows["_size"] == taken["_size"]) & (rows["_turn"] == taken["_turn"]))
+    return chosen.select(*(rows[c] for c in columns), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")

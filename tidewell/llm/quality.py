@@ -6,7 +6,7 @@ smoothed probabilities of orders 1 to 5 are Spark aggregations over the summed t
 is gathered grows with the input (every task adds the n-grams it met).  The model is stored
 as sorted arrays of 64-bit hashes with their values; they are broadcast only if the counted
 size of the model is at most ``most_entries``, and beyond it, documents are scored by a join
-with the model table.
+with the model table (so are bands, a few for each language).
 
 A character is its code point below 3072, or else one of 1023 classes, so that a 5-gram is a
 60-bit number; class 0 pads the start of a text.
@@ -28,8 +28,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm import textkit as tk
 from tidewell.llm.store import written
@@ -39,6 +40,8 @@ CLASSES = 1 << BITS
 PLAIN = 3072
 #: Distinct n-grams that a counting task holds before it passes them on.
 HELD = 3 << 20
+#: Entries of a model, and bands, up to which they are broadcast.
+MOST_ENTRIES, MOST_BANDS = 4_000_000, 100_000
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WHITE = " \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"  # fixed values
@@ -168,7 +171,7 @@ def _discounts(table: DataFrame) -> DataFrame:
     of = table.groupBy("lang").agg(*(have(c).alias(f"n{c}") for c in (1, 2, 3, 4)))
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
-    def discount(k: int) -> F.Column:
+    def discount(k: int) -> Column:
         value = F.when((F.col(f"n{k}") > 0) & (F.col("n1") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))
         return F.coalesce(F.when((value > 0) & (value < k), value), F.lit(k / 2)).alias(f"d{k}")
 
@@ -264,7 +267,7 @@ class Model:
         return out
 
 
-def _score_rows(batch: pa.RecordBatch, model: Model | None) -> pa.RecordBatch:
+def _score_rows(batch: pa.RecordBatch, model: Model | None) -> list[pa.Array]:
     """The metrics of each row and, by ``model``, its log-perplexity per word."""
     found = {m: np.zeros(batch.num_rows, dtype=np.int64) for m in METRICS}
     mean = np.zeros(batch.num_rows)
@@ -277,7 +280,7 @@ def _score_rows(batch: pa.RecordBatch, model: Model | None) -> pa.RecordBatch:
             np.cumsum(model.score(lang, gram), out=total[1:])
             end = np.cumsum(count)
             mean[rows] = (total[end] - total[end - count]) / np.maximum(found["n_words"][rows], 1)
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("key"), *(pa.array(found[m]) for m in METRICS), pa.array(-mean)], names=["doc_id", "lang", "key", *METRICS, "score"])
+    return [*(pa.array(found[m]) for m in METRICS), pa.array(-mean)]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -286,70 +289,77 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def scores(docs: DataFrame, most_entries: int = 4_000_000) -> DataFrame:
-    """Per document: its metrics and ``score``, its log-perplexity per word."""
-    spark: SparkSession = docs.sparkSession
-    model = written(train(written(count_grams(docs), "grams")), "model")
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("key"), "text")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, lang string, key long, " + ", ".join(f"{m} long" for m in METRICS) + ", score double"
-    entries = model.count()
-    if 0 < entries <= most_entries:
-        shared = spark.sparkContext.broadcast(Model(model))  # at most 24 bytes an entry
+class Scorer:
+    """The model of a corpus, and the scores of its documents by it."""
+
+    def __init__(self, docs: DataFrame, most_entries: int):
+        spark: SparkSession = docs.sparkSession
+        self.table = written(train(written(count_grams(docs), "grams")), "model")
+        entries = self.table.count()
+        self.shared = spark.sparkContext.broadcast(Model(self.table)) if 0 < entries <= most_entries else None  # at most 24 bytes an entry
+
+    def scored(self, docs: DataFrame, keep: list[str]) -> DataFrame:
+        """Columns ``keep`` of each document, ``_lang`` (never null), ``_key``, its metrics and ``score``."""
+        shared, fixed = self.shared, [*keep, "_lang", "_key"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _pieces(batches):
-                yield _score_rows(batch, shared.value)
-
-        return rows.mapInArrow(run, schema)
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            yield _score_rows(batch, None)
-
-    def own_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches, 64):
-            for lang, at, part in _by_lang(batch):
-                gram, count = grams(part)
-                row = np.repeat(at, count)
-                order = np.lexsort((gram, row))
-                row, gram = row[order], gram[order]
-                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])))[: len(row)]
-                key = batch.column("key").take(pa.array(row[first]))
-                yield pa.RecordBatch.from_arrays([key, pa.array([lang] * len(first), pa.string()), pa.array(gram[first].astype(np.int64)), pa.array(np.diff(np.append(first, len(row))))], names=["key", "lang", "gram", "n"])
-
-    # one row of each text and language is scored; the rest get its score
-    once = rows.dropDuplicates(["lang", "key"])
-    mean = (
-        once.mapInArrow(own_grams, "key long, lang string, gram long, n long")
-        .join(model.filter(F.col("size") == ORDER).select("lang", "gram", "logp"), ["lang", "gram"])
-        .groupBy("lang", "key")
-        .agg((-F.sum(F.col("n") * F.col("logp"))).alias("total"))
-    )
-    return rows.mapInArrow(plain, schema).drop("score").join(mean, ["lang", "key"], "left").withColumn("score", F.coalesce(F.col("total") / F.greatest("n_words", F.lit(1)), F.lit(0.0))).drop("total")
-
-
-def assess(docs: DataFrame, *, reach: float = 2.5, floor: float = 0.25, most_entries: int = 4_000_000) -> DataFrame:
-    """Per document: the metrics, ``base_failed``, ``perplexity``, its band and ``kept``."""
-    scored = written(scores(docs, most_entries), "scores").withColumn("length", F.floor(F.log2(F.greatest("n_words", F.lit(1)))))
-    steps = scored.select("lang", "length", F.col("score").alias("exact")).distinct().groupBy("lang", "length", F.round("exact", 3).alias("step")).agg(F.count(F.lit(1)).alias("times"))
+                own = pa.RecordBatch.from_arrays([batch.column("_lang"), batch.column("_text")], names=["lang", "text"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fixed), *_score_rows(own, shared.value if shared else None)], names=[*fixed, *METRICS, "score"])
+
+        rows = docs.select(*keep, F.coalesce("lang", F.lit("")).alias("_lang"), F.xxhash64("text").alias("_key"), F.col("text").alias("_text"))
+        schema = T.StructType([*(rows.schema[c] for c in fixed), *(T.StructField(m, T.LongType()) for m in METRICS), T.StructField("score", T.DoubleType())])
+        found = rows.mapInArrow(run, schema)
+        if shared:
+            return found
+        total = F.coalesce(F.col("_total") / F.greatest("n_words", F.lit(1)), F.lit(0.0))
+        return found.drop("score").join(self._joined(rows), ["_lang", "_key"], "left").withColumn("score", total).drop("_total")
+
+    def _joined(self, rows: DataFrame) -> DataFrame:
+        """(_lang, _key, _total) by a join with the model table; one row of each text is scored."""
+
+        def own_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _pieces(batches, 64):
+                own = pa.RecordBatch.from_arrays([batch.column("_lang"), batch.column("_text")], names=["lang", "text"])
+                for lang, at, part in _by_lang(own):
+                    gram, count = grams(part)
+                    row = np.repeat(at, count)
+                    order = np.lexsort((gram, row))
+                    row, gram = row[order], gram[order]
+                    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])))[: len(row)]
+                    key = batch.column("_key").take(pa.array(row[first]))
+                    yield pa.RecordBatch.from_arrays([key, pa.array([lang] * len(first), pa.string()), pa.array(gram[first].astype(np.int64)), pa.array(np.diff(np.append(first, len(row))))], names=["_key", "_lang", "gram", "n"])
+
+        longest = self.table.filter(F.col("size") == ORDER).select(F.col("lang").alias("_lang"), "gram", "logp")
+        once = rows.select("_lang", "_key", "_text").dropDuplicates(["_lang", "_key"])
+        return once.mapInArrow(own_grams, "_key long, _lang string, gram long, n long").join(longest, ["_lang", "gram"]).groupBy("_lang", "_key").agg((-F.sum(F.col("n") * F.col("logp"))).alias("_total"))
+
+
+def _length() -> Column:
+    return F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1))))
+
+
+def _banded(scored: DataFrame, narrow: DataFrame, reach: float, floor: float) -> DataFrame:
+    """Adds ``lower``, ``upper``, ``base_failed`` and ``kept`` to ``scored``, by the bands of ``narrow``."""
+    steps = narrow.select("_lang", _length().alias("_length"), F.col("score").alias("exact")).distinct().groupBy("_lang", "_length", F.round("exact", 3).alias("step")).agg(F.count(F.lit(1)).alias("times"))
     quartiles = F.expr("percentile(step, array(0.25D, 0.75D), times)")
     spread = F.greatest(F.lit(floor), reach * (F.col("q")[1] - F.col("q")[0]))
-    bands = steps.groupBy("lang", "length").agg(quartiles.alias("q")).select("lang", "length", (F.col("q")[0] - spread).alias("lower"), (F.col("q")[1] + spread).alias("upper"))
+    bands = written(steps.groupBy("_lang", "_length").agg(quartiles.alias("q")).select("_lang", "_length", (F.col("q")[0] - spread).alias("lower"), (F.col("q")[1] + spread).alias("upper")), "bands")
+    if bands.count() <= MOST_BANDS:
+        bands = F.broadcast(bands)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return scored.join(bands, ["lang", "length"], "left").select(
-        "doc_id",
-        *METRICS,
-        failed.alias("base_failed"),
-        (~failed & F.coalesce(F.col("score").between(F.col("lower"), F.col("upper")), F.lit(False))).alias("kept"),
-        F.exp("score").alias("perplexity"),
-        F.exp("lower").alias("band_lower"),
-        F.exp("upper").alias("band_upper"),
-        "key",
-    )
-
-
-def keep_good(docs: DataFrame, **options: float) -> DataFrame:
-    """The documents that pass."""
-    good = assess(docs, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
+    inside = F.coalesce(F.col("score").between(F.col("lower"), F.col("upper")), F.lit(False))
+    return scored.withColumn("_length", _length()).join(bands, ["_lang", "_length"], "left").withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
+
+
+def assess(docs: DataFrame, *, reach: float = 2.5, floor: float = 0.25, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """Per document: the metrics, ``base_failed``, ``kept``, its perplexity and band."""
+    scored = written(Scorer(docs, most_entries).scored(docs, ["doc_id"]), "scores")
+    return _banded(scored, scored, reach, floor).select("doc_id", *METRICS, "base_failed", "kept", F.exp("score").alias("perplexity"), F.exp("lower").alias("band_lower"), F.exp("upper").alias("band_upper"))
+
+
+def keep_good(docs: DataFrame, *, reach: float = 2.5, floor: float = 0.25, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """The documents that pass; they are scored once more for it, as that moves no text."""
+    scorer = Scorer(docs, most_entries)
+    narrow = written(scorer.scored(docs, []), "scores")
+    return _banded(scorer.scored(docs, docs.columns), narrow, reach, floor).filter("kept").select(*docs.columns)
