@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 24
 
@@ -37,8 +38,8 @@ def tested(field: np.ndarray, entry: np.ndarray) -> np.ndarray:
 
 
 def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Adds ``maybe``: false for rows of ``df`` whose ``key`` (long, not null) is surely not in ``keys``."""
-    field = df.sparkSession.sparkContext.broadcast(packed_bits(keys, F.pmod(F.col(key), F.lit(1 << BITS)), BITS))
+    """Adds ``maybe``: false for rows of ``df`` whose ``key`` (long, not null) is surely not in the last column of ``keys``."""
+    field = df.sparkSession.sparkContext.broadcast(packed_bits(keys, F.pmod(F.col(keys.columns[-1]), F.lit(1 << BITS)), BITS))
     place = df.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,8 +47,6 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
             found = tested(field.value, batch.column(place).to_numpy() & ((1 << BITS) - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "maybe"])
 
-    from pyspark.sql import types as T
-
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("maybe", T.BooleanType())]))
 
 
@@ -64,5 +63,5 @@ def packed_texts(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
                 blobs = [packer.compress((t or "").encode()) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(blobs, pa.binary())], names=[key, "blob"])
 
-    likely = maybe_in(docs.select(key, "text"), key, keys).filter("maybe").select(key, "text")
+    likely = maybe_in(docs.select(key, "text"), key, keys.select(key)).filter("maybe").select(key, "text")
     return likely.mapInArrow(run, f"{key} long, blob binary").join(keys.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.min("blob").alias("blob"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.store import written
+from tidewell.llm.store import Carried, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Modulus and multipliers of the seeded order of documents.
@@ -157,11 +157,12 @@ def mixed(docs: DataFrame, **options: float) -> DataFrame:
 
     A document of no words is in no block of tokens, so the mix doesn't hold it.
     """
-    columns = docs.columns
-    key = [F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size")]
+    carried = Carried(docs)
+    own = carried.frame.select("*", F.coalesce(carried.of("doc_id"), F.lit(-1)).alias("id"), F.col(carried.of("source")).alias("of"), word_count(F.col(carried.of("text"))).alias("size"))
+    mix = mix_sources(docs, **options).select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("source").alias("of"), "size", "copies")
     # rows that are equal in all of these get their copies in turn
-    turn = Window.partitionBy("_id", "_source", "_size").orderBy("_order")
-    taken = mix_sources(docs, **options).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", F.col("copies").alias("_order")).withColumn("_turn", F.row_number().over(turn)).filter("copies > 0").drop("_order")
-    rows = docs.select("*", *key, F.xxhash64("text").alias("_order")).withColumn("_turn", F.row_number().over(turn)).drop("_order")
-    chosen = rows.join(taken, (rows["_id"] == taken["_id"]) & rows["_source"].eqNullSafe(taken["_source"]) & (rows["_size"] == taken["_size"]) & (rows["_turn"] == taken["_turn"]))
-    return chosen.select(*(rows[c] for c in columns), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    turn = Window.partitionBy("id", "of", "size")
+    own = own.withColumn("turn", F.row_number().over(turn.orderBy(F.xxhash64(carried.of("text"))))).alias("own")
+    mix = mix.withColumn("turn", F.row_number().over(turn.orderBy("copies"))).filter("copies > 0").alias("mix")
+    same = (F.col("own.id") == F.col("mix.id")) & F.col("own.of").eqNullSafe(F.col("mix.of")) & (F.col("own.size") == F.col("mix.size")) & (F.col("own.turn") == F.col("mix.turn"))
+    return carried.back(own.join(mix, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))

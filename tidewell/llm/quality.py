@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm import textkit as tk
-from tidewell.llm.store import written
+from tidewell.llm.store import Carried, written
 
 ORDER, BITS = 5, 12
 CLASSES = 1 << BITS
@@ -298,22 +298,23 @@ class Scorer:
         entries = self.table.count()
         self.shared = spark.sparkContext.broadcast(Model(self.table)) if 0 < entries <= most_entries else None  # at most 24 bytes an entry
 
-    def scored(self, docs: DataFrame, keep: list[str]) -> DataFrame:
+    def scored(self, docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
         """Columns ``keep`` of each document, ``_lang`` (never null), ``_key``, its metrics and ``score``."""
         shared, fixed = self.shared, [*keep, "_lang", "_key"]
+        body = text if text in keep else "_text"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _pieces(batches):
-                own = pa.RecordBatch.from_arrays([batch.column("_lang"), batch.column("_text")], names=["lang", "text"])
+                own = pa.RecordBatch.from_arrays([batch.column("_lang"), batch.column(body)], names=["lang", "text"])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fixed), *_score_rows(own, shared.value if shared else None)], names=[*fixed, *METRICS, "score"])
 
-        rows = docs.select(*keep, F.coalesce("lang", F.lit("")).alias("_lang"), F.xxhash64("text").alias("_key"), F.col("text").alias("_text"))
+        rows = docs.select(*keep, F.coalesce(lang, F.lit("")).alias("_lang"), F.xxhash64(text).alias("_key"), *([] if text in keep else [F.col(text).alias("_text")]))
         schema = T.StructType([*(rows.schema[c] for c in fixed), *(T.StructField(m, T.LongType()) for m in METRICS), T.StructField("score", T.DoubleType())])
         found = rows.mapInArrow(run, schema)
         if shared:
             return found
         total = F.coalesce(F.col("_total") / F.greatest("n_words", F.lit(1)), F.lit(0.0))
-        return found.drop("score").join(self._joined(rows), ["_lang", "_key"], "left").withColumn("score", total).drop("_total")
+        return found.drop("score").join(self._joined(rows.withColumnRenamed(body, "_text")), ["_lang", "_key"], "left").withColumn("score", total).drop("_total")
 
     def _joined(self, rows: DataFrame) -> DataFrame:
         """(_lang, _key, _total) by a join with the model table; one row of each text is scored."""
@@ -362,4 +363,6 @@ def keep_good(docs: DataFrame, *, reach: float = 2.5, floor: float = 0.25, most_
     """The documents that pass; they are scored once more for it, as that moves no text."""
     scorer = Scorer(docs, most_entries)
     narrow = written(scorer.scored(docs, []), "scores")
-    return _banded(scorer.scored(docs, docs.columns), narrow, reach, floor).filter("kept").select(*docs.columns)
+    carried = Carried(docs)
+    scored = scorer.scored(carried.frame, carried.kept, carried.of("text"), carried.of("lang"))
+    return carried.back(_banded(scored, narrow, reach, floor).filter("kept"))

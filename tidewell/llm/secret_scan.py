@@ -22,6 +22,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.store import Carried
+
 # fixed values: the patterns of the base kinds
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # AKIA[A-Z0-9]+ of 16 or more characters
@@ -146,7 +148,7 @@ def scan(docs: DataFrame, **options: float) -> DataFrame:
 
 def redact(docs: DataFrame, *, mask: str = "[SECRET]", **options: float) -> DataFrame:
     """The documents, with each secret's span replaced by ``mask``; nothing else changes."""
-    columns = docs.columns
+    carried = Carried(docs)
     state = F.aggregate(
         F.col("spans"),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -156,5 +158,6 @@ def redact(docs: DataFrame, *, mask: str = "[SECRET]", **options: float) -> Data
         ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
     )
     rest = lambda s: F.concat(s["out"], F.call_function("substring", F.col("text"), s["at"] + 1, F.length("text")))
-    cleaned = with_spans(docs, train(docs), **options).withColumn("text", F.when(F.size("spans") > 0, rest(state)).otherwise(F.col("text")))
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else cleaned.select(*columns)
+    spans = with_spans(carried.frame.withColumnRenamed(carried.of("text"), "text"), train(docs), **options)
+    cleaned = spans.withColumn(carried.of("text"), F.when(F.size("spans") > 0, rest(state)).otherwise(F.col("text")))
+    return carried.back(cleaned, n_chars=F.length(carried.of("text")).cast("long"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
@@ -26,3 +27,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tidewell-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Carried:
+    """A table under neutral column names, so that its columns clash with no working column."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.kept = [f"_c{i}" for i in range(len(self.names))]
+        self.frame = df.toDF(*self.kept)
+
+    def of(self, name: str) -> str:
+        """The neutral name of a column."""
+        return self.kept[self.names.index(name)]
+
+    def back(self, df: DataFrame, **changed: Column) -> DataFrame:
+        """The table's own columns and names, some with other values."""
+        return df.select(*(changed.get(n, F.col(c)).alias(n) for n, c in zip(self.names, self.kept, strict=True)))
