@@ -52,16 +52,19 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 
 def packed_texts(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """(key, blob): a compressed text for each of ``keys``, of the rows of ``docs`` (key, text)."""
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << BITS))
+    field = docs.sparkSession.sparkContext.broadcast(packed_bits(keys, slot, BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                blobs = [packer.compress((t or "").encode()) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(blobs, pa.binary())], names=[key, "blob"])
-
-    likely = maybe_in(docs.select(key, "text"), key, keys.select(key)).filter("maybe").select(key, "text")
-    return likely.mapInArrow(run, f"{key} long, blob binary").join(keys.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.min("blob").alias("blob"))
+            rows = np.flatnonzero(tested(field.value, batch.column("slot").to_numpy()))
+            for at in range(0, len(rows), 512):
+                own = pa.array(rows[at : at + 512])
+                blobs = [packer.compress((t or "").encode()) for t in batch.column("text").take(own).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(own), pa.array(blobs, pa.binary())], names=[key, "blob"])
+
+    found = docs.select(key, "text", slot.alias("slot")).mapInArrow(run, f"{key} long, blob binary")
+    return found.join(keys.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.min("blob").alias("blob"))

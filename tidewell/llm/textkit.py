@@ -18,7 +18,7 @@ _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POW: dict[str, np.ndarray] = {}
 
 #: Bytes of text and rows that are handled at a time; they bound the arrays of a task.
-SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 13
+SLICE_BYTES, SLICE_ROWS = 1 << 19, 1 << 13
 #: Bits of a hash that are kept beside the row of a slice in one 64-bit number.
 TOKEN_BITS = 50
 

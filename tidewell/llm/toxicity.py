@@ -71,7 +71,7 @@ def row_features(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, *, grades: int, penalty: float, most_features: int, rounds: int = 300) -> OrdinalModel:
     """The model of (row, feature) pairs and a grade for each row."""
     n = len(grade)
-    level = np.clip(np.cumsum(np.bincount(grade, minlength=grades))[:-1] / max(n, 1), 1e-4, 1 - 1e-4)
+    level = np.clip(np.cumsum(np.bincount(grade, minlength=grades))[:-1] / n if n else np.ones(grades - 1), 1e-4, 1 - 1e-4)
     thresholds = np.maximum.accumulate(np.log(level / (1 - level)) + 1e-6 * np.arange(grades - 1))
     empty = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), thresholds)
     if not n or len(np.unique(grade)) < 2:
