@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import normalised
+from tidewell.operators.ranking import top_per_group
+from tidewell.operators.time import asof_join, interval_join, sessions
 from tidewell.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +48,174 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE r_regionkey = 2 AND c_nationkey = s_nationkey AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1999-01-01'
+GROUP BY n_name""")
+def nation_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue of suppliers by nation of one region, from customers of the same nation.
+
+    The two small dimension tables are fixed in size; the others are left to the optimizer.
+    """
+    orders = table(spark, sf_dir, "orders").filter((F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz")))
+    nations = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region").filter("r_regionkey = 2")), F.col("n_regionkey") == F.col("r_regionkey"))
+    suppliers = table(spark, sf_dir, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"))
+    return (
+        table(spark, sf_dir, "lineitem")
+        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, sf_dir, "customer"), (F.col("o_custkey") == F.col("c_custkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+        .groupBy("n_name")
+        .agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    )
+
+
+@query("""
+SELECT c_custkey, c_name, c_acctbal FROM customer
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2000-01-01')""")
+def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers who ordered nothing since 2000."""
+    late = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))
+    return table(spark, sf_dir, "customer").join(late, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) * 2 + grouping(l_linestatus) AS BIGINT) AS level, sum(l_quantity) AS sum_qty, count(*) AS n
+FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+def quantity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities by return flag and line status, with subtotals."""
+    return (
+        table(spark, sf_dir, "lineitem")
+        .rollup("l_returnflag", "l_linestatus")
+        .agg(F.grouping_id().cast("long").alias("level"), F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n"))
+        .select("l_returnflag", "l_linestatus", "level", "sum_qty", "n")
+    )
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY event_type")
+def distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by type of event."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
+
+
+@query("""
+SELECT p_brand, p_partkey, p_retailprice, rank FROM (
+  SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 3""")
+def dearest_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three dearest parts of each brand."""
+    return top_per_group(table(spark, sf_dir, "part"), ["p_brand"], [F.col("p_retailprice").desc(), F.col("p_partkey")], 3).select("p_brand", "p_partkey", "p_retailprice", "rank")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def largest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred largest orders: a top-k report."""
+    return table(spark, sf_dir, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(100).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("""
+SELECT c_nationkey AS nationkey, 'customer' AS only_in FROM (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900 EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)
+UNION ALL
+SELECT c_nationkey, 'both' FROM (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)""")
+def nation_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of rich customers, and those of rich suppliers as well."""
+    rich = table(spark, sf_dir, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("nationkey"))
+    suppliers = table(spark, sf_dir, "supplier").filter("s_acctbal > 9000").select(F.col("s_nationkey").alias("nationkey"))
+    return rich.subtract(suppliers).withColumn("only_in", F.lit("customer")).unionByName(rich.intersect(suppliers).withColumn("only_in", F.lit("both")))
+
+
+@query("""
+SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in daily windows."""
+    return table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("""
+WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL '1 hour' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY user_id, session""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users with an hour's gap."""
+    return sessions(table(spark, sf_dir, "events"), key="user_id", time="ts", gap="1 hour")
+
+
+@query("""
+SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING), 6) AS moving_avg,
+       value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS change FROM events""")
+def moving_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moving average of five events and the change from the one before."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.round(F.avg("value").over(order.rowsBetween(-4, 0)), 6).alias("moving_avg"), (F.col("value") - F.lag("value").over(order)).alias("change"))
+
+
+@query("""
+SELECT p.event_id, p.user_id, v.event_id AS before_event_id FROM events p JOIN events v ON v.user_id = p.user_id
+  AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL '6 hours' WHERE p.event_type = 'purchase' AND v.event_type = 'view'""")
+def views_before_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of a user in the six hours before each of the user's purchases."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    pairs = interval_join(events.filter("event_type = 'purchase'"), events.filter("event_type = 'view'"), key="user_id", time="ts", seconds=6 * 3600)
+    return pairs.select("event_id", "user_id", "before_event_id")
+
+
+@query("""
+SELECT p.event_id, p.user_id, v.event_id AS asof_event_id, v.value AS asof_value
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the user's last view before it."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    joined = asof_join(events.filter("event_type = 'purchase'"), events.filter("event_type = 'view'"), key="user_id", time="ts", order="event_id", values=["event_id", "value"])
+    return joined.select("event_id", "user_id", "asof_event_id", "asof_value")
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
+def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by a field of their JSON properties."""
+    return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT md5(trim(regexp_replace(lower(text), '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1""")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document of each normalised text, and its copies."""
+    return table(spark, sf_dir, "documents").groupBy(F.md5(normalised(F.col("text"))).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("""
+SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars, quantile_cont(n_chars, 0.5) AS median_chars FROM documents GROUP BY ALL""")
+def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and characters by language and source."""
+    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.percentile("n_chars", F.lit(0.5)).alias("median_chars"))
+
+
+@query("""
+SELECT lang, count(*) AS n, count(l.doc_id) AS labelled, round(avg(toxic), 6) AS toxic_rate, round(avg(quality), 6) AS quality_rate
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang""")
+def label_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label rates by language."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "labelled_id")
+    joined = docs.join(labels, F.col("doc_id") == F.col("labelled_id"), "left")
+    return joined.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("labelled_id").alias("labelled"), F.round(F.avg("toxic"), 6).alias("toxic_rate"), F.round(F.avg("quality"), 6).alias("quality_rate"))
+
+
+@query("""
+SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations put together in order of turns."""
+    said = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_join(F.transform(said, lambda s: s["line"]), "\n").alias("transcript"))
+
+
+@query("""
+SELECT user_id, max(CASE WHEN event_type = 'view' THEN n END) AS view, max(CASE WHEN event_type = 'purchase' THEN n END) AS purchase
+FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id""")
+def event_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and purchases of each user, in columns."""
+    return table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["view", "purchase"]).agg(F.count(F.lit(1)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
