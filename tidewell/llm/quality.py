@@ -353,13 +353,13 @@ def _banded(scored: DataFrame, narrow: DataFrame, reach: float, floor: float) ->
     return scored.withColumn("_length", _length()).join(bands, ["_lang", "_length"], "left").withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
 
 
-def assess(docs: DataFrame, *, reach: float = 2.5, floor: float = 0.25, most_entries: int = MOST_ENTRIES) -> DataFrame:
+def assess(docs: DataFrame, *, reach: float = 3.0, floor: float = 0.25, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """Per document: the metrics, ``base_failed``, ``kept``, its perplexity and band."""
     scored = written(Scorer(docs, most_entries).scored(docs, ["doc_id"]), "scores")
     return _banded(scored, scored, reach, floor).select("doc_id", *METRICS, "base_failed", "kept", F.exp("score").alias("perplexity"), F.exp("lower").alias("band_lower"), F.exp("upper").alias("band_upper"))
 
 
-def keep_good(docs: DataFrame, *, reach: float = 2.5, floor: float = 0.25, most_entries: int = MOST_ENTRIES) -> DataFrame:
+def keep_good(docs: DataFrame, *, reach: float = 3.0, floor: float = 0.25, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """The documents that pass; they are scored once more for it, as that moves no text."""
     scorer = Scorer(docs, most_entries)
     narrow = written(scorer.scored(docs, []), "scores")
