@@ -166,3 +166,37 @@ def mixed(docs: DataFrame, **options: float) -> DataFrame:
     mix = mix.withColumn("turn", F.row_number().over(turn.orderBy("copies"))).filter("copies > 0").alias("mix")
     same = (F.col("own.id") == F.col("mix.id")) & F.col("own.of").eqNullSafe(F.col("mix.of")) & (F.col("own.size") == F.col("mix.size")) & (F.col("own.turn") == F.col("mix.turn"))
     return carried.back(own.join(mix, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
+
+
+def oracle(weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shard_tokens: int = 1 << 20, most_block_tokens: int = 2048, seed: int = 20240229) -> str:
+    """DuckDB SQL of the same mix, where all quotients are ranked."""
+    primes, order = list(BLOCK_PRIMES), f"((coalesce(doc_id, -1) % {PRIME} + {PRIME}) % {PRIME})"
+    return f"""
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS ix FROM sized GROUP BY source),
+weighed AS (SELECT *, {list(weights)}[(ix - 1) % {len(weights)} + 1]::DOUBLE AS weight, source_size * {cap}::DOUBLE AS most, (sum(source_size) OVER ())::DOUBLE * {share} AS budget FROM totals),
+levels AS (SELECT *, (budget - coalesce(sum(most) OVER b, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0)) AS level FROM weighed
+           WINDOW b AS (ORDER BY most / weight, ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+first_fit AS (SELECT level AS fit FROM levels WHERE level * weight <= most ORDER BY most / weight, ix LIMIT 1),
+targets AS (SELECT source, ix, source_size, budget, least(most, coalesce((SELECT fit FROM first_fit) * weight, most)) AS target FROM levels),
+blocked AS (SELECT *, greatest(1, least({most_block_tokens}, coalesce(floor((min(CASE WHEN target > 0 THEN target END) OVER ()) / 1000), 1)))::BIGINT AS block FROM targets),
+seats AS (SELECT ix, count(*) AS quota FROM (
+    SELECT ix, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, ix, k) AS place, round(budget / block)::BIGINT AS seats
+    FROM (SELECT *, unnest(range(1, 2 * ceil(target / block)::BIGINT + 4)) AS k FROM blocked WHERE target > 0)) WHERE place <= seats GROUP BY ix),
+placed AS (SELECT s.*, b.ix, b.source_size, b.target, b.block, coalesce(q.quota, 0) AS source_quota,
+                  (({order} * {SHARD_FACTOR} + {seed}) % {PRIME}) % greatest(1, ceil(b.source_size / {shard_tokens})::BIGINT) AS shard,
+                  ({order} * {ORDER_FACTOR} + {seed}) % {PRIME} AS turn
+           FROM sized s JOIN blocked b ON s.source IS NOT DISTINCT FROM b.source LEFT JOIN seats q ON q.ix = b.ix),
+shards AS (SELECT ix, shard, sum(size)::BIGINT AS words, any_value(source_quota) AS source_quota, any_value(block) AS block FROM placed GROUP BY ix, shard),
+won AS (SELECT ix, shard, count(*) AS quota FROM (
+    SELECT ix, shard, source_quota, row_number() OVER (PARTITION BY ix ORDER BY words / (2 * k - 1) DESC, shard, k) AS place
+    FROM (SELECT *, unnest(range(1, 2 * ceil(2.0 * words / block)::BIGINT + 8)) AS k FROM shards WHERE words > 0)) WHERE place <= source_quota GROUP BY ix, shard),
+cut AS (SELECT s.ix, s.shard, blocks, least(coalesce(quota, 0), floor({cap} * blocks)::BIGINT) AS quota
+        FROM (SELECT *, greatest(1, ceil(words / block)::BIGINT) AS blocks FROM shards) s LEFT JOIN won ON won.ix = s.ix AND won.shard = s.shard),
+ends AS (SELECT *, sum(size) OVER (PARTITION BY ix, shard ORDER BY turn, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT AS last FROM placed)
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN size > 0 THEN quota // blocks * size + list_sum([
+            CASE WHEN ((k + {seed} + e.shard) * {primes}[(e.shard + e.ix) % {len(primes)} + 1]) % blocks < quota % blocks
+                 THEN least(last, (k + 1) * block) - greatest(last - size, k * block) ELSE 0 END
+            FOR k IN range((last - size) // block, (last - 1) // block + 1)]) ELSE 0 END)::BIGINT AS taken
+FROM ends e JOIN cut c ON c.ix = e.ix AND c.shard = e.shard"""

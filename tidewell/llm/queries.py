@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": license_scan.oracle()}
+    return {"op4_license_scan": license_scan.oracle(), "op5_mix_sources": mixing.oracle()}
