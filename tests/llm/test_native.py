@@ -141,3 +141,19 @@ def test_markov_spans_and_redaction(spark):
     assert clean[1000].text == "see [SECRET] there" and clean[1000].n_chars == 18
     assert clean[1001].text == "many_house_windows_by_river_2 and [SECRET] too"
     assert clean[1002].text is None and clean[5].text == prose[5][1]
+
+
+@pytest.mark.parametrize("name", ["op4_license_scan", "op5_mix_sources"])
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    from tidewell.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    found = queries.queries()[name](spark, folder)
+    columns = sorted(found.columns)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    expected = db.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    plain = lambda r: tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r)
+    assert sorted(map(plain, found.select(*columns).collect())) == sorted(map(plain, expected))
