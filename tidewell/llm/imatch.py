@@ -49,7 +49,7 @@ def document_frequencies(docs: DataFrame, lexicon_bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << lexicon_bits, dtype=np.int32)
         for batch in batches:
-            for _, part in tk.slices(tk.as_string_array(batch.column("text"))):
+            for _, part in tk.slices(batch.column("text")):
                 words = tk.Words(part, lower=True)
                 _, entry = tk.distinct(words.row, (words.hash >> shift) << shift)
                 np.add.at(total, entry >> np.uint64(tk.TOKEN_BITS - lexicon_bits), 1)
@@ -128,7 +128,7 @@ def fingerprints(docs: DataFrame, *, band: tuple[float, float] = (0.2, 0.95), le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in tk.slices(tk.as_string_array(batch.column("text"))):
+            for at, part in tk.slices(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), as_strings(subset_hashes(part, shared.value, lexicon_bits))], names=["doc_id", "fingerprint"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")

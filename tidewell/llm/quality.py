@@ -132,7 +132,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
     """(language, rows, their texts) of a batch, in slices."""
     langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-    texts = tk.as_string_array(batch.column("text"))
+    texts = batch.column("text")
     for lang in sorted(set(langs)):
         rows = np.flatnonzero(langs == lang)
         for at, part in tk.slices(texts.take(pa.array(rows))):

@@ -43,32 +43,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def as_string_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """One large_string array; nulls become empty strings."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
-            column = pa.concat_arrays(column.chunks)
-    return column.cast(pa.large_string()).fill_null("")
-
-
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and row offsets (from 0) of a large_string array."""
+    """UTF-8 bytes and row offsets (from 0) of a string array; nulls must be of length 0."""
     n = len(column)
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
     _, offset_buffer, data = column.buffers()
-    offsets = np.frombuffer(offset_buffer, dtype=np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    offsets = np.frombuffer(offset_buffer, dtype=wide)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
     if data is None or offsets[-1] == offsets[0]:
         return np.zeros(0, np.uint8), offsets - offsets[0]
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, part) pieces of about ``most`` bytes; a longer row is a piece of its own."""
+    """(first row, part) pieces of about ``most`` bytes, nulls as empty strings; a longer row is a piece of its own."""
     _, offsets = raw(column)
     at, n = 0, len(column)
     while at < n:
         to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1), at + SLICE_ROWS)
-        yield at, column.slice(at, to - at)
+        yield at, column.slice(at, to - at).fill_null("")
         at = to
 
 

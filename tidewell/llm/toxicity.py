@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, *, grades: int, sam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in tk.slices(tk.as_string_array(batch.column("text"))):
+            for at, part in tk.slices(batch.column("text")):
                 row, feature = row_features(part)
                 ends = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("grade").slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int64)))], names=["grade", "features"])
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: OrdinalModel, *, least: float = 0.3) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for at, part in tk.slices(tk.as_string_array(batch.column("text"))):
+            for at, part in tk.slices(batch.column("text")):
                 rows, hashes = occurrences(part)
                 total = np.zeros(len(part))
                 if len(own.features):
