@@ -59,8 +59,10 @@ def packed_texts(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=1)
+        met: set[int] = set()  # copies of a text leave a task once
         for batch in batches:
-            rows = np.flatnonzero(tested(field.value, batch.column("slot").to_numpy()))
+            named = batch.column(key).to_pylist()
+            rows = [r for r in np.flatnonzero(tested(field.value, batch.column("slot").to_numpy())).tolist() if not (named[r] in met or met.add(named[r]))]
             for at in range(0, len(rows), 512):
                 own = pa.array(rows[at : at + 512])
                 blobs = [packer.compress((t or "").encode()) for t in batch.column("text").take(own).to_pylist()]

@@ -249,6 +249,7 @@ class Model:
                 context, first = np.unique(gram[rows] >> BITS, return_index=True)
                 context_keys.append(_keyed(lang, size, context))
                 context_values.append(gap[rows][first])
+            pa.default_memory_pool().release_unused()
         self.logp = HashArrays(np.concatenate(keys), np.concatenate(values))
         self.gap = HashArrays(np.concatenate(context_keys), np.concatenate(context_values))
 
