@@ -98,6 +98,20 @@ def test_jaccard_components(spark, k, percent):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for i, c in expected.items()})
 
 
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_lengthened_and_cut(spark, k, percent):
+    rng = random.Random(23)
+    rows = []
+    for base in range(64):  # a text and one version of it with words added or cut off; the first 40 times
+        text = [f"b{base}x{rng.randrange(10**6)}" for _ in range(110)]
+        rows += [(len(rows) + i, " ".join(text)) for i in range(1 if base else 40)]
+        n = 110 * (7 + base % 16) // 100
+        rows.append((len(rows), " ".join(text[:-n] if base % 32 < 16 else text + [f"a{rng.randrange(10**6)}" for _ in range(n)])))
+    expected, sizes = expected_components(rows, k, percent)
+    found = ngram_jaccard.similar(docs(spark, rows), k=k, percent=percent).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in found} == {i: (c, sizes[i]) for i, c in expected.items()}
+
+
 def test_jaccard_empty_and_null_ids(spark):
     assert ngram_jaccard.similar(docs(spark, []), k=4, percent=85).collect() == []
     found = ngram_jaccard.similar(docs(spark, [(None, "a b c d e"), (4, "a b c d e"), (None, "q r s t u")]), k=4, percent=85).collect()
