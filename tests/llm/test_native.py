@@ -143,6 +143,22 @@ def test_markov_spans_and_redaction(spark):
     assert clean[1002].text is None and clean[5].text == prose[5][1]
 
 
+def test_markov_spans_within_paths_and_short(spark):
+    plain = "abcdefghijklmnopqrstuvwxyz/_-"
+    ratios = [-3.0 if a in plain and b in plain else 1.2 for a in secret_scan.ALPHABET for b in secret_scan.ALPHABET]
+    key, other, path = "Kx9fQ2mZ7pLr4TbW8vYc1NdG", "Zq7RwX3nJ9tHk2VbP5yMcL8s", "/services/hooks/incoming/the/people/near/the/river/"
+    at, n = len(path), len(key)
+    cases = [
+        (f"see {path}{key} there", [(4 + at, 3, 4 + at + n)]),
+        (f"see {key[:16]} there", [(4, 3, 20)]),
+        (f"{path}{key}{path}{other}/doors", [(at, 3, at + n), (2 * at + n, 3, 2 * at + 2 * n)]),
+        (f"{path}2 many_house_windows_2 here", []),
+        (f"see {key} there", [(4, 3, 4 + n)]),
+    ]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.with_spans(docs(spark, [(i, t, "a") for i, (t, _) in enumerate(cases)]), ratios).collect()}
+    assert got == {i: spans for i, (_, spans) in enumerate(cases)}
+
+
 @pytest.mark.parametrize("name", ["op4_license_scan", "op5_mix_sources"])
 def test_query_equals_sql(spark, name):
     import duckdb

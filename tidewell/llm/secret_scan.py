@@ -4,7 +4,8 @@ Two first-order character models are trained from labelled samples: random strin
 of document ids, in base 64 and in hexadecimal) and ordinary identifiers (words of a bounded,
 seeded sample of documents: ``sample_docs`` in expectation).  A run of identifier characters
 is a secret if the log-likelihood ratio of its character pairs, random over ordinary, is high
-in total and per character.  Only DataFrame functions are used; the model is at most 66 x 66
+in total and per character; of other runs, each stretch of which that holds is one, widened to
+the next of ``/``, ``_`` and ``-``, so ordinary parts of a path don't hide a token.  Only DataFrame functions are used; the model is at most 66 x 66
 ratios, whatever the input.
 
 Kinds and their fixed patterns are ``assign``, ``access`` and ``hex``; the models add
@@ -32,6 +33,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 RUN = r"[A-Za-z0-9+/_-]"
+PART = r"[A-Za-z0-9+]*"  # what lies between two separators of a run
 
 
 def _pairs(strings: DataFrame, label: int) -> DataFrame:
@@ -92,16 +94,51 @@ def _of_kind(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def _score(value: Column, ratios: Column) -> Column:
+def _scores(value: Column, ratios: Column) -> Column:
+    """The log ratio of each adjacent pair of characters."""
     place = lambda i: F.call_function("instr", F.lit(ALPHABET), F.call_function("substring", value, i, F.lit(1)))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(value) - 1),
-        F.lit(0.0),
-        lambda total, i: total + F.element_at(ratios, ((place(i) - 1) * F.lit(len(ALPHABET)) + place(i + 1)).cast("int")),
-    )
+    return F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.element_at(ratios, ((place(i) - 1) * F.lit(len(ALPHABET)) + place(i + 1)).cast("int")))
+
+
+def _stretches(scores: Column, least_ratio: float) -> Column:
+    """(start, end, total) in a run: stretches of best total, of ``least_ratio`` or more.
+
+    A stretch ends at its best total, once the total is down to 0 or by ``least_ratio`` from
+    the best; as the total is then the least so far, nothing better starts before.
+    """
+    none = F.array().cast("array<struct<start:int,end:int,total:double>>")
+    closing = lambda acc: F.when(acc["best"] >= least_ratio, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"), acc["best"].alias("total"))))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        total = acc["total"] + x
+        closed = (total <= 0) | (acc["best"] - total >= least_ratio)
+        better = ~closed & (total > acc["best"])
+        return F.struct(
+            (acc["at"] + 1).alias("at"),
+            F.when(closed, acc["at"] + 1).otherwise(acc["start"]).alias("start"),
+            F.when(closed, 0.0).otherwise(total).alias("total"),
+            F.when(closed, 0.0).when(better, total).otherwise(acc["best"]).alias("best"),
+            F.when(better, acc["at"] + 2).otherwise(acc["end"]).alias("end"),
+            F.when(closed, closing(acc)).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.aggregate(scores, F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"), F.lit(0).alias("end"), none.alias("out")), step, closing)
+
+
+def _merged(spans: Column) -> Column:
+    """Spans that overlap become one."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    span = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")))
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        joined = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), span(last["start"], F.greatest(last["end"], s["end"])))
+        return F.when((F.size(out) > 0) & (s["start"] < last["end"]), joined).otherwise(F.concat(out, span(s["start"], s["end"])))
+
+    return F.aggregate(F.array_sort(spans), none, step)
 
 
-def with_spans(docs: DataFrame, ratios: list[float], *, least_run: int = 20, least_ratio: float = 15.0, least_per_char: float = 0.6) -> DataFrame:
+def with_spans(docs: DataFrame, ratios: list[float], *, least_run: int = 16, least_ratio: float = 15.0, least_per_char: float = 0.6) -> DataFrame:
     """Adds ``base`` and ``spans``: arrays of (start, kind, end), by start, then kind."""
     text = F.coalesce("text", F.lit(""))
     run = RUN + "{%d,}" % least_run
@@ -118,11 +155,27 @@ def with_spans(docs: DataFrame, ratios: list[float], *, least_run: int = 20, lea
     assign = F.transform(F.filter(placed, lambda z: z["size"] >= 8), lambda z: z["at"])
     scored = F.arrays_zip(_located(text, F.col("_runs")).alias("at"), F.col("_runs").alias("value"))
     looks_mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    unlikely = lambda v: (_score(v, table) >= least_ratio) & (_score(v, table) >= least_per_char * F.length(v))
     based = found.withColumn("base", F.array_sort(F.concat(_of_kind(assign, 0), _of_kind(_located(text, F.col("_access")), 1), _of_kind(_located(text, F.col("_hex")), 2))))
-    apart = lambda z: ~F.exists(F.col("base"), lambda b: (b["start"] < z["at"]["end"]) & (z["at"]["start"] < b["end"]))
+    apart = lambda z: ~F.exists(F.col("base"), lambda b: (b["start"] < z["end"]) & (z["start"] < b["end"]))
     mixed = F.exists("_runs", looks_mixed)
-    more = F.transform(F.filter(F.filter(F.filter(scored, lambda z: looks_mixed(z["value"])), apart), lambda z: unlikely(z["value"])), lambda z: z["at"])
+    runs = F.transform(F.filter(scored, lambda z: looks_mixed(z["value"])), lambda z: F.struct(z["at"]["start"].alias("start"), z["value"].alias("value"), _scores(z["value"], table).alias("scores")))
+
+    def widened(z: Column, t: Column) -> Column:
+        piece = F.call_function("substring", z["value"], t["start"] + 1, t["end"] - t["start"])
+        start, end = t["start"] + F.length(F.regexp_extract(piece, "^[/_-]*", 0)), t["end"] - F.length(F.regexp_extract(piece, "[/_-]*$", 0))
+        before, after = F.call_function("substring", z["value"], F.lit(1), start), F.call_function("substring", z["value"], end + 1, F.length(z["value"]))
+        left, right = F.length(F.regexp_extract(before, PART + "$", 0)), F.length(F.regexp_extract(after, "^" + PART, 0))
+        return F.struct((start - left).alias("start"), (end + right).alias("end"))
+
+    def of_run(z: Column) -> Column:
+        total, size = F.aggregate(z["scores"], F.lit(0.0), lambda t, x: t + x), F.length(z["value"])
+        inside = F.filter(_stretches(z["scores"], least_ratio), lambda t: t["total"] >= least_per_char * (t["end"] - t["start"]))
+        long_ = F.filter(_merged(F.transform(inside, lambda t: widened(z, t))), lambda t: (t["end"] - t["start"] >= least_run) & looks_mixed(F.call_function("substring", z["value"], t["start"] + 1, t["end"] - t["start"])))
+        whole = F.array(F.struct(F.lit(0).alias("start"), size.alias("end")))
+        spans = F.when((total >= least_ratio) & (total >= least_per_char * size), whole).otherwise(long_)
+        return F.transform(spans, lambda t: F.struct((z["start"] + t["start"]).alias("start"), (z["start"] + t["end"]).alias("end")))
+
+    more = F.filter(F.flatten(F.transform(runs, of_run)), apart)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return based.withColumn("spans", F.array_sort(F.concat("base", F.when(mixed, _of_kind(more, 3)).otherwise(none)))).drop("_assign", "_access", "_hex", "_runs")
 
