@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidewell.llm import html_text, imatch, ngram_jaccard, passage_chains, piece_codec, quality, textkit, toxicity
+from tidewell.llm import html_text, imatch, ngram_jaccard, passage_chains, piece_codec, textkit, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, score double, key string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -286,67 +286,6 @@ def test_encode_documents(spark):
     assert piece_codec.encode(docs(spark, []), MODEL).collect() == []
 
 
-# --- quality ------------------------------------------------------------------------------
-
-
-def expected_counts(text):
-    text = text or ""
-    w = WORD.findall(text)
-    windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-    covered = {j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
-    seen, again = set(), 0
-    for line in text.split("\n"):
-        if WORD.search(line):
-            again += line in seen
-            seen.add(line)
-    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), again, len(covered)
-
-
-def quality_rows():
-    rng = random.Random(29)
-    rows = [(i, prose(rng, 80 + i % 90)) for i in range(260)]
-    rows += [(500, "w1 w2 w3 w4 w5 w6\nw1 w2 w3 w4 w5 w6\n\n \n" + prose(rng, 60)), (501, "a b a b a b a b a b a b"), (502, "é日本 # $ | <b>  x " * 3)]
-    return rows + [(600, " ".join("".join(rng.choice("qxzjkv#@") for _ in range(9)) for _ in range(120)))] + odd_rows()
-
-
-@pytest.mark.parametrize("most_entries", [4_000_000, 1])
-def test_quality(spark, most_entries):
-    rows = quality_rows()
-    found = {r.doc_id: r for r in quality.assess(docs(spark, rows), most_entries=most_entries).collect()}
-    for i, text in rows:
-        r = found[i]
-        counts = expected_counts(text)
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts, i
-        assert r.base_failed == (counts[0] < 10 or 100 * counts[4] > 20 * counts[0])
-        assert not (r.base_failed and r.kept)
-    assert [i for i in range(260) if found[i].kept == found[i].base_failed] == [] and not found[600].kept
-    frame = docs(spark, rows)
-    kept = quality.keep_good(frame, most_entries=most_entries)
-    assert kept.columns == frame.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in found.items() if r.kept)
-
-
-def test_both_ways_of_scoring_agree(spark):
-    rows = quality_rows()
-    one, other = ({r.doc_id: r.perplexity for r in quality.assess(docs(spark, rows), most_entries=m).collect()} for m in (4_000_000, 1))
-    assert one == pytest.approx(other, rel=1e-4)
-
-
-def test_kneser_ney_sums_to_one(spark):
-    counts = quality.count_grams(docs(spark, [(i, t) for i, t in quality_rows() if i < 40]))
-    table = quality.train(counts)
-    model = quality.Model(table)
-    grams = [r.gram for r in counts.select("gram").distinct().limit(5).collect()]
-    for gram in grams:
-        every = np.array([(gram >> 12 << 12 & (1 << 60) - 1) | c for c in range(quality.CLASSES)], dtype=np.uint64)
-        assert np.exp(model.score("en", every)).sum() == pytest.approx(1, abs=1e-3)
-
-
-def test_quality_empty(spark):
-    assert quality.assess(docs(spark, [])).collect() == []
-    assert quality.keep_good(docs(spark, [])).collect() == []
-
-
 # --- pipeline -----------------------------------------------------------------------------
 
 

@@ -1,24 +1,26 @@
 """Quality rules: counts of repetition and symbols, and n-gram perplexity in language bands.
 
 The perplexity is that of a character 5-gram model per language with modified Kneser-Ney
-smoothing.  Tasks count the 5-grams of all documents, Spark sums the counts, and the
-smoothed probabilities of orders 1 to 5 are Spark aggregations over the summed table.  What
-is gathered grows with the input (every task adds the n-grams it met).  The model is stored
-as sorted arrays of 64-bit hashes with their values; they are broadcast only if the counted
-size of the model is at most ``most_entries``, and beyond it, documents are scored by a join
-with the model table (so are bands, a few for each language).
-
-A character is its code point below 3072, or else one of 1023 classes, so that a 5-gram is a
-60-bit number; class 0 pads the start of a text.
-
-A document passes if its log-perplexity per word is within its band: per language and class of length
-(powers of two of words), from ``reach`` interquartile ranges below the first quartile to as
-many above the third, and at least ``floor`` away from them.  Quartiles are over distinct
-scores, so that copies don't narrow a band.
+smoothing.  Tasks count the 5-grams of all distinct texts (copies of a text would teach the
+model its own junk), Spark sums the counts, and the smoothed probabilities of orders 1 to 5
+are Spark aggregations over the summed table.  What is gathered grows with the input.  Tasks
+store the model as sorted hash arrays in the shared folder, which the scoring tasks map into
+memory: the driver never holds it, and its size is not limited by a worker's memory.
+
+A character is its code point below 3072, or else one of 1023 classes (so the rarer scripts
+are modelled by class), as a 5-gram then is a 60-bit number; class 0 pads the start of a text.
+
+A document passes if its log-perplexity per word is within its language's band.  The band is
+around the median of the language's distinct scores, ``reach`` deviations wide.  The score of
+a text of n words deviates by ``sqrt(v / n + floor ** 2)``: v comes from the median of
+``|score - median| * sqrt(n)`` (so up to half of the distinct scores may be junk), and that of
+a language with few distinct scores leans on all languages' (as ``FEW`` of them would).  Only
+documents that pass the base rules count for the bands.
 
 Defined results: null or empty text has 0 words and fails the base rules; null language is a
-language of its own; repeated rows each get the same verdict; an empty table gives an empty
-result; further columns are ignored by ``assess`` and kept by ``keep_good``.
+language of its own; repeated rows each get the same verdict; a language with one or two
+distinct texts has nothing to compare them with, so they are kept; an empty table gives an
+empty result; further columns are ignored by ``assess`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -28,20 +30,26 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm import textkit as tk
-from tidewell.llm.store import Carried, written
+from tidewell.llm.bitfield import packed_bits, tested
+from tidewell.llm.bitfield import BITS as FIELD_BITS
+from tidewell.llm.hash_arrays import HashArrays, write_arrays
+from tidewell.llm.store import Carried, discard, small, written
 
 ORDER, BITS = 5, 12
 CLASSES = 1 << BITS
 PLAIN = 3072
 #: Distinct n-grams that a counting task holds before it passes them on.
 HELD = 3 << 20
-#: Entries of a model, and bands, up to which they are broadcast.
-MOST_ENTRIES, MOST_BANDS = 4_000_000, 100_000
+#: Distinct scores that all languages together lend to each language's deviation.
+FEW = 50
+#: Languages up to which their few numbers each are broadcast (counted first).
+MOST_LANGS = 100_000
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WHITE = " \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"  # fixed values
@@ -139,10 +147,22 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, pa.Array]
             yield lang, rows[at : at + len(part)], part
 
 
+def lang_name(lang: str = "lang") -> Column:
+    """A name for each language, which differs for null and the empty string."""
+    return F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit(""))
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all documents."""
+    """(lang, gram, n) over all distinct texts of each language.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Texts that no other row has are counted where they are read; of each other text, one copy
+    is shuffled and counted.
+    """
+    keyed = docs.select(lang_name().alias("lang"), "text").withColumn("key", F.xxhash64("lang", "text"))
+    again = written(keyed.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("lang", "key"), "again")
+    field = docs.sparkSession.sparkContext.broadcast(packed_bits(again, F.pmod("key", F.lit(1 << FIELD_BITS)), FIELD_BITS))  # 2 MB
+
+    def counted(texts: Iterator[tuple[str, pa.Array]]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -152,19 +172,62 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key[part]), pa.string()), pa.array(key[part].astype(np.int64)), pa.array(count[part])], names=["lang", "gram", "n"])
             held.clear()
 
-        for batch in batches:
-            for lang, _, part in _by_lang(batch):
-                key, count = np.unique(grams(part)[0], return_counts=True)
-                old = held.get(lang)
-                held[lang] = _summed([old[0], key], [old[1], count]) if old else (key, count.astype(np.int64))
-                if sum(len(k) for k, _ in held.values()) > HELD:
-                    yield from flush()
+        for lang, part in texts:
+            key, count = np.unique(grams(part)[0], return_counts=True)
+            old = held.get(lang)
+            held[lang] = _summed([old[0], key], [old[1], count]) if old else (key, count.astype(np.int64))
+            if sum(len(k) for k, _ in held.values()) > HELD:
+                yield from flush()
         yield from flush()
 
-    partial = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(run, "lang string, gram long, n long")
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def texts() -> Iterator[tuple[str, pa.Array]]:
+            for batch in batches:
+                alone = ~tested(field.value, batch.column("key").to_numpy() & ((1 << FIELD_BITS) - 1))
+                for lang, _, part in _by_lang(batch.filter(pa.array(alone))):
+                    yield lang, part
+
+        yield from counted(texts())
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def texts() -> Iterator[tuple[str, pa.Array]]:
+            for batch in _pieces(batches, 64):
+                plain = pa.array([unpack(b.as_py()).decode() for b in batch.column("blob")], pa.large_string())
+                for lang, _, part in _by_lang(pa.RecordBatch.from_arrays([batch.column("lang"), plain], names=["lang", "text"])):
+                    yield lang, part
+
+        yield from counted(texts())
+
+    schema = "lang string, gram long, n long"
+    # the key holds the language; texts that the field sends here by chance are single copies too
+    maybe = keyed.select("lang", "key", "text").mapInArrow(_passed(field), "lang string, key long, blob binary").dropDuplicates(["lang", "key"])
+    partial = keyed.mapInArrow(single, schema).unionByName(maybe.select("lang", "blob").mapInArrow(unpacked, schema))
     return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _passed(field: Broadcast):
+    """Keeps rows whose key's bit is set, texts packed, each key once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=1)
+        met: set[int] = set()
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            rows = [r for r in np.flatnonzero(tested(field.value, batch.column("key").to_numpy() & ((1 << FIELD_BITS) - 1))).tolist() if not (keys[r] in met or met.add(keys[r]))]
+            for at in range(0, len(rows), 512):
+                own = pa.array(rows[at : at + 512])
+                blobs = [packer.compress((t or "").encode()) for t in batch.column("text").take(own).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("lang").take(own), batch.column("key").take(own), pa.array(blobs, pa.binary())], names=["lang", "key", "blob"])
+
+    return run
+
+
 def _discounts(table: DataFrame) -> DataFrame:
     """The three discounts of each language; where counts of counts are missing, 0.5, 1 and 1.5."""
     have = lambda c: F.sum((F.col("n") == c).cast("double"))
@@ -181,17 +244,18 @@ def _discounts(table: DataFrame) -> DataFrame:
 def train(counts: DataFrame) -> DataFrame:
     """(lang, size, gram, logp, gap): log-probability of each n-gram of 1 to 5 characters, and
     the log weight of shorter n-grams after its first characters."""
+    few = counts.select("lang").distinct().count() <= MOST_LANGS
     tables = {ORDER: counts}
     for size in range(ORDER - 1, 0, -1):  # in how many contexts an n-gram was met
         mask = (1 << (BITS * size)) - 1
         tables[size] = written(tables[size + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams{size}")
-    model, shorter = [], None
+    parts, shorter = [], None
     for size in range(1, ORDER + 1):
         context = Window.partitionBy("lang", F.shiftright("gram", BITS))
         off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         table = (
             tables[size]
-            .join(F.broadcast(_discounts(tables[size])), "lang")  # four numbers a language
+            .join(F.broadcast(_discounts(tables[size])) if few else _discounts(tables[size]), "lang")  # four numbers a language
             .withColumn("off", off)
             .withColumn("total", F.sum("n").over(context).cast("double"))
             .withColumn("gap", F.sum("off").over(context) / F.col("total"))
@@ -203,85 +267,69 @@ def train(counts: DataFrame) -> DataFrame:
             table = table.withColumn("end", F.col("gram").bitwiseAND(F.lit(mask))).join(shorter.select("lang", F.col("gram").alias("end"), F.col("p").alias("lower")), ["lang", "end"])
         table = written(table.select("lang", "gram", (F.greatest(F.col("n") - F.col("off"), F.lit(0.0)) / F.col("total") + F.col("gap") * F.col("lower")).alias("p"), "gap"), f"model{size}")
         shorter = table
-        model.append(table.select("lang", F.lit(size).alias("size"), "gram", F.log("p").alias("logp"), F.log("gap").alias("gap")))
-    return reduce(DataFrame.unionByName, model)
+        parts.append(table)
+    model = reduce(DataFrame.unionByName, (t.select("lang", F.lit(size).alias("size"), "gram", F.log("p").alias("logp"), F.log("gap").alias("gap")) for size, t in enumerate(parts, 1)))
+    model = written(model, "model")
+    discard(*parts, *(tables[size] for size in range(1, ORDER)))
+    return model
 
 
-class HashArrays:
-    """Values by 64-bit hash, in sorted arrays; the top bits of a hash lead to its place."""
+def _keyed(lang: str, size: int, gram: np.ndarray) -> np.ndarray:
+    """63-bit hashes of n-grams of a language."""
+    salt = tk.word_hashes(data := np.frombuffer(f"{size}:{lang}".encode(), dtype=np.uint8), np.array([0]), np.array([len(data)]))[0]
+    return (tk.mix(gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ salt) >> np.uint64(1)).astype(np.int64)
 
-    def __init__(self, hashes: np.ndarray, values: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.values = np.append(hashes[order], np.uint64(2**64 - 1)), np.append(values[order], np.nan).astype(np.float32)
-        self.shift = np.uint64(64 - max(1, int(len(hashes)).bit_length()))
-        self.begin = np.searchsorted(self.hashes, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift).astype(np.int32)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The value of each hash, or NaN."""
-        place = np.minimum(self.begin[hashes >> self.shift], len(self.hashes) - 1)
-        behind = np.flatnonzero(self.hashes[place] < hashes)
-        while len(behind):
-            place[behind] += 1
-            behind = behind[self.hashes[place[behind]] < hashes[behind]]
-        return np.where(self.hashes[place] == hashes, self.values[place], np.float32(np.nan))
+LOGP, GAP = 0, 1
 
 
-def _keyed(lang: str, size: int, gram: np.ndarray) -> np.ndarray:
-    salt = tk.word_hashes(data := np.frombuffer(f"{size}:{lang}".encode(), dtype=np.uint8), np.array([0]), np.array([len(data)]))[0]
-    return tk.mix(gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ salt)
-
-
-class Model:
-    """Log-probabilities of n-grams and gaps of contexts, as sorted hash arrays."""
-
-    def __init__(self, table: DataFrame):
-        keys, values, context_keys, context_values = [], [], [], []
-        for size in range(1, ORDER + 1):  # one after the other, as the driver's memory is small
-            own = table.filter(F.col("size") == size).select("lang", "gram", F.col("logp").cast("float"), F.col("gap").cast("float")).toArrow().combine_chunks()
-            langs = own["lang"].combine_chunks().dictionary_encode()
-            gram, logp, gap = (own[c].to_numpy() for c in ("gram", "logp", "gap"))
-            code = langs.indices.to_numpy()
-            del own
-            for i, lang in enumerate(langs.dictionary.to_pylist()):
-                rows = np.flatnonzero(code == i)
-                keys.append(_keyed(lang, size, gram[rows]))
-                values.append(logp[rows])
-                context, first = np.unique(gram[rows] >> BITS, return_index=True)
-                context_keys.append(_keyed(lang, size, context))
-                context_values.append(gap[rows][first])
-            pa.default_memory_pool().release_unused()
-        self.logp = HashArrays(np.concatenate(keys), np.concatenate(values))
-        self.gap = HashArrays(np.concatenate(context_keys), np.concatenate(context_values))
-
-    def score(self, lang: str, gram: np.ndarray) -> np.ndarray:
-        """Log-probability of the last character of each 5-gram; n-grams that were never met back off."""
-        out = self.logp.find(_keyed(lang, ORDER, gram)).astype(np.float64)
-        rest, gaps = np.flatnonzero(np.isnan(out)), 0.0
-        for size in range(ORDER - 1, -1, -1):
-            if not len(rest):
-                break
-            longer = gram[rest] & np.uint64((1 << (BITS * (size + 1))) - 1)
-            gaps = gaps + np.nan_to_num(self.gap.find(_keyed(lang, size + 1, longer >> np.uint64(BITS))), nan=0.0)
-            found = self.logp.find(_keyed(lang, size, longer & np.uint64((1 << (BITS * size)) - 1))) if size else np.full(len(rest), -np.log(CLASSES))
-            out[rest] = found + gaps
-            gaps, rest = gaps[np.isnan(found)], rest[np.isnan(found)]
-        return out
-
-
-def _score_rows(batch: pa.RecordBatch, model: Model | None) -> list[pa.Array]:
+def stored(table: DataFrame) -> HashArrays:
+    """The model table as sorted hash arrays: log-probabilities of n-grams, gaps of contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, size = np.array(batch.column("lang").to_pylist(), dtype=object), batch.column("size").to_numpy()
+            gram, logp, gap = (batch.column(c).to_numpy() for c in ("gram", "logp", "gap"))
+            for own_lang in sorted(set(lang)):
+                for own_size in np.unique(size[lang == own_lang]).tolist():
+                    rows = np.flatnonzero((lang == own_lang) & (size == own_size))
+                    context, first = np.unique(gram[rows] >> BITS, return_index=True)
+                    for kind, key, value in ((LOGP, gram[rows], logp[rows]), (GAP, context, gap[rows][first])):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(_keyed(own_lang, own_size, key)), pa.array(value.astype(np.float32))], names=["kind", "hash", "value"])
+
+    return write_arrays(written(table.select("lang", "size", "gram", "logp", "gap").mapInArrow(run, "kind int, hash long, value float"), "entries"), "model")
+
+
+def log_probability(model: HashArrays, lang: str, gram: np.ndarray) -> np.ndarray:
+    """Log-probability of the last character of each 5-gram; n-grams that were never met back off."""
+    gram, back = np.unique(gram, return_inverse=True)
+    out = model.find_any(LOGP, _keyed(lang, ORDER, gram))
+    rest, gaps = np.flatnonzero(np.isnan(out)), 0.0
+    for size in range(ORDER - 1, -1, -1):
+        if not len(rest):
+            break
+        longer = gram[rest] & np.uint64((1 << (BITS * (size + 1))) - 1)
+        gaps = gaps + np.nan_to_num(model.find_any(GAP, _keyed(lang, size + 1, longer >> np.uint64(BITS))), nan=0.0)
+        found = model.find_any(LOGP, _keyed(lang, size, longer & np.uint64((1 << (BITS * size)) - 1))) if size else np.full(len(rest), -np.log(CLASSES))
+        out[rest] = found + gaps
+        gaps, rest = gaps[np.isnan(found)], rest[np.isnan(found)]
+    return out[back]
+
+
+def _score_rows(batch: pa.RecordBatch, model: HashArrays) -> list[pa.Array]:
     """The metrics of each row and, by ``model``, its log-perplexity per word."""
     found = {m: np.zeros(batch.num_rows, dtype=np.int64) for m in METRICS}
     mean = np.zeros(batch.num_rows)
     for lang, rows, part in _by_lang(batch):
         for name, values in text_counts(part).items():
             found[name][rows] = values
-        if model:
-            gram, count = grams(part)
-            total = np.zeros(len(gram) + 1)
-            np.cumsum(model.score(lang, gram), out=total[1:])
-            end = np.cumsum(count)
-            mean[rows] = (total[end] - total[end - count]) / np.maximum(found["n_words"][rows], 1)
-    return [*(pa.array(found[m]) for m in METRICS), pa.array(-mean)]
+        gram, count = grams(part)
+        total = np.zeros(len(gram) + 1)
+        np.cumsum(log_probability(model, lang, gram), out=total[1:])
+        end = np.cumsum(count)
+        mean[rows] = (total[end] - total[end - count]) / np.maximum(found["n_words"][rows], 1)
+    # rounded, as equal texts at other places of a sum differ in the last bits
+    return [*(pa.array(found[m]) for m in METRICS), pa.array(np.round(-mean, 9))]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -290,80 +338,65 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-class Scorer:
-    """The model of a corpus, and the scores of its documents by it."""
+def model_of(docs: DataFrame) -> HashArrays:
+    """The stored model of a corpus."""
+    counts = written(count_grams(docs), "grams")
+    table = train(counts)
+    model = stored(table)
+    discard(counts, table)
+    return model
 
-    def __init__(self, docs: DataFrame, most_entries: int):
-        spark: SparkSession = docs.sparkSession
-        self.table = written(train(written(count_grams(docs), "grams")), "model")
-        entries = self.table.count()
-        self.shared = spark.sparkContext.broadcast(Model(self.table)) if 0 < entries <= most_entries else None  # at most 24 bytes an entry
 
-    def scored(self, docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
-        """Columns ``keep`` of each document, ``_lang`` (never null), ``_key``, its metrics and ``score``."""
-        shared, fixed = self.shared, [*keep, "_lang", "_key"]
-        body = text if text in keep else "_text"
+def scored(docs: DataFrame, model: HashArrays, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """Columns ``keep`` of each document, ``_lang`` (never null), its metrics and ``score``."""
+    fixed, body = [*keep, "_lang"], text if text in keep else "_text"
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _pieces(batches):
-                own = pa.RecordBatch.from_arrays([batch.column("_lang"), batch.column(body)], names=["lang", "text"])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fixed), *_score_rows(own, shared.value if shared else None)], names=[*fixed, *METRICS, "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            own = pa.RecordBatch.from_arrays([batch.column("_lang"), batch.column(body)], names=["lang", "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fixed), *_score_rows(own, model)], names=[*fixed, *METRICS, "score"])
 
-        rows = docs.select(*keep, F.coalesce(lang, F.lit("")).alias("_lang"), F.xxhash64(text).alias("_key"), *([] if text in keep else [F.col(text).alias("_text")]))
-        schema = T.StructType([*(rows.schema[c] for c in fixed), *(T.StructField(m, T.LongType()) for m in METRICS), T.StructField("score", T.DoubleType())])
-        found = rows.mapInArrow(run, schema)
-        if shared:
-            return found
-        total = F.coalesce(F.col("_total") / F.greatest("n_words", F.lit(1)), F.lit(0.0))
-        return found.drop("score").join(self._joined(rows.withColumnRenamed(body, "_text")), ["_lang", "_key"], "left").withColumn("score", total).drop("_total")
+    rows = docs.select(*keep, lang_name(lang).alias("_lang"), *([] if text in keep else [F.col(text).alias("_text")]))
+    schema = T.StructType([*(rows.schema[c] for c in fixed), *(T.StructField(m, T.LongType()) for m in METRICS), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
-    def _joined(self, rows: DataFrame) -> DataFrame:
-        """(_lang, _key, _total) by a join with the model table; one row of each text is scored."""
 
-        def own_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _pieces(batches, 64):
-                own = pa.RecordBatch.from_arrays([batch.column("_lang"), batch.column("_text")], names=["lang", "text"])
-                for lang, at, part in _by_lang(own):
-                    gram, count = grams(part)
-                    row = np.repeat(at, count)
-                    order = np.lexsort((gram, row))
-                    row, gram = row[order], gram[order]
-                    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])))[: len(row)]
-                    key = batch.column("_key").take(pa.array(row[first]))
-                    yield pa.RecordBatch.from_arrays([key, pa.array([lang] * len(first), pa.string()), pa.array(gram[first].astype(np.int64)), pa.array(np.diff(np.append(first, len(row))))], names=["_key", "_lang", "gram", "n"])
-
-        longest = self.table.filter(F.col("size") == ORDER).select(F.col("lang").alias("_lang"), "gram", "logp")
-        once = rows.select("_lang", "_key", "_text").dropDuplicates(["_lang", "_key"])
-        return once.mapInArrow(own_grams, "_key long, _lang string, gram long, n long").join(longest, ["_lang", "gram"]).groupBy("_lang", "_key").agg((-F.sum(F.col("n") * F.col("logp"))).alias("_total"))
-
-
-def _length() -> Column:
-    return F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1))))
-
-
-def _banded(scored: DataFrame, narrow: DataFrame, reach: float, floor: float) -> DataFrame:
-    """Adds ``lower``, ``upper``, ``base_failed`` and ``kept`` to ``scored``, by the bands of ``narrow``."""
-    steps = narrow.select("_lang", _length().alias("_length"), F.col("score").alias("exact")).distinct().groupBy("_lang", "_length", F.round("exact", 3).alias("step")).agg(F.count(F.lit(1)).alias("times"))
-    quartiles = F.expr("percentile(step, array(0.25D, 0.75D), times)")
-    spread = F.greatest(F.lit(floor), reach * (F.col("q")[1] - F.col("q")[0]))
-    bands = written(steps.groupBy("_lang", "_length").agg(quartiles.alias("q")).select("_lang", "_length", (F.col("q")[0] - spread).alias("lower"), (F.col("q")[1] + spread).alias("upper")), "bands")
-    if bands.count() <= MOST_BANDS:
-        bands = F.broadcast(bands)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
+
+
+def _medians(scores: DataFrame, value: Column, digits: int, by: list[str]) -> DataFrame:
+    """The median of ``value``, rounded, in each group; what a task holds are the distinct rounded values."""
+    steps = scores.groupBy(*by, F.round(value, digits).alias("step")).agg(F.count(F.lit(1)).alias("times"))
+    return steps.groupBy(*by).agg(F.expr("percentile(step, 0.5D, times)").alias("median"), F.sum("times").alias("n"))
+
+
+def bands(scores: DataFrame) -> DataFrame:
+    """(_lang, centre, deviation) of each language; the deviation is that of a text of one word."""
+    distinct = written(scores.filter(f"not ({BASE_FAILED})").select("_lang", "score", "n_words").distinct(), "distinct")
+    centres = small(written(_medians(distinct, F.col("score"), 3, ["_lang"]).select("_lang", F.col("median").alias("centre")), "centres"))
+    off = written(distinct.join(centres, "_lang").select("_lang", (F.abs(F.col("score") - F.col("centre")) * F.sqrt("n_words")).alias("off")), "off")
+    every = _medians(off, F.col("off"), 2, []).select(F.coalesce("median", F.lit(0.0)).alias("all_median"))  # one row
+    own = _medians(off, F.col("off"), 2, ["_lang"]).join(F.broadcast(every), F.lit(True)).join(centres, "_lang")
+    mean = (F.col("n") * F.col("median") ** 2 + FEW * F.col("all_median") ** 2) / (F.col("n") + FEW)
+    return small(written(own.select("_lang", "centre", (1.4826 * F.sqrt(mean)).alias("deviation")), "bands"))
+
+
+def _banded(found: DataFrame, by: DataFrame, reach: float, floor: float) -> DataFrame:
+    """Adds ``lower``, ``upper``, ``base_failed`` and ``kept`` to ``found``, by the bands of languages."""
+    wide = reach * F.sqrt(F.col("deviation") ** 2 / F.greatest("n_words", F.lit(1)) + floor**2)
     inside = F.coalesce(F.col("score").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return scored.withColumn("_length", _length()).join(bands, ["_lang", "_length"], "left").withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
+    placed = found.join(by, "_lang", "left").withColumns({"lower": F.col("centre") - wide, "upper": F.col("centre") + wide, "base_failed": F.expr(BASE_FAILED)})
+    return placed.withColumn("kept", ~F.col("base_failed") & inside)
 
 
-def assess(docs: DataFrame, *, reach: float = 3.0, floor: float = 0.25, most_entries: int = MOST_ENTRIES) -> DataFrame:
+def assess(docs: DataFrame, *, reach: float = 3.5, floor: float = 0.2) -> DataFrame:
     """Per document: the metrics, ``base_failed``, ``kept``, its perplexity and band."""
-    scored = written(Scorer(docs, most_entries).scored(docs, ["doc_id"]), "scores")
-    return _banded(scored, scored, reach, floor).select("doc_id", *METRICS, "base_failed", "kept", F.exp("score").alias("perplexity"), F.exp("lower").alias("band_lower"), F.exp("upper").alias("band_upper"))
+    found = written(scored(docs, model_of(docs), ["doc_id"]), "scores")
+    return _banded(found, bands(found), reach, floor).select("doc_id", *METRICS, "base_failed", "kept", F.exp("score").alias("perplexity"), F.exp("lower").alias("band_lower"), F.exp("upper").alias("band_upper"))
 
 
-def keep_good(docs: DataFrame, *, reach: float = 3.0, floor: float = 0.25, most_entries: int = MOST_ENTRIES) -> DataFrame:
-    """The documents that pass; they are scored once more for it, as that moves no text."""
-    scorer = Scorer(docs, most_entries)
-    narrow = written(scorer.scored(docs, []), "scores")
+def keep_good(docs: DataFrame, *, reach: float = 3.5, floor: float = 0.2) -> DataFrame:
+    """The documents that pass; each is scored once, beside its own columns."""
     carried = Carried(docs)
-    scored = scorer.scored(carried.frame, carried.kept, carried.of("text"), carried.of("lang"))
-    return carried.back(_banded(scored, narrow, reach, floor).filter("kept"))
+    found = written(scored(carried.frame, model_of(docs), carried.kept, carried.of("text"), carried.of("lang")), "scores")
+    return carried.back(_banded(found, bands(found), reach, floor).filter("kept"))
