@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,7 +134,7 @@ def test_markov_spans_and_redaction(spark):
     rng = random.Random(2)
     prose = [(i, " ".join(rng.choices(words, k=120)), "a") for i in range(300)]
     key = "Kx9fQ2mZ7pLr4TbW8vYc1NdG5h"
-    rows = [*prose, (1000, f"see {key} there", "a"), (1001, "many_house_windows_by_river_2 and password: hunter2hunter2 too", "a"), (1002, None, "a")]
+    rows = [*prose, (1000, f"see {key} there", "a"), (1001, "many_house_windows_by_river_2 and password: hunter2hunter2 too", "a"), (1002, None, "a"), (1003, "number 4929381720394857362 there", "a")]
     got = {r.doc_id: r.spans for r in secret_scan.scan(docs(spark, rows)).collect()}
     assert got[1000] == f"markov:4:{4 + len(key)}"
     assert got[1001] == "assign:34:58"
@@ -143,9 +147,70 @@ def test_markov_spans_and_redaction(spark):
     assert clean[1002].text is None and clean[5].text == prose[5][1]
 
 
+def plain_models(rows, seed=11):
+    """The two tables of log ratios, from counts by hand over all documents."""
+    ordinary, random_64, random_16 = [], [], []
+    for i, text, _ in rows:
+        for a, _, b in reversed(base_spans_of_any_length(text)):
+            text = text[:a] + " " + text[b:]
+        ordinary += re.findall("[A-Za-z0-9+]{4,}", text or "")
+        digest = hashlib.sha256(f"{seed}:{i}".encode()).hexdigest()
+        random_64.append(base64.b64encode(bytes.fromhex(digest)).decode().replace("=", "").replace("/", ""))
+        random_16.append(hashlib.sha256(digest.encode()).hexdigest())
+    logs = []
+    for strings in (ordinary, random_64, random_16):
+        pairs = Counter(p for s in strings for p in [s[:1], *(s[j : j + 2] for j in range(len(s) - 1))])
+        singles = Counter(c for s in strings for c in s)
+        every = sum(singles.values()) + 0.5 * len(secret_scan.ALPHABET)
+        table = {}
+        for before in ["", *secret_scan.ALPHABET]:
+            n, distinct = sum(pairs[before + c] for c in secret_scan.ALPHABET), sum(pairs[before + c] > 0 for c in secret_scan.ALPHABET)
+            for c in secret_scan.ALPHABET:
+                base = (singles[c] + 0.5) / every
+                table[before, c] = math.log((max(pairs[before + c] - 1, 0) + distinct * base) / n if n else base)
+        logs.append(table)
+    out = []
+    for model in logs[1:]:
+        ratio = {k: model[k] - logs[0][k] for k in model}
+        out.append({(b, c): 0.0 if c in "/_-" else ratio["" if b in ("/", "_", "-") else b, c] for b, c in ratio})
+    return out
+
+
+def base_spans_of_any_length(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text or "")]
+    return sorted(found + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", text or "")])
+
+
+def test_markov_models_and_scores_by_hand(spark):
+    rng = random.Random(8)
+    letters = "etaoinshrdlu"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    rows = [(i, " ".join([*(word() for _ in range(60)), *("-".join(word() for _ in range(4)) for _ in range(3))]), "a") for i in range(200)]
+    rows += [(300, "token = abcdefghijkl tail", "a"), (301, None, "a"), (302, "é" * 9, "a")]
+    models, tables = secret_scan.train(docs(spark, rows), sample_docs=10**6), plain_models(rows)
+    for model, table in zip(models, tables, strict=True):
+        assert model == pytest.approx([table[b, c] for b in ["", *secret_scan.ALPHABET] for c in secret_scan.ALPHABET])
+    # a run has a span if and only if some stretch of it is unlikely enough, by all stretches
+    runs = ["".join(rng.choice(secret_scan.ALPHABET[:62]) for _ in range(n)) for n in (16, 17, 20, 24, 40) * 6]
+    runs += ["/".join(word() for _ in range(5)) for _ in range(30)] + ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (16, 20, 31) * 5]
+    scanned = {r.doc_id: r.spans for r in secret_scan.with_spans(docs(spark, [(i, f"( {t} )", "a") for i, t in enumerate(runs)]), models).collect()}
+    seen = Counter()
+    for i, run in enumerate(runs):
+        expected = False
+        for table in tables:
+            score = [table["" if j == 0 else run[j - 1], c] for j, c in enumerate(run)]
+            total = [0.0, *itertools.accumulate(score)]
+            expected |= any(total[b] - total[a] >= 15 and total[b] - total[a] >= 0.6 * (b - a) for a in range(len(run)) for b in range(a + 16, len(run) + 1))
+        if expected:
+            assert scanned[i], run
+        seen[expected, bool(scanned[i])] += 1
+    assert seen[True, True] > 30 and seen[False, False] >= 10
+
+
 def test_markov_spans_within_paths_and_short(spark):
     plain = "abcdefghijklmnopqrstuvwxyz/_-"
-    ratios = [-3.0 if a in plain and b in plain else 1.2 for a in secret_scan.ALPHABET for b in secret_scan.ALPHABET]
+    ratios = [-3.0 if a in plain and b in plain else 1.2 for a in ["a", *secret_scan.ALPHABET] for b in secret_scan.ALPHABET]
+    ratios = secret_scan.separated(ratios)
     key, other, path = "Kx9fQ2mZ7pLr4TbW8vYc1NdG", "Zq7RwX3nJ9tHk2VbP5yMcL8s", "/services/hooks/incoming/the/people/near/the/river/"
     at, n = len(path), len(key)
     cases = [
@@ -155,7 +220,7 @@ def test_markov_spans_within_paths_and_short(spark):
         (f"{path}2 many_house_windows_2 here", []),
         (f"see {key} there", [(4, 3, 4 + n)]),
     ]
-    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.with_spans(docs(spark, [(i, t, "a") for i, (t, _) in enumerate(cases)]), ratios).collect()}
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.with_spans(docs(spark, [(i, t, "a") for i, (t, _) in enumerate(cases)]), [ratios, ratios]).collect()}
     assert got == {i: spans for i, (_, spans) in enumerate(cases)}
 
 

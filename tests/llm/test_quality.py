@@ -137,9 +137,9 @@ def test_model_sums_to_one_and_backs_off(spark):
 def test_few_texts_of_a_language_and_junk_among_them(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, 100), "en") for i in range(80)]
-    rows += [(100 + i, prose(rng, 100), "sv") for i in range(9)] + [(110, junk(rng, 100), "sv"), (120, "the only text of its language, a clean one of more than ten words", "fi")]
-    found = {r.doc_id: r.kept for r in quality.assess(docs(spark, rows)).collect()}
-    assert not found[110] and all(k for i, k in found.items() if i != 110)
+    rows += [(100 + i, prose(rng, 100), "sv") for i in range(40)] + [(150, junk(rng, 100), "sv"), (160, "the only text of its language, a clean one of more than ten words", "fi")]
+    found = {r.doc_id: r for r in quality.assess(docs(spark, rows)).collect()}
+    assert not found[150].kept and all(r.kept != r.base_failed for i, r in found.items() if i != 150)
 
 
 def test_hash_arrays(spark, monkeypatch):

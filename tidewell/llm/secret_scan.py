@@ -1,12 +1,17 @@
 """Secret scans: fixed patterns, and character Markov models of random and ordinary strings.
 
-Two first-order character models are trained from labelled samples: random strings (digests
-of document ids, in base 64 and in hexadecimal) and ordinary identifiers (words of a bounded,
-seeded sample of documents: ``sample_docs`` in expectation).  A run of identifier characters
-is a secret if the log-likelihood ratio of its character pairs, random over ordinary, is high
-in total and per character; of other runs, each stretch of which that holds is one, widened to
-the next of ``/``, ``_`` and ``-``, so ordinary parts of a path don't hide a token.  Only DataFrame functions are used; the model is at most 66 x 66
-ratios, whatever the input.
+First-order character models are trained from labelled samples: two of random strings (digests
+of document ids in base 64, and in hexadecimal), and one of ordinary identifiers (words of a
+bounded, seeded sample of documents: ``sample_docs`` in expectation).  They have a start term
+and are smoothed by absolute discounts, so a pair that was never met has the probability of its
+second character, scaled by how often the first is followed by something new; what
+follows a separator (``/``, ``_``, ``-``) begins anew.  A run of
+identifier characters is a secret if the log-likelihood ratio of its characters, one random
+model over the ordinary one, is high in total and per character.  Stretches of a run of which
+that holds are taken first, widened to the next of ``/``, ``_`` and ``-``, so ordinary parts of
+a path neither hide a token nor are taken with it.  Tokens of letters only count as well, and
+so do long identifiers such as UUIDs; plain numbers do not.  Only DataFrame functions are used; the model is two
+tables of 67 x 66 ratios, whatever the input.
 
 Kinds and their fixed patterns are ``assign``, ``access`` and ``hex``; the models add
 ``markov`` spans, which overlap none of these.  Spans are in code points, end exclusive.
@@ -33,43 +38,68 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 RUN = r"[A-Za-z0-9+/_-]"
-PART = r"[A-Za-z0-9+]*"  # what lies between two separators of a run
+SEPARATORS = "/_-"
+PART_CHARACTER = r"[A-Za-z0-9+]"
+PART = PART_CHARACTER + "*"  # what lies between two separators of a run
 
 
-def _pairs(strings: DataFrame, label: int) -> DataFrame:
-    """Counts of adjacent character pairs of ``value``."""
-    at = F.explode(F.sequence(F.lit(1), F.length("value") - 1))
+def _pairs(strings: DataFrame) -> DataFrame:
+    """Counts of the first characters and of adjacent pairs of ``value``, by ``label``."""
+    at = F.explode(F.sequence(F.lit(0), F.length("value") - 1))
     return (
-        strings.filter(F.length("value") >= 2)
-        .select("value", at.alias("i"))
-        .select(F.expr("substring(value, i, 2)").alias("pair"))
-        .groupBy("pair")
+        strings.filter(F.length("value") >= 1)
+        .select("label", "value", at.alias("i"))
+        .select("label", F.when(F.col("i") == 0, F.expr("substring(value, 1, 1)")).otherwise(F.expr("substring(value, i, 2)")).alias("pair"))
+        .groupBy("label", "pair")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("label", F.lit(label))
     )
 
 
-def train(docs: DataFrame, *, sample_docs: int = 2000, seed: int = 11) -> list[float]:
-    """Log ratios, random over ordinary, of each character given the one before it."""
+def conditional(counts: dict[str, int]) -> list[float]:
+    """Log-probabilities of first characters, then of each character after each other one.
+
+    ``counts`` has how often a character began a string, and how often a pair stood in one.
+    Of ``n`` characters after another, ``t`` of them distinct, a character has probability
+    ``(max(count - 1, 0) + t * base) / n``, or ``base`` if n is 0; ``base`` is its part of all
+    characters.  So what was met once counts as never met: it may come from a secret.
+    """
+    total = {c: 0.5 for c in ALPHABET}
+    for key, n in counts.items():
+        total[key[-1]] += n
+    every = sum(total.values())
+    base = [total[c] / every for c in ALPHABET]
+    out = []
+    for before in ["", *ALPHABET]:
+        row = [counts.get(before + c, 0) for c in ALPHABET]
+        n, distinct = sum(row), sum(x > 0 for x in row)
+        out += [log((max(x - 1, 0) + distinct * b) / n if n else b) for x, b in zip(row, base, strict=True)]
+    return out
+
+
+def separated(ratios: list[float]) -> list[float]:
+    """The same ratios, but separators tell nothing, and what follows one begins a string."""
+    size = len(ALPHABET)
+    rows = [ratios[i : i + size] for i in range(0, len(ratios), size)]
+    rows = [rows[0], *(rows[0] if before in SEPARATORS else row for before, row in zip(ALPHABET, rows[1:], strict=True))]
+    return [0.0 if c in SEPARATORS else x for row in rows for c, x in zip(ALPHABET, row, strict=True)]
+
+
+def train(docs: DataFrame, *, sample_docs: int = 2000, seed: int = 11) -> list[list[float]]:
+    """For each random model, log ratios to the ordinary one, as ``conditional`` has them."""
     total = docs.count()
     part = min(1.0, sample_docs / total) if total else 0.0
-    sample = docs.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sample = docs.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text"])
     plain = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
-    ordinary = sample.select(F.explode(F.regexp_extract_all(plain, F.lit(RUN + "{4,}"), F.lit(0))).alias("value"))
+    ordinary = sample.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(plain, F.lit(PART_CHARACTER + "{4,}"), F.lit(0))).alias("value"))
     digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col("doc_id")), 256)
-    random = sample.select(F.explode(F.array(F.regexp_replace(F.base64(F.unhex(digest)), "=", ""), F.sha2(digest, 256))).alias("value"))
-    size = len(ALPHABET)
-    counts = [[0.0] * (size * size) for _ in range(2)]
-    for row in _pairs(ordinary, 0).unionByName(_pairs(random, 1)).collect():  # at most 2 x 66 x 66 rows
-        first, second = ALPHABET.find(row["pair"][0]), ALPHABET.find(row["pair"][1])
-        if first >= 0 and second >= 0:
-            counts[row["label"]][first * size + second] += row["n"]
-    ratios = []
-    for i in range(size * size):
-        row = slice(i // size * size, i // size * size + size)
-        probability = [(c[i] + 0.5) / (sum(c[row]) + 0.5 * size) for c in counts]
-        ratios.append(log(probability[1] / probability[0]))
-    return ratios
+    coded = F.array(F.struct(F.lit(1).alias("label"), F.regexp_replace(F.base64(F.unhex(digest)), "[=/]", "").alias("value")), F.struct(F.lit(2).alias("label"), F.sha2(digest, 256).alias("value")))
+    random = sample.select(F.explode(coded).alias("s")).select("s.label", "s.value")
+    counts: list[dict[str, int]] = [{}, {}, {}]
+    for row in _pairs(ordinary.unionByName(random)).collect():  # at most 3 x 67 x 66 rows
+        if set(row["pair"]) <= set(ALPHABET):
+            counts[row["label"]][row["pair"]] = row["n"]
+    common, *models = map(conditional, counts)
+    return [separated([a - b for a, b in zip(model, common, strict=True)]) for model in models]
 
 
 def _located(text: Column, found: Column) -> Column:
@@ -82,9 +112,12 @@ def _located(text: Column, found: Column) -> Column:
     state = F.aggregate(
         found,
         F.struct(F.lit(1).alias("next"), none.alias("spans")),
-        lambda acc, m: F.struct(
-            (F.call_function("locate", m, text, acc["next"]) + F.length(m)).alias("next"),
-            F.concat(acc["spans"], F.array(F.struct((F.call_function("locate", m, text, acc["next"]) - 1).alias("start"), (F.call_function("locate", m, text, acc["next"]) - 1 + F.length(m)).alias("end")))).alias("spans"),
+        lambda acc, m: F.get(  # of one element, so that it is located once
+            F.transform(
+                F.array(F.call_function("locate", m, text, acc["next"])),
+                lambda at: F.struct((at + F.length(m)).alias("next"), F.concat(acc["spans"], F.array(F.struct((at - 1).alias("start"), (at - 1 + F.length(m)).alias("end")))).alias("spans")),
+            ),
+            F.lit(0),
         ),
     )
     return F.when(F.size(found) > 0, state["spans"]).otherwise(none)
@@ -95,9 +128,10 @@ def _of_kind(spans: Column, kind: int) -> Column:
 
 
 def _scores(value: Column, ratios: Column) -> Column:
-    """The log ratio of each adjacent pair of characters."""
+    """The log ratio of each character after the one before it."""
     place = lambda i: F.call_function("instr", F.lit(ALPHABET), F.call_function("substring", value, i, F.lit(1)))
-    return F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.element_at(ratios, ((place(i) - 1) * F.lit(len(ALPHABET)) + place(i + 1)).cast("int")))
+    row = lambda i: F.when(i > 1, place(i - 1)).otherwise(0)
+    return F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.element_at(ratios, (row(i) * F.lit(len(ALPHABET)) + place(i)).cast("int")))
 
 
 def _stretches(scores: Column, least_ratio: float) -> Column:
@@ -118,7 +152,7 @@ def _stretches(scores: Column, least_ratio: float) -> Column:
             F.when(closed, acc["at"] + 1).otherwise(acc["start"]).alias("start"),
             F.when(closed, 0.0).otherwise(total).alias("total"),
             F.when(closed, 0.0).when(better, total).otherwise(acc["best"]).alias("best"),
-            F.when(better, acc["at"] + 2).otherwise(acc["end"]).alias("end"),
+            F.when(better, acc["at"] + 1).otherwise(acc["end"]).alias("end"),
             F.when(closed, closing(acc)).otherwise(acc["out"]).alias("out"),
         )
 
@@ -138,11 +172,10 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), none, step)
 
 
-def with_spans(docs: DataFrame, ratios: list[float], *, least_run: int = 16, least_ratio: float = 15.0, least_per_char: float = 0.6) -> DataFrame:
+def with_spans(docs: DataFrame, models: list[list[float]], *, least_run: int = 16, least_ratio: float = 15.0, least_per_char: float = 0.6) -> DataFrame:
     """Adds ``base`` and ``spans``: arrays of (start, kind, end), by start, then kind."""
     text = F.coalesce("text", F.lit(""))
     run = RUN + "{%d,}" % least_run
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")  # folded once
     found = docs.select(
         "*",
         F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)).alias("_assign"),
@@ -153,12 +186,9 @@ def with_spans(docs: DataFrame, ratios: list[float], *, least_run: int = 16, lea
     # the patterns match again from the start of each match; too short values go after all are placed
     placed = F.arrays_zip(_located(text, F.col("_assign")).alias("at"), F.transform("_assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2))).alias("size"))
     assign = F.transform(F.filter(placed, lambda z: z["size"] >= 8), lambda z: z["at"])
-    scored = F.arrays_zip(_located(text, F.col("_runs")).alias("at"), F.col("_runs").alias("value"))
-    looks_mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     based = found.withColumn("base", F.array_sort(F.concat(_of_kind(assign, 0), _of_kind(_located(text, F.col("_access")), 1), _of_kind(_located(text, F.col("_hex")), 2))))
     apart = lambda z: ~F.exists(F.col("base"), lambda b: (b["start"] < z["end"]) & (z["start"] < b["end"]))
-    mixed = F.exists("_runs", looks_mixed)
-    runs = F.transform(F.filter(scored, lambda z: looks_mixed(z["value"])), lambda z: F.struct(z["at"]["start"].alias("start"), z["value"].alias("value"), _scores(z["value"], table).alias("scores")))
+    placed_runs = F.arrays_zip(_located(text, F.col("_runs")).alias("at"), F.col("_runs").alias("value"))
 
     def widened(z: Column, t: Column) -> Column:
         piece = F.call_function("substring", z["value"], t["start"] + 1, t["end"] - t["start"])
@@ -170,14 +200,20 @@ def with_spans(docs: DataFrame, ratios: list[float], *, least_run: int = 16, lea
     def of_run(z: Column) -> Column:
         total, size = F.aggregate(z["scores"], F.lit(0.0), lambda t, x: t + x), F.length(z["value"])
         inside = F.filter(_stretches(z["scores"], least_ratio), lambda t: t["total"] >= least_per_char * (t["end"] - t["start"]))
-        long_ = F.filter(_merged(F.transform(inside, lambda t: widened(z, t))), lambda t: (t["end"] - t["start"] >= least_run) & looks_mixed(F.call_function("substring", z["value"], t["start"] + 1, t["end"] - t["start"])))
+        long_ = F.filter(_merged(F.transform(inside, lambda t: widened(z, t))), lambda t: t["end"] - t["start"] >= least_run)
         whole = F.array(F.struct(F.lit(0).alias("start"), size.alias("end")))
-        spans = F.when((total >= least_ratio) & (total >= least_per_char * size), whole).otherwise(long_)
+        spans = F.when(F.size(long_) > 0, long_).when((total >= least_ratio) & (total >= least_per_char * size), whole).otherwise(F.lit(None))
+        spans = F.filter(F.coalesce(spans, F.slice(whole, 1, 0)), lambda t: F.call_function("substring", z["value"], t["start"] + 1, t["end"] - t["start"]).rlike("[A-Za-z]"))
         return F.transform(spans, lambda t: F.struct((z["start"] + t["start"]).alias("start"), (z["start"] + t["end"]).alias("end")))
 
-    more = F.filter(F.flatten(F.transform(runs, of_run)), apart)
+    def of_model(ratios: list[float]) -> Column:
+        table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")  # folded once
+        runs = F.transform(placed_runs, lambda z: F.struct(z["at"]["start"].alias("start"), z["value"].alias("value"), _scores(z["value"], table).alias("scores")))
+        return F.flatten(F.transform(runs, of_run))
+
+    more = F.filter(_merged(F.concat(*map(of_model, models))), apart)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return based.withColumn("spans", F.array_sort(F.concat("base", F.when(mixed, _of_kind(more, 3)).otherwise(none)))).drop("_assign", "_access", "_hex", "_runs")
+    return based.withColumn("spans", F.array_sort(F.concat("base", F.when(F.size("_runs") > 0, _of_kind(more, 3)).otherwise(none)))).drop("_assign", "_access", "_hex", "_runs")
 
 
 def _joined(spans: Column) -> Column:
@@ -187,9 +223,9 @@ def _joined(spans: Column) -> Column:
 
 def scan(docs: DataFrame, **options: float) -> DataFrame:
     """One row per document: counts of the base kinds, digest of the base spans, all spans."""
-    ratios = train(docs)
+    models = train(docs)
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return with_spans(docs.select("doc_id", "text"), ratios, **options).select(
+    return with_spans(docs.select("doc_id", "text"), models, **options).select(
         "doc_id",
         number(0).alias("n_assign"),
         number(1).alias("n_access"),
