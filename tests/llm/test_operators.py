@@ -272,8 +272,36 @@ def test_codec_is_optimal_and_exact():
 
 def test_stream_commits_within_the_window():
     codec = piece_codec.PieceCodec(MODEL)
-    parts = list(codec.stream("▁" + "abcde" * 400))
-    assert len(parts) > 20 and max(map(len, parts)) <= 8 * codec.longest
+    for text in ("▁" + "abcde" * 400, "ab" * 1500, "intenstionating" * 200):
+        parts = list(codec.stream(text))
+        assert len(parts) > 15 and max(map(len, parts)) <= 8 * codec.longest
+        prices = {i: c for c, i in codec.cost.values()}
+        assert sum(prices[i] for p in parts for i in p) == pytest.approx(best_cost(codec, text))
+
+
+def test_paths_that_never_meet():
+    codec = piece_codec.PieceCodec(MODEL)
+    text = "▁" * 3001
+    prices = {i: c for c, i in codec.cost.values()}
+    assert sum(prices[i] for p in codec.stream(text) for i in p) == pytest.approx(best_cost(codec, text))
+
+
+def test_encoding_goes_through_the_stream(monkeypatch):
+    codec = piece_codec.PieceCodec(MODEL)
+    commits, stream = [], piece_codec.PieceCodec.stream
+
+    def counted(self, text):
+        for part in stream(self, text):
+            commits.append((text, part))
+            yield part
+
+    monkeypatch.setattr(piece_codec.PieceCodec, "stream", counted)
+    text = "Plain words, some unusual: intercontinentalisations 12345 " + "abcde" * 400
+    ids = codec.encode(text)
+    assert [i for _, part in commits for i in part] == ids  # no word repeats, so every id was committed by the search
+    assert len(commits) > 25 and len({t for t, _ in commits}) == len(text.split())
+    before = len(commits)
+    assert codec.encode("words, words, some") and len(commits) == before  # all of them kept
 
 
 def test_encode_documents(spark):
@@ -284,6 +312,8 @@ def test_encode_documents(spark):
         assert back[i].decoded == text and back[i].round_trip is (None if text is None else True)
     assert back[9002].ids == [] and back[9001].ids is None and back[9001].n_ids == 0
     assert piece_codec.encode(docs(spark, []), MODEL).collect() == []
+    again = piece_codec.encode(encoded, MODEL)  # whose columns clash
+    assert again.columns == encoded.columns and sorted(map(str, again.collect())) == sorted(map(str, encoded.collect()))
 
 
 # --- pipeline -----------------------------------------------------------------------------

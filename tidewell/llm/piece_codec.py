@@ -7,14 +7,16 @@ pair merging with the same file, and every text decodes to itself.
 
 The search streams: it keeps the best score and the backpointer of the boundaries in a window
 of the longest piece, and commits ids whenever all surviving backpointer paths run through
-one boundary.  That is always so where no piece crosses, as before each word mark, so tasks
-keep what a stretch between two such boundaries gave (at most ``MEMO`` stretches).
+one boundary.  That is always so where no piece crosses, as before each word mark.  So the
+text is cut there into stretches, each goes through the search, and tasks keep what it gave
+for stretches of up to ``CACHED`` code points (at most ``MEMO`` of them), as words recur.
 
 Spaces become the word mark, one is put before a text that isn't empty, and decoding takes it
 away; a word mark that stands in the text itself is encoded as bytes.
 
 Defined results: null text has no ids and decodes to null; empty text has none and decodes to
-the empty text; repeated rows repeat; an empty table gives an empty result.
+the empty text; repeated rows repeat; an empty table gives an empty result; other columns are
+kept, but those of the names that ``encode`` and ``decode`` add are replaced.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 MEMO = 3 << 17
-#: Stretches of up to so many code points are searched in one window.
-SHORT = 64
+INFINITE = float("inf")
+CACHED = 64
 _CODECS: dict[str, PieceCodec] = {}
 
 
@@ -59,7 +61,6 @@ class PieceCodec:
         self.bytes_of = [b"" if model.is_control(i) or model.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         for b, i in byte_ids.items():
             self.bytes_of[i] = bytes([b])
-        self.prefixes = {p[:n] for p in self.cost for n in range(1, len(p) + 1)}
         # no piece crosses the boundary before a mark or beside a character of no piece
         inside = any(MARK in p.lstrip(MARK) for p in self.cost)
         self.stretch = re.compile(r"(?s).+" if inside else rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n+" if "\n" not in "".join(self.cost) else rf"{MARK}*[^{MARK}]+|{MARK}+")
@@ -74,105 +75,86 @@ class PieceCodec:
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of marked text, as they are committed."""
-        cost, prefixes, byte_cost = self.cost, self.prefixes, self.byte_cost
-        n = len(text)
-        best: dict[int, float] = {0: 0.0}  # of boundaries in the window
-        back: dict[int, tuple[int, int]] = {}  # boundary -> (boundary before, id or -1 for bytes)
-        done, reach = 0, 0
+        root, n, longest, window = self.root, len(text), self.longest, 4 * self.longest
+        # of the boundaries from ``done`` on: least cost, the boundary before, and the piece between (-1 for bytes)
+        cost, back, piece = [0.0], [0], [-1]
+        done, reach, limit = 0, 0, window
         for at in range(n):
             if at > done and reach <= at:  # every surviving path runs through this boundary
-                yield self._commit(text, back, done, at)
-                base, done = best[at], at
-                best, back = {at: base}, {}
-            elif at - done > 4 * self.longest:  # or meets in an earlier one
-                meet = self._meeting(back, range(at, min(reach, n) + 1), done)
+                yield self._commit(text, back, piece, done, at)
+                cost, back, piece = [cost[at - done]], [0], [-1]
+                done, limit = at, window
+            elif at - done >= limit:  # or meets in an earlier one
+                meet = self._meeting(back, done, at, reach)
+                limit = 2 * (at - done)  # paths that don't meet soon are followed back ever more seldom
                 if meet > done:
-                    yield self._commit(text, back, done, meet)
-                    best = {b: s for b, s in best.items() if b >= meet}
-                    back = {b: f for b, f in back.items() if b > meet}
-                    done = meet
-            here = best.get(at)
-            if here is None:
-                continue
-            end, single = at, False
-            while end < n:
-                end += 1
-                part = text[at:end]
-                if part not in prefixes:
+                    yield self._commit(text, back, piece, done, meet)
+                    cost, back, piece = cost[meet - done :], back[meet - done :], piece[meet - done :]
+                    done, limit = meet, window
+            room = min(n, at + longest) - done + 1 - len(cost)
+            if room > 0:
+                cost += [INFINITE] * room
+                back += [0] * room
+                piece += [-1] * room
+            k = at - done
+            here, level = cost[k], root
+            for character in text[at : at + longest]:
+                node = level.get(character)
+                if node is None:
                     break
-                found = cost.get(part)
-                if found is not None:
-                    single |= end == at + 1
-                    if end not in best or here - found[0] > best[end]:
-                        best[end], back[end] = here - found[0], (at, found[1])
-                        reach = max(reach, end)
-            if not single:
-                score = here - byte_cost * len(text[at].encode())
-                if at + 1 not in best or score > best[at + 1]:
-                    best[at + 1], back[at + 1] = score, (at, -1)
-                    reach = max(reach, at + 1)
+                level, price, found = node
+                k += 1
+                if found >= 0 and here + price < cost[k]:
+                    cost[k], back[k], piece[k] = here + price, at, found
+                    if k + done > reach:
+                        reach = k + done
+            node = root.get(text[at])
+            if node is None or node[2] < 0:
+                price, k = self.byte_cost * len(text[at].encode()), at + 1 - done
+                if here + price < cost[k]:
+                    cost[k], back[k], piece[k] = here + price, at, -1
+                    if at + 1 > reach:
+                        reach = at + 1
         if n:
-            yield self._commit(text, back, done, n)
+            yield self._commit(text, back, piece, done, n)
 
     @staticmethod
-    def _meeting(back: dict[int, tuple[int, int]], ends: range, done: int) -> int:
+    def _meeting(back: list[int], done: int, at: int, reach: int) -> int:
         """The last boundary that the paths to all live ends share."""
-        live = {e for e in ends if e in back}
+        live = set(range(at, min(reach, done + len(back) - 1) + 1))
         while len(live) > 1:
             last = max(live)
             live.remove(last)
-            live.add(back[last][0] if last in back else done)
+            live.add(back[last - done] if last > done else done)
         return live.pop() if live else done
 
-    def _commit(self, text: str, back: dict[int, tuple[int, int]], start: int, end: int) -> list[int]:
+    def _commit(self, text: str, back: list[int], piece: list[int], done: int, end: int) -> list[int]:
+        """The ids from the boundary ``done`` to ``end``, by the backpointers."""
         ids: list[int] = []
+        start = done
         while end > start:
-            before, piece = back[end]
-            ids.extend(reversed([self.byte_ids[b] for b in text[before:end].encode()]) if piece < 0 else [piece])
-            end = before
-        return ids[::-1]
-
-    def _short(self, text: str) -> tuple[int, ...]:
-        """As ``stream``, for a text that fits in the window."""
-        n, root = len(text), self.root
-        best, back, piece = [1e300] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        best[0] = 0.0
-        for at in range(n):
-            here, level, end = best[at], root, at
-            for character in text[at:]:
-                node = level.get(character)
-                if node is None:
-                    break
-                level, price, found = node
-                end += 1
-                if found >= 0 and here + price < best[end]:
-                    best[end], back[end], piece[end] = here + price, at, found
-            if text[at] not in root or root[text[at]][2] < 0:
-                price = self.byte_cost * len(text[at].encode())
-                if here + price < best[at + 1]:
-                    best[at + 1], back[at + 1], piece[at + 1] = here + price, at, -1
-        ids: list[int] = []
-        while n:
-            before = back[n]
-            if piece[n] >= 0:
-                ids.append(piece[n])
+            before, found = back[end - done], piece[end - done]
+            if found >= 0:
+                ids.append(found)
             else:
-                ids.extend(self.byte_ids[b] for b in reversed(text[before:n].encode()))
-            n = before
-        return tuple(ids[::-1])
+                ids.extend(self.byte_ids[b] for b in reversed(text[before:end].encode()))
+            end = before
+        ids.reverse()
+        return ids
 
     def _stretch_ids(self, stretch: str) -> tuple[int, ...]:
-        if len(stretch) > SHORT:
-            return tuple(i for part in self.stream(stretch) for i in part)
-        ids = self._short(stretch)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[stretch] = ids
+        """What ``stream`` gives for a stretch, from the memo if it was met before."""
+        ids = self.memo.get(stretch)
+        if ids is None:
+            ids = tuple(i for part in self.stream(stretch) for i in part)
+            if len(stretch) <= CACHED:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[stretch] = ids
         return ids
 
     def encode_into(self, text: str, out: array) -> None:
         """Appends the ids of ``text``."""
-        memo = self.memo
         for k, part in enumerate(text.split(MARK)):
             if k:
                 out.extend(self.byte_ids[b] for b in MARK.encode())
@@ -180,8 +162,7 @@ class PieceCodec:
             if not k and text:
                 marked = MARK + marked
             for stretch in self.stretch.findall(marked):
-                ids = memo.get(stretch)
-                out.extend(self._stretch_ids(stretch) if ids is None else ids)
+                out.extend(self._stretch_ids(stretch))
 
     def encode(self, text: str) -> list[int]:
         out = array("i")

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from tidewell.llm import html_text, imatch, license_scan, mixing, ngram_jaccard, passage_chains, piece_codec, quality, secret_scan, toxicity
 
@@ -56,7 +55,10 @@ def op7_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_codec(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
-    """Piece ids of every document, and whether they decode to its text."""
+    """Piece ids of every document, and whether they decode to its text.
+
+    Piece costs are Zipf log-probabilities by the ranks of the model file, which has merges only.
+    """
     return piece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model_file).select("doc_id", "n_ids", "round_trip", "ids")
 
 
