@@ -170,23 +170,92 @@ def test_html_main_text(spark):
 # --- fingerprints -------------------------------------------------------------------------
 
 
+M64 = (1 << 64) - 1
+
+
+def mix(h):
+    """textkit.mix, for one number."""
+    h ^= h >> 32
+    h = h * 0xD6E8FEB86659FD93 & M64
+    h ^= h >> 29
+    h = h * 0xD6E8FEB86659FD93 & M64
+    return h ^ h >> 32
+
+
+def plain_fingerprints(texts):
+    """Fingerprint strings by sets and dictionaries; only the hash of a word is the module's."""
+    words = [WORD.findall((t or "").translate(LOWER)) for t in texts]
+    frequency = Counter(w for own in words for w in set(own))
+    n, out = len(texts), []
+    inside = {w for w, c in frequency.items() if 0.2 <= np.log(n / c) / np.log(n) <= 0.95}
+    number = {w: mix(int(textkit.Words(pa.array([w], pa.large_string())).hash[0]) >> 1) for w in frequency}
+    for own in words:
+        kept = set(own) & inside
+        kept = {number[w] for w in (kept if len(kept) >= imatch.LEAST_TERMS else set(own))}
+        parts = []
+        for k in range(1 + imatch.DENSE):
+            h = [mix((t + 0xD1B54A32D192ED03 * (k + 1)) & M64) for t in kept]
+            h = [x for x in h if not k or x % 4]
+            parts.append(f"{mix(sum(map(mix, h)) & M64) | 1:016x}" if h else "-" * 16)
+        for level, groups in enumerate(imatch.GROUPS):
+            h = [mix((t + 0x9E3779B97F4A7C15 * (level + 1)) & M64) for t in kept]
+            for g in range(imatch.SUBSETS):
+                here = [mix(x) for x in h if x % groups == g]
+                parts.append(f"{mix(sum(here) & M64) >> 32 | 1:08x}" if here else "-" * 8)
+        out.append(parts)
+    return out
+
+
+def plain_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    at = 1 + imatch.DENSE
+    levels = [[(x, y) for x, y in zip(a[at + 32 * i : at + 32 * i + 32], b[at + 32 * i : at + 32 * i + 32], strict=True) if (x, y) != ("-" * 8,) * 2] for i in range(len(imatch.GROUPS))]
+    pairs = levels[max([0, *(i for i, p in enumerate(levels) if len(p) >= 8)])]
+    return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+
+
 def test_imatch(spark):
     rng = random.Random(13)
     rows = [(i, prose(rng, rng.randint(20, 400), 3000)) for i in range(0, 900, 3)] + odd_rows() + [(10_000, prose(rng, 100)), (10_001, "one")]
+    rows.append((10_002, rows[-2][1] + " onemoreword"))
     found = {r.doc_id: r for r in imatch.with_edits(docs(spark, rows)).collect()}
-    ordered = sorted(rows)
-    for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
-        text, after = text or "", after or ""
-        n = len(text) // 4
-        assert found[i].edited_sha256 == hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest() and found[i].n_chars == len(text)
+    ordered = [(i, t or "") for i, t in sorted(rows)]
+    after = [t for _, t in ordered[1:] + ordered[:1]]
+    edits = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for (_, t), n in zip(ordered, after, strict=True)]
+    prints = plain_fingerprints([t for _, t in ordered])
+    for k, ((i, text), changed) in enumerate(zip(ordered, edits, strict=True)):
+        r = found[i]
+        assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest() and r.n_chars == len(text)
+        assert r.fingerprint == "".join(prints[k]), i
+        assert r.near_next == plain_likeness(prints[k], prints[(k + 1) % len(prints)])
+        own = [r.edited_fingerprint[16 * j : 16 * j + 16] for j in range(8)] + [r.edited_fingerprint[j : j + 8] for j in range(128, len(r.edited_fingerprint), 8)]
+        assert r.near_edited == plain_likeness(prints[k], own)
+        assert r.match_edited == any(x == y != "-" * 16 for x, y in zip(prints[k][:8], own[:8], strict=True))
     assert found[9004].fingerprint == found[9005].fingerprint == found[10_001].fingerprint
     own = imatch.fingerprints(docs(spark, rows)).collect()
     assert all(found[r.doc_id].fingerprint == r.fingerprint for r in own)
     near = [found[i] for i, _ in rows[:300]]
     assert np.mean([r.near_edited for r in near]) > 0.35 > 0.15 > np.mean([r.near_next for r in near])
+
+
+def test_imatch_one_term_apart_shares_a_signature(spark):
+    rng = random.Random(37)
+    rows = [(i, prose(rng, 200, 3000)) for i in range(200)]
+    rows = [(2 * i, t) for i, t in rows] + [(2 * i + 1, t.replace(t.split()[100], "w1499", 1)) for i, t in rows]
+    found = {r.doc_id: r for r in imatch.with_edits(docs(spark, rows)).collect()}
+    assert np.mean([found[2 * i].match_next for i in range(200)]) > 0.5 > 0.02 > np.mean([found[2 * i + 1].match_next for i in range(200)])
+
+
+def test_imatch_null_and_equal_ids(spark):
     assert imatch.with_edits(docs(spark, [])).collect() == []
     single = imatch.with_edits(docs(spark, [(5, "a b c d e f g h")])).collect()
     assert single[0].near_next == 1.0
+    rows = [(None, "q r s t u v"), (3, "a b c d e f"), (3, "g h i j k l m"), (3, "a b c d e f"), (None, None), (1, "n o p")]
+    found = imatch.with_edits(docs(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in found) == sorted((i or 0, len(t or "")) for i, t in rows)
+    again = imatch.with_edits(docs(spark, rows[::-1])).collect()
+    assert sorted(map(str, found)) == sorted(map(str, again))
 
 
 # --- passages -----------------------------------------------------------------------------

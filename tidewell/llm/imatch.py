@@ -1,23 +1,27 @@
 """I-Match fingerprints of documents.
 
-Terms are lower-cased words; they are hashed into a lexicon of ``2**lexicon_bits`` entries.
-Entries whose inverse document frequency, as a part of its largest value ``log(N)``, is in
-the band are kept (one bit each, so what is broadcast has a fixed size).  A document's
-distinct terms in the band are sorted and hashed once for each of several randomised subsets
-of the lexicon: at each level, terms are dealt into ``groups`` groups, and the first
-``SUBSETS`` groups are such subsets.  Levels differ in how much of the lexicon a subset
-holds, so that for texts of any length some subsets hold about one term of it and survive
-edits elsewhere.
-
-A fingerprint is a string of one hash (four hex digits, ``----`` if the document has no term
-there) per subset.  The likeness of two fingerprints is the part of subsets with equal hashes
+Terms are lower-cased words, as 63-bit hashes.  Those whose inverse document frequency, as a
+part of its largest value ``log(N)``, is in the band make up the lexicon: counted exactly over
+all documents, and stored as sorted hash arrays that tasks map into memory, so its size isn't
+limited.  A document's distinct terms in the lexicon are sorted and hashed
+
+- whole, and for ``DENSE`` randomised subsets of the lexicon, each of which leaves out a
+  quarter of it (signatures of I-Match: documents that share one are near duplicates unless
+  the terms that differ are many);
+- for randomised subsets that hold 1/32, 1/128, 1/512 or 1/2048 of the lexicon, ``SUBSETS`` at
+  each of these levels.  At the level where a subset holds about one term of a document, the
+  part of equal hashes tells which part of the terms two documents share.
+
+A fingerprint is a string of all hashes: 16 hex digits for each signature, 8 for each subset
+of a level (hyphens if the document has no term there).  The likeness of two fingerprints is 1
+if the hashes of the whole lexicon are equal, or else the part of subsets with equal hashes
 among those that either document fills, at the sparsest level where they fill enough of them.
 
-A document with fewer than ``LEAST_TERMS`` terms in the band uses all its terms.  Defined
+A document with fewer than ``LEAST_TERMS`` terms in the lexicon uses all its terms.  Defined
 results: null text counts as empty; a text without words has a fingerprint without hashes,
 of likeness 1 to another such and 0 to others; equal texts have equal fingerprints; a single
-document is its own next; null ids come last, equal ids by text; an empty table gives an
-empty result; further columns are ignored.
+document is its own next; null ids come last, equal ids in the order of their packed texts;
+an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import textkit as tk
-from tidewell.llm.bitfield import packed_bits, tested
+from tidewell.llm.hash_arrays import HashArrays, write_arrays
+from tidewell.llm.store import discard, written
 
+DENSE, LEFT_OUT = 7, 4
 SUBSETS = 32
 GROUPS = (32, 128, 512, 2048)
 LEAST_TERMS = 4
@@ -40,50 +46,74 @@ LAST = 2**63 - 1
 HEX = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
 #: Documents of one piece of the ordered table, and the most pieces.
 PIECE_ROWS, MOST_PIECES = 1024, 1 << 16
+#: Distinct terms that a counting task holds before it passes them on.
+HELD = 1 << 20
+BAND = (0.2, 0.95)
 
 
-def document_frequencies(docs: DataFrame, lexicon_bits: int) -> DataFrame:
-    """(entry, n): in how many documents an entry's terms occur."""
-    shift = np.uint64(64 - lexicon_bits)
+def terms(words: tk.Words, rows: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, term) of the chosen words of a slice, ordered by row, then term."""
+    row, term = words.row[rows], (words.hash[rows] >> np.uint64(1)).astype(np.int64)
+    order = np.lexsort((term, row))
+    row, term = row[order], term[order]
+    fresh = np.append(True, (row[1:] != row[:-1]) | (term[1:] != term[:-1]))[: len(row)]
+    return row[fresh], term[fresh]
+
+
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(hash, n): in how many documents a term occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << lexicon_bits, dtype=np.int32)
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            term, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], names=["hash", "n"])
+
         for batch in batches:
             for _, part in tk.slices(batch.column("text")):
-                words = tk.Words(part, lower=True)
-                _, entry = tk.distinct(words.row, (words.hash >> shift) << shift)
-                np.add.at(total, entry >> np.uint64(tk.TOKEN_BITS - lexicon_bits), 1)
-        entry = np.flatnonzero(total).astype(np.int32)
-        for at in range(0, len(entry), 1 << 17):
-            own = entry[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["entry", "n"])
+                held.append(terms(tk.Words(part, lower=True))[1])
+                if sum(map(len, held)) > HELD:
+                    yield counted()
+        yield counted()
 
-    return docs.select("text").mapInArrow(run, "entry int, n int").groupBy("entry").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame, lexicon_bits: int, band: tuple[float, float]) -> np.ndarray:
-    """Whether each entry is in the band, as packed bits."""
+def lexicon(docs: DataFrame, band: tuple[float, float]) -> HashArrays:
+    """The terms in the band, as keys of sorted hash arrays."""
     total = docs.count()
-    scale = float(np.log(max(total, 2)))
-    idf = F.log(F.lit(float(max(total, 1))) / F.col("n")) / scale
-    return packed_bits(document_frequencies(docs, lexicon_bits).filter(idf.between(*band)), F.col("entry"), lexicon_bits)
+    idf = F.log(F.lit(float(max(total, 1))) / F.col("n")) / float(np.log(max(total, 2)))
+    inside = written(document_frequencies(docs).filter(idf.between(*band)).select(F.lit(0).alias("kind"), "hash", F.lit(1.0).cast("float").alias("value")), "lexicon")
+    arrays = write_arrays(inside, "lexicon")
+    discard(inside)
+    return arrays
 
 
-def subset_hashes(column: pa.Array, bits: np.ndarray, lexicon_bits: int) -> np.ndarray:
-    """16-bit hashes plus one, 0 for empty subsets: an array of rows x levels x subsets."""
-    n = len(column)
+def lexicon_terms(column: pa.Array, words_of: HashArrays) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, term) of a slice, of the lexicon, or all terms of rows that have too few there."""
     words = tk.Words(column, lower=True)
-    entry = (words.hash >> np.uint64(64 - lexicon_bits)).astype(np.int64)
-    inside = tested(bits, entry)
-    row, term = tk.distinct(words.row[inside], words.hash[inside])
-    few = np.bincount(row, minlength=n) < LEAST_TERMS
-    if few.any():
-        every = few[words.row]
-        more = tk.distinct(words.row[every], words.hash[every])
-        stay = ~few[row]
-        row, term = np.concatenate([row[stay], more[0]]), np.concatenate([term[stay], more[1]])
-    term = tk.mix(term)
-    out = np.zeros((n, len(GROUPS), SUBSETS), dtype=np.uint32)
+    known, back = np.unique((words.hash >> np.uint64(1)).astype(np.int64), return_inverse=True)
+    inside = ~np.isnan(words_of.find(0, known))[back] if len(known) else np.zeros(0, bool)
+    row, _ = terms(words, inside)
+    few = np.bincount(row, minlength=len(column)) < LEAST_TERMS
+    return terms(words, inside | few[words.row])
+
+
+def signatures(column: pa.Array, words_of: HashArrays) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row: rows x (1 + DENSE) hashes, and rows x levels x subsets; 0 where no term is."""
+    n = len(column)
+    row, term = lexicon_terms(column, words_of)
+    count = np.bincount(row, minlength=n)
+    term = tk.mix(term.astype(np.uint64))
+    dense = np.zeros((n, 1 + DENSE), dtype=np.uint64)
+    for k in range(1 + DENSE):
+        h = tk.mix(term + np.uint64(0xD1B54A32D192ED03 * (k + 1) & (2**64 - 1)))
+        own = h % np.uint64(LEFT_OUT) != 0 if k else np.ones(len(h), bool)
+        total = tk.segment_sums(np.where(own, tk.mix(h), np.uint64(0)), count)
+        dense[:, k] = np.where(np.bincount(row[own], minlength=n) > 0, tk.mix(total) | np.uint64(1), 0)
+    levels = np.zeros((n, len(GROUPS), SUBSETS), dtype=np.uint64)
     for level, groups in enumerate(GROUPS):
         h = tk.mix(term + np.uint64(0x9E3779B97F4A7C15 * (level + 1) & (2**64 - 1)))
         group = (h % np.uint64(groups)).astype(np.int64)
@@ -93,27 +123,32 @@ def subset_hashes(column: pa.Array, bits: np.ndarray, lexicon_bits: int) -> np.n
         np.add.at(total, place, tk.mix(h[own]))
         filled = np.zeros(n * SUBSETS, dtype=bool)
         filled[place] = True
-        out[:, level] = np.where(filled, (tk.mix(total) >> np.uint64(48)).astype(np.uint32) + 1, 0).reshape(n, SUBSETS)
-    return out
+        levels[:, level] = np.where(filled, (tk.mix(total) >> np.uint64(32)) | np.uint64(1), 0).reshape(n, SUBSETS)
+    return dense, levels
+
 
+def _digits(hashes: np.ndarray, n_digits: int) -> np.ndarray:
+    shifts = np.arange(4 * n_digits - 4, -1, -4, dtype=np.uint64)
+    digits = HEX[((hashes[:, :, None] >> shifts) & np.uint64(15)).astype(np.uint8)]
+    digits[hashes == 0] = ord("-")
+    return digits.reshape(len(hashes), hashes.shape[1] * n_digits)
 
-def as_strings(hashes: np.ndarray) -> pa.Array:
-    """The fingerprints as strings of four characters a subset."""
-    n, width = len(hashes), hashes[0].size * 4 if len(hashes) else 0
-    value = hashes.reshape(n, -1).astype(np.int64) - 1
-    digits = np.stack([HEX[(value >> shift) & 15] for shift in (12, 8, 4, 0)], axis=2)
-    digits[value < 0] = ord("-")
-    offsets = np.arange(n + 1, dtype=np.int32) * width
-    return pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(digits)))
 
+def as_strings(dense: np.ndarray, levels: np.ndarray) -> pa.Array:
+    """The fingerprints as strings."""
+    n = len(dense)
+    text = np.ascontiguousarray(np.concatenate([_digits(dense, 16), _digits(levels.reshape(n, len(GROUPS) * SUBSETS), 8)], axis=1))
+    return pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * text.shape[1]), pa.py_buffer(text))
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Likeness of fingerprints, row by row."""
+    (whole_a, a), (whole_b, b) = (a[0][:, 0], a[1]), (b[0][:, 0], b[1])
     either = (a > 0) | (b > 0)
     fill, equal = either.sum(axis=2), ((a == b) & either).sum(axis=2)
     level = np.where(fill >= SUBSETS // 4, np.arange(len(GROUPS)), 0).max(axis=1)
     at = np.arange(len(a))
-    return np.where(fill[at, level] > 0, equal[at, level] / np.maximum(fill[at, level], 1), np.where(either.any(axis=(1, 2)), 0.0, 1.0))
+    return np.where(whole_a == whole_b, 1.0, np.where(fill[at, level] > 0, equal[at, level] / np.maximum(fill[at, level], 1), 0.0))
 
 
 def edited(text: str, following: str) -> str:
@@ -122,14 +157,14 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - quarter] + following[:quarter]
 
 
-def fingerprints(docs: DataFrame, *, band: tuple[float, float] = (0.2, 0.95), lexicon_bits: int = 22) -> DataFrame:
+def fingerprints(docs: DataFrame, *, band: tuple[float, float] = BAND) -> DataFrame:
     """(doc_id, fingerprint) of every document; ``band`` is of idf as a part of its largest value."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs, lexicon_bits, band))
+    words_of = lexicon(docs, band)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in tk.slices(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), as_strings(subset_hashes(part, shared.value, lexicon_bits))], names=["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), as_strings(*signatures(part, words_of))], names=["doc_id", "fingerprint"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
@@ -178,9 +213,11 @@ def in_pieces(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_edits(docs: DataFrame, *, band: tuple[float, float] = (0.2, 0.95), lexicon_bits: int = 22) -> DataFrame:
-    """Per document: its fingerprint and its edited text's, and how alike they are and the next one's."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs, lexicon_bits, band))
+def with_edits(docs: DataFrame, *, band: tuple[float, float] = BAND) -> DataFrame:
+    """Per document: its fingerprint and its edited text's, how alike they are, it and the next
+    one's, and whether they share a signature."""
+    words_of = lexicon(docs, band)
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, match_edited boolean, match_next boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -189,23 +226,30 @@ def with_edits(docs: DataFrame, *, band: tuple[float, float] = (0.2, 0.95), lexi
         held: list[tuple[int | None, str]] = []  # documents of a piece in order
         size, piece, following = 0, -1, None
 
+        def of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            parts = [signatures(p, words_of) for _, p in tk.slices(pa.array(texts, pa.large_string()))]
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
         def result(after: str) -> pa.RecordBatch:
             """Of all that is held; ``after`` is the text of the document that follows."""
             texts = [t for _, t in held]
             others = [edited(t, n) for t, n in zip(texts, [*texts[1:], after], strict=True)]
-            own = np.concatenate([subset_hashes(p, shared.value, lexicon_bits) for _, p in tk.slices(pa.array([*texts, after], pa.large_string()))])
-            changed = np.concatenate([subset_hashes(p, shared.value, lexicon_bits) for _, p in tk.slices(pa.array(others, pa.large_string()))])
+            every = of([*texts, after])
+            own, later, changed = tuple(x[:-1] for x in every), tuple(x[1:] for x in every), of(others)
+            shares = lambda a, b: pa.array(((a[0] == b[0]) & (a[0] > 0)).any(axis=1))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([i for i, _ in held], pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in others], pa.string()),
-                    as_strings(own[:-1]),
-                    as_strings(changed),
-                    pa.array(likeness(own[:-1], changed)),
-                    pa.array(likeness(own[:-1], own[1:])),
+                    as_strings(*own),
+                    as_strings(*changed),
+                    pa.array(likeness(own, changed)),
+                    pa.array(likeness(own, later)),
+                    shares(own, changed),
+                    shares(own, later),
                 ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                names=[f.split()[0] for f in schema.split(", ")],
             )
 
         for batch in batches:
@@ -228,5 +272,4 @@ def with_edits(docs: DataFrame, *, band: tuple[float, float] = (0.2, 0.95), lexi
         if held:
             yield result(following)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_pieces(docs).mapInArrow(run, schema)
