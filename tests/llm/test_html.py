@@ -1,0 +1,91 @@
+"""Main text of pages: exact texts of hand-made and of generated pages, broken and long markup."""
+
+from __future__ import annotations
+
+import html as codes
+import random
+
+import pytest
+
+from tidewell.llm import html_text
+
+LONG = "A long paragraph of text without any markup, which goes on for a while and is a part of this page. " * 3
+LONG = LONG.strip()
+
+
+def test_rows(spark):
+    page = "<html><head><title>t</title><script>var a='<p>no</p>';</script></head><body><nav><a href=x>Home</a></nav><div class=ad>Buy now, it is a long advert text that goes on and on.</div><article><h1>Title &amp; more</h1><p><b>First para\n graph<br>goes on.<p>Short.</p><form><input>Sign up</form><section id=comments><p>A reader says a lot of things here.</p></section></article><footer>&copy; us</footer>"
+    plain = "<body><div class=menu><a>One</a><a>Two</a></div><div><p>A long paragraph of text without any markup, which is the content of this page.</p><p>And</p><p>another long paragraph of text without any markup, which is the content as well.</p></div><div class='cookie-notice'>We use cookies</div>"
+    rows = [(1, "u", page), (2, "u", None), (3, "u", ""), (4, None, "no markup at all"), (5, "u", "<p>" + "long text " * 30_000), (6, "u", plain), (6, "u", plain), (7, "u", "<nav>only a menu"), (None, "u", page)]
+    frame = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in html_text.extract(frame).collect()}
+    assert got[1].text == got[None].text == "Title & more First para graph goes on. Short."
+    assert got[2].text == got[3].text == got[7].text == "" and got[4].text == "no markup at all" and got[5].n_chars == 299_999
+    assert got[6].text == "A long paragraph of text without any markup, which is the content of this page. And another long paragraph of text without any markup, which is the content as well."
+    assert html_text.extract(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        (f'<article><h2 id="legal-history">Legal history</h2><p>{LONG}</p><h2 id="search-algorithms">Search</h2><p>{LONG}</p></article>', f"Legal history {LONG} Search {LONG}"),
+        (f'<article class="share-story"><p>{LONG}</p></article>', LONG),
+        (f'<div class="main"><p>{LONG}</p><p>{LONG}</p></div><div class="page-footer"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG} {LONG}"),
+        (f"<h1>Title</h1><div><p>{LONG}</p></div><blockquote>q</blockquote><div><p>{LONG}</p></div>", f"Title {LONG} q {LONG}"),
+        (f'<article><p>{LONG}</p><div>Buy two</div><p>{LONG}</p><ul><li><a href="/a">One more story</a></li><li><a href="/b">Another story</a></li></ul></article>', f"{LONG} {LONG}"),
+        (f'<article><div class="p">{LONG}</div><div class="p">No.</div><div class="p">{LONG}</div></article>', f"{LONG} No. {LONG}"),
+        (f'<article><p>{LONG}</p><ul><li>Plain point</li><li>See <a href="/b">this</a> as well, please</li></ul></article>', f"{LONG} Plain point See this as well, please"),
+        (f'<article><header class="entry-header"><h1>Title</h1></header><p>{LONG}</p><article class="comment"><p>{LONG}</p></article></article>', f"Title {LONG}"),
+        (f"<div><article class='comment'><p>{LONG} {LONG}</p></article></div><div class='text'><p>{LONG}</p></div>", LONG),
+        (f'<main role="main"><div class="articleBody"><p>{LONG}</p><p>x<a class="share-link">y</a></p></div></main><aside>{LONG}</aside>', f"{LONG} xy"),
+        (f"<body><p>{LONG}<!-- an open comment {LONG}", LONG),
+        (f"<p>{LONG}</p><script>var x = '{LONG}';", LONG),
+        (f"<p>A &lt;b&gt; &#233;&nbsp;&hellip; {LONG}</p>", f"A <b> é … {LONG}"),
+    ],
+)
+def test_layouts(page, expected):
+    assert html_text.main_text(page) == expected
+
+
+def generated(rng: random.Random) -> tuple[str, str]:
+    """A page and its article's text."""
+    words = lambda a, b: " ".join(rng.choice(["lorem", "été", "a&b", "dolor", "1<2", "sit", "amet", "“so”", "𝔘"]) for _ in range(rng.randint(a, b)))
+    text = lambda x: rng.choice([codes.escape(x, quote=False), codes.escape(x, quote=False).replace(" ", "\n  ", 1), "<em>" + codes.escape(x, quote=False) + "</em>"])
+    blocks = [words(2, 6), *(words(20, 90) if rng.random() < 0.7 else words(1, 4) for _ in range(rng.randint(2, 9))), words(40, 80)]
+    body = f"<h1>{text(blocks[0])}</h1>" + "".join(f"<p>{text(b)}</p>" if rng.random() < 0.7 else f"<blockquote>{text(b)}</blockquote>" if rng.random() < 0.5 else f"<p>{text(b)}" for b in blocks[1:])
+    links = "<ul>" + "".join(f"<li><a href='/x'>{text(words(1, 3))}</a></li>" for _ in range(rng.randint(2, 9))) + "</ul>"
+    noise = [f"<nav>{links}</nav>", f"<div class='sidebar right'>{links}<p>{text(words(9, 40))}</p></div>", f"<div id='cookieNotice'>{text(words(9, 30))}</div>", f"<form action='/'>{text(words(2, 9))}<input></form>", f"<aside>{text(words(20, 60))}</aside>", f"<div class='ad'>{text(words(5, 30))}</div>"]
+    later = [f"<footer>{text(words(4, 20))}</footer>", f"<section class='comments'><div><p>{text(words(20, 70))}</p><p>{text(words(20, 70))}</p></div></section>", "<script>if (a < b) { p('</p>') }</script>", f"<div class='related-posts'>{links}</div>", f"<div class='newsletter'>{text(words(9, 30))}</div>"]
+    rng.shuffle(noise)
+    rng.shuffle(later)
+    inner = rng.choice(["", "".join(later[:2])])
+    page = f"<!doctype html><html><head><title>t</title><style>p{{}}</style></head><body><header>{text(words(2, 9))}</header>{''.join(noise[:4])}<article>{body}{inner}</article>{''.join(later[2:])}</body></html>"
+    return page, " ".join(" ".join(b.split()) for b in blocks)
+
+
+def test_generated_pages_exactly(monkeypatch):
+    rng = random.Random(41)
+    for _ in range(300):
+        page, expected = generated(rng)
+        assert html_text.main_text(page) == expected, page
+    # cut anywhere: in tags, comments and character references
+    page, expected = generated(rng)
+    page = page.replace("<article>", "<article><!-- <p> a remark -->")
+    for size in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(html_text, "CHUNK", size)
+        assert html_text.main_text(page) == expected
+
+
+def test_smoothing_and_clusters():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 9, 30):
+        values = np.round(rng.gamma(1, 50, n))
+        weight = lambda d: np.exp(-0.5 * d * d) * (abs(d) <= 3)
+        by_hand = [sum(weight(i - j) * values[j] for j in range(n)) / sum(weight(i - j) for j in range(n)) for i in range(n)]
+        assert html_text.smoothed(values, 1.0) == pytest.approx(by_hand)
+        spread = lambda v: sum((v - v.mean()) ** 2) if len(v) else 0
+        splits = {t: spread(values[values < t]) + spread(values[values >= t]) for t in sorted(set(values))[1:]}
+        if splits:
+            assert splits[html_text.two_clusters(values)] == pytest.approx(min(splits.values()))

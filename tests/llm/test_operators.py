@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidewell.llm import html_text, imatch, ngram_jaccard, passage_chains, piece_codec, textkit, toxicity
+from tidewell.llm import imatch, ngram_jaccard, passage_chains, piece_codec, textkit, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, score double, key string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -152,21 +152,6 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs(spark, []), model).collect() == []
 
 
-# --- html ---------------------------------------------------------------------------------
-
-
-def test_html_main_text(spark):
-    page = "<html><head><title>t</title><script>var a='<p>no</p>';</script></head><body><nav><a href=x>Home</a></nav><div class=ad>Buy now, it is a long advert text that goes on and on.</div><article><h1>Title &amp; more</h1><p><b>First para\n graph<br>goes on.<p>Short.</p><form><input>Sign up</form><section id=comments><p>A reader says a lot of things here.</p></section></article><footer>&copy; us</footer>"
-    plain = "<body><div class=menu><a>One</a><a>Two</a></div><div><p>A long paragraph of text without any markup, which is the content of this page.</p><p>And</p><p>another long paragraph of text without any markup, which is the content as well.</p></div><div class='cookie-notice'>We use cookies</div>"
-    rows = [(1, "u", page), (2, "u", None), (3, "u", ""), (4, None, "no markup at all"), (5, "u", "<p>" + "long text " * 30_000), (6, "u", plain), (6, "u", plain), (7, "u", "<nav>only a menu")]
-    frame = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string")
-    got = {r.page_id: r for r in html_text.extract(frame).collect()}
-    assert got[1].text == "Title & more First para graph goes on. Short."
-    assert got[2].text == got[3].text == got[7].text == "" and got[4].text == "no markup at all" and got[5].n_chars == 299_999
-    assert got[6].text == "A long paragraph of text without any markup, which is the content of this page. And another long paragraph of text without any markup, which is the content as well."
-    assert html_text.extract(frame.limit(0)).collect() == []
-
-
 # --- fingerprints -------------------------------------------------------------------------
 
 

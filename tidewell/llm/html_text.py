@@ -3,17 +3,27 @@
 The standard library's parser gives a stream of events, from which a page becomes lines: one
 per block element, with its text, the number of tags in it and how much of the text is link.
 The text-to-tag ratio of the lines is smoothed with a Gaussian and split into two clusters;
-runs of lines in one container are regions.  The region with the most text of the upper
-cluster is content; if it stands in an article (or else a main) element, so is the rest of
-that element, and if not, so are the regions of which the upper cluster holds at least half.
-Inside content nothing is dropped, so short paragraphs stay.  Elements that can't be article
-text (scripts, navigation, asides, forms, page headers and footers, hidden ones, and those
-whose class, id or role names such a part) are lines for the clustering, but never content.
+runs of lines in one container are regions.
+
+The region with the most text of the upper cluster is content (the first of several).  If it
+stands in an article (or else a main) element, the regions of that element are content but
+for those that are mostly links, and those of a ``div`` or ``section`` whose ratio is below a
+quarter of the clusters' threshold, unless the container looks like that of a better region
+(the same element and class) or holds a heading.  Elsewhere, regions are content of which the upper
+cluster holds at least half, or whose container looks like one of these; so are headings
+before content, and between such regions those in other elements than ``div`` and ``section``.
+Inside a region nothing is dropped, so short paragraphs stay.
+
+Elements that can't be article text (scripts, navigation, asides, forms, page headers and
+footers, hidden ones, and containers whose class, id or role names such a part) are lines for
+the clustering, but never content.  Names of headings and inline elements decide nothing, nor
+does that of an outermost article or main element, unless it says that it is a comment.
 
 Pages are handled by themselves in Arrow tasks: no shuffle; memory is that of one page's text.
 
 Defined results: null, empty or text-free html gives an empty text; broken markup is read as
-far as the parser goes on; repeated rows repeat; an empty table gives an empty result; further
+far as the parser goes on; of regions with equally much text of the upper cluster the larger,
+then the first is taken; repeated rows repeat; an empty table gives an empty result; further
 columns are ignored.
 """
 
@@ -34,24 +44,28 @@ SKIPPED = frozenset("script style noscript template nav footer aside form button
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar "
     "widget footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
-    "recommended recommendations comment comments commentlist reply replies respond disqus pagination pager toolbar legal copyright disclaimer skip teaser toc search complementary contentinfo".split()
+    "recommended recommendations comment comments commentlist discussion reply replies respond responses feedback disqus pagination pager toolbar legal copyright disclaimer skip teaser toc search complementary contentinfo".split()
 )
-ALWAYS_NOISE = frozenset("ad ads advert advertisement comment comments sidebar cookie cookies newsletter related promo sponsored share menu breadcrumb breadcrumbs nav navbar".split())
-CONTENT = frozenset("article content post entry story main body text page".split())
+COMMENT = frozenset("comment comments reply replies response responses".split())
+#: Beside these, "header" names the heading of an article.
+ARTICLE = frozenset("article content post entry story".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SILENT = frozenset("script style noscript template head title select option textarea iframe object svg canvas video audio".split())
 #: An open element of the first kind ends where one of the second begins.
 ENDS_AT = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
+#: Blocks that are parts of the container they stand in.
+PARTS = frozenset("p li dt dd td th tr tbody thead tfoot caption figcaption".split())
 CHUNK = 1 << 16
 
 
 class Line:
     """Text of one block, its tags, the code points of it that are links, and where it stands."""
 
-    __slots__ = ("article", "links", "out", "parts", "place", "tags")
+    __slots__ = ("article", "heading", "links", "out", "parts", "place", "tags")
 
-    def __init__(self, place: int, article: int, out: bool):
+    def __init__(self, place: int, article: int, out: bool, heading: bool):
         self.parts: list[str] = []
-        self.tags, self.links, self.place, self.article, self.out = 1, 0, place, article, out
+        self.tags, self.links, self.place, self.article, self.out, self.heading = 1, 0, place, article, out, heading
 
 
 class PageLines(HTMLParser):
@@ -60,25 +74,25 @@ class PageLines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = []  # name, left out, container
-        self.skipping = self.silent = self.links = self.marked = self.containers = 0
+        self.skipping = self.silent = self.links = self.marked = self.headings = 0
+        self.looks: list[tuple[str, str]] = [("", "")]  # of each container: element and class
         self.lines: list[Line] = []
         self.fresh = True
 
     def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in SKIPPED:
+        if tag in SKIPPED or tag == "header" and not self.marked:
             return True
-        if tag == "header" and not self.marked:
-            return True
-        if not attrs or tag in ("html", "body", "main", "article") and not self.marked and tag != "article":
-            return False
         words: set[str] = set()
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
                 return True
             if name in ("class", "id", "role") and value:
                 words.update(re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", value).lower()))
-        noise = words & NOISE
-        return bool(noise) and (bool(noise & ALWAYS_NOISE) or not words & CONTENT)
+        if tag in INLINE or tag in HEADINGS or tag in ("html", "body"):
+            return False
+        if tag in ("article", "main") and not self.marked:
+            return bool(words & COMMENT)
+        return bool(words & NOISE - ({"header"} if words & ARTICLE else set()))
 
     def _pop(self) -> str:
         tag, out, _ = self.stack.pop()
@@ -86,6 +100,7 @@ class PageLines(HTMLParser):
         self.silent -= tag in SILENT
         self.links -= tag == "a"
         self.marked -= tag in ("article", "main")
+        self.headings -= tag in HEADINGS
         return tag
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -101,9 +116,9 @@ class PageLines(HTMLParser):
         if tag in VOID:
             return
         out = self._left_out(tag, attrs)
-        if tag not in INLINE and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br"):
-            self.containers += 1
-            place = self.containers
+        if tag not in INLINE and tag not in HEADINGS and tag not in PARTS:
+            place = len(self.looks)
+            self.looks.append((tag, dict(attrs).get("class") or ""))
         else:
             place = self.stack[-1][2] if self.stack else 0
         self.stack.append((tag, out, place))
@@ -111,6 +126,7 @@ class PageLines(HTMLParser):
         self.silent += tag in SILENT
         self.links += tag == "a"
         self.marked += tag in ("article", "main")
+        self.headings += tag in HEADINGS
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -137,7 +153,7 @@ class PageLines(HTMLParser):
         if self.fresh or self.lines[-1].out != (self.skipping > 0):
             if not data.strip():
                 return
-            self.lines.append(Line(self.stack[-1][2] if self.stack else 0, self._article(), self.skipping > 0))
+            self.lines.append(Line(self.stack[-1][2] if self.stack else 0, self._article(), self.skipping > 0, self.headings > 0))
             self.fresh = False
         line = self.lines[-1]
         line.parts.append(data)
@@ -165,34 +181,59 @@ def two_clusters(values: np.ndarray) -> float:
     return float(ordered[int(np.argmin(within)) + 1])
 
 
+class Region:
+    """A run of lines in one container: indices, code points, those of upper lines and of links."""
+
+    def __init__(self, lines: list[int], found: list[tuple[str, Line]], upper: np.ndarray, ratio: np.ndarray, look: tuple[str, str]):
+        self.lines, self.look, self.box = lines, look, look[0] in ("div", "section")
+        self.size = sum(len(found[i][0]) for i in lines)
+        self.high = sum(len(found[i][0]) for i in lines if upper[i])
+        self.linked = 2 * sum(found[i][1].links for i in lines) > self.size
+        self.article, self.ratio = found[lines[0]][1].article, max(ratio[i] for i in lines)
+        self.headed = any(found[i][1].heading for i in lines)
+        self.heading = all(found[i][1].heading for i in lines)
+
+
+def content(found: list[tuple[str, Line]], looks: list[tuple[str, str]], sigma: float) -> list[int]:
+    """The lines that are content."""
+    ratio = np.array([0.0 if 2 * line.links > len(text) else len(text) / line.tags for text, line in found])
+    score = smoothed(ratio, sigma)
+    least = two_clusters(score)
+    upper = (score >= least) & (ratio > 0)
+    runs: list[list[int]] = []
+    for i, (_, line) in enumerate(found):
+        if not line.out:
+            if runs and found[runs[-1][-1]][1].place == line.place:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+    regions = [Region(run, found, upper, ratio, looks[found[run[0]][1].place]) for run in runs]
+    if not regions:
+        return []
+    best = max(regions, key=lambda r: (r.high, r.size, -r.lines[0]))
+    if best.article:
+        regions = [r for r in regions if r.article == best.article]
+        alike = {r.look for r in regions if 4 * r.ratio >= least and not r.linked}
+        return [i for r in regions if r is best or not r.linked and (not r.box or r.headed or r.look in alike) for i in r.lines]
+    alike = {r.look for r in regions if r is best or r.box and not r.linked and 2 * r.high >= r.size}
+    chosen = [r is best or not r.linked and (2 * r.high >= r.size or r.box and r.look in alike) for r in regions]
+    for k in range(len(regions) - 1, -1, -1):  # headings before content
+        chosen[k] |= regions[k].heading and not regions[k].linked and k + 1 < len(chosen) and chosen[k + 1]
+    first, last = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
+    return [i for k, r in enumerate(regions) if chosen[k] or first < k < last and not r.box and not r.linked for i in r.lines]
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The main text of one page."""
     parser = PageLines()
     for at in range(0, len(html or ""), CHUNK):
         parser.feed(html[at : at + CHUNK])
+    if parser.rawdata.startswith("<!--"):
+        parser.rawdata = ""  # a comment that is never closed
     parser.close()
     found = [(" ".join("".join(line.parts).split()), line) for line in parser.lines]
     found = [(text, line) for text, line in found if text]
-    if all(line.out for _, line in found):
-        return ""
-    ratio = np.array([0.0 if 2 * line.links > len(text) else len(text) / line.tags for text, line in found])
-    score = smoothed(ratio, sigma)
-    upper = (score >= two_clusters(score)) & (ratio > 0)
-    regions: list[list[int]] = []
-    for i, (_, line) in enumerate(found):
-        if line.out:
-            continue
-        if regions and found[regions[-1][-1]][1].place == line.place:
-            regions[-1].append(i)
-        else:
-            regions.append([i])
-    size = [sum(len(found[i][0]) for i in region) for region in regions]
-    high = [sum(len(found[i][0]) for i in region if upper[i]) for region in regions]
-    best = max(range(len(regions)), key=lambda r: (high[r], size[r], -r))
-    article = found[regions[best][0]][1].article
-    if article:
-        return " ".join(text for text, line in found if line.article == article and not line.out)
-    return " ".join(found[i][0] for r, region in enumerate(regions) if r == best or 2 * high[r] >= size[r] for i in region)
+    return " ".join(found[i][0] for i in content(found, parser.looks, sigma)) if found else ""
 
 
 def extract(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
