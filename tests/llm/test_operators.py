@@ -270,6 +270,66 @@ def test_repeated_passages(spark):
     assert passage_chains.repeated_passages(docs(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("flip", [False, True])
+def test_passages_of_equal_ids(spark, flip):
+    rng = random.Random(43)
+    own = lambda tag, n: [f"{tag}{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own("p", 60)
+    rows = [(1, " ".join(own("a", 200))), (1, " ".join([*own("b", 70), *passage])), (2, " ".join([*own("c", 10), *passage])), (2, " ".join([*own("c", 10), *passage, "tail"]))]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t), "x", 0.5, "k") for i, t in (rows[::-1] if flip else rows)], DOCS)
+    found = passage_chains.repeated_passages(frame).collect()
+    assert sorted((r.doc_id, r.first_id, r.start_word, r.end_word, r.first_start, r.first_end, r.n_equal, r.identity) for r in found) == [(2, 1, 10, 70, 70, 130, 60, 1.0)] * 2
+    assert len({r.text_hash for r in found}) == 2 and len({r.first_hash for r in found}) == 1
+
+
+def plain_equal(a, b):
+    """Most equal words of an alignment of least edits, over all alignments."""
+    table = {(0, 0): (0, 0)}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if i or j:
+                ways = [(c[0] + 1, c[1]) for c in (table.get((i - 1, j)), table.get((i, j - 1))) if c]
+                if (c := table.get((i - 1, j - 1))) is not None:
+                    ways.append((c[0] + (a[i - 1] != b[j - 1]), c[1] - (a[i - 1] == b[j - 1])))
+                table[i, j] = min(ways)
+    return -table[len(a), len(b)][1]
+
+
+def test_align_against_all_alignments():
+    rng = random.Random(47)
+    k, seen = 4, 0
+    for _ in range(300):
+        a = [rng.randrange(30) for _ in range(rng.randint(12, 40))]
+        b = [rng.randrange(30) if rng.random() < 0.1 else w for w in a for _ in range(rng.choice([1, 1, 1, 1, 1, 1, 1, 0, 2]))] or [1]
+        anchors = [(i, j) for i in range(len(a) - k + 1) for j in range(len(b) - k + 1) if a[i : i + k] == b[j : j + k]]
+        chain = []
+        for i, j in anchors:
+            if not chain or i > chain[-1][0] and j > chain[-1][1]:
+                chain.append((i, j))
+        chain += [(len(a) + 5, len(b) + 5)]  # what isn't there counts for nothing
+        if rng.random() < 0.5:
+            chain.insert(0, (0, 0))
+        xs, ys = (np.array(z) for z in zip(*chain, strict=True))
+        start, end, first, first_end, equal = passage_chains.align(np.array(a), np.array(b), xs, ys, k)
+        assert 0 <= start <= end <= len(a) and 0 <= first <= first_end <= len(b)
+        most = plain_common(a[start:end], b[first:first_end])
+        assert equal <= most  # no word is counted that an alignment doesn't have
+        if len(chain) > 3:
+            seen += 1
+            assert equal >= 0.8 * plain_equal(a[start:end], b[first:first_end])
+    assert seen > 100
+
+
+def plain_common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for u in a:
+        before, row[0] = row[0], 0
+        for j, v in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if u == v else max(row[j], row[j - 1])
+    return row[-1]
+
+
 def test_chains_against_all_chains():
     rng = random.Random(19)
     for _ in range(60):
