@@ -224,7 +224,7 @@ def test_markov_spans_within_paths_and_short(spark):
     assert got == {i: spans for i, (_, spans) in enumerate(cases)}
 
 
-@pytest.mark.parametrize("name", ["op4_license_scan", "op5_mix_sources"])
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard", "op4_license_scan", "op5_mix_sources"])
 def test_query_equals_sql(spark, name):
     import duckdb
 

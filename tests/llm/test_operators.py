@@ -112,6 +112,54 @@ def test_jaccard_lengthened_and_cut(spark, k, percent):
     assert {r.doc_id: (r.component_id, r.n_shingles) for r in found} == {i: (c, sizes[i]) for i, c in expected.items()}
 
 
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_pairs_of_unequal_size(spark, k, percent):
+    rng = random.Random(53)
+    common = prose(rng, 40).split()  # frequent shingles as well
+    rows = []
+    for base in range(120):
+        n = int(2 ** rng.uniform(0, 11))
+        text = [f"v{base}x{rng.randrange(10**6)}" for _ in range(n)]
+        if base % 3 == 0:
+            text = text[: n // 2] + common[: n // 8] + text[n // 2 :]
+        for _ in range(2):
+            other, share = list(text), (100 - percent) / 100 * rng.uniform(0.2, 1.3)
+            for _ in range(max(1, int(share * n / rng.choice([1, 1, 2])))):
+                kind = (base // 3) % 3 if rng.random() < 0.9 else rng.randrange(3)
+                at = rng.choice([0, len(other), rng.randint(0, len(other))]) if rng.random() < 0.3 else len(other)
+                if kind == 0:
+                    other.insert(at, f"n{rng.randrange(10**6)}")
+                elif kind == 1 and other:
+                    del other[min(at, len(other) - 1)]
+                elif other:
+                    other[min(at, len(other) - 1)] = f"r{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(other)))
+        rows.append((len(rows), " ".join(text)))
+    # exactly at the threshold, and one shingle below it
+    m = 340
+    text = [f"t{i}" for i in range(m + k - 1)]
+    for tag, extra in (("at", m * (100 - percent) // percent), ("below", m * (100 - percent) // percent + 1)):
+        rows.append((len(rows), " ".join(f"{tag}{w}" for w in text)))
+        rows.append((len(rows), " ".join([*(f"{tag}{w}" for w in text), *(f"{tag}x{i}" for i in range(extra))])))
+    expected, sizes = expected_components(rows, k, percent)
+    assert [expected[i] for i in range(len(rows) - 4, len(rows))] == [len(rows) - 4, len(rows) - 4, len(rows) - 2, len(rows) - 1]
+    found = ngram_jaccard.similar(docs(spark, rows), k=k, percent=percent).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in found} == {i: (c, sizes[i]) for i, c in expected.items()}
+    assert 60 < sum(i != c for i, c in expected.items()) < 220
+
+
+def test_jaccard_many_frequent_tokens_and_equal_ids(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "MOST_FREQUENT", 8)
+    rng = random.Random(59)
+    line = prose(rng, 30)
+    rows = [(i, line + " " + prose(rng, 30, 10**6)) for i in range(80)]
+    rows += [(100 + i, t + " more") for i, t in rows[:20]]
+    expected, _ = expected_components(rows, 4, 85)
+    extra = [(500, "a b c d e f"), (500, "g h i j k l"), (501, "G h i j k l")]  # one id, two texts
+    found = [(r.doc_id, r.component_id) for r in ngram_jaccard.similar(docs(spark, rows + extra), k=4, percent=85).collect()]
+    assert sorted(found) == sorted([*expected.items(), (500, 500), (500, 500), (501, 500)])
+
+
 def test_jaccard_empty_and_null_ids(spark):
     assert ngram_jaccard.similar(docs(spark, []), k=4, percent=85).collect() == []
     found = ngram_jaccard.similar(docs(spark, [(None, "a b c d e"), (4, "a b c d e"), (None, "q r s t u")]), k=4, percent=85).collect()

@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with Jaccard similarity 0.85 or more on 4-word shingles."""
-    return ngram_jaccard.similar(_table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
+    return ngram_jaccard.similar(_table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": license_scan.oracle(), "op5_mix_sources": mixing.oracle()}
+    return {"op1_ngram_jaccard": ngram_jaccard.oracle(), "op4_license_scan": license_scan.oracle(), "op5_mix_sources": mixing.oracle()}
