@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidewell.llm import imatch, ngram_jaccard, passage_chains, piece_codec, textkit, toxicity
+from tidewell.llm import imatch, ngram_jaccard, passage_chains, piece_codec, textkit
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, score double, key string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -166,40 +166,6 @@ def test_jaccard_empty_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0), (0, 4), (4, 4)]
 
 
-# --- toxicity -----------------------------------------------------------------------------
-
-
-def test_toxicity_held_out(spark):
-    rng = random.Random(11)
-    rows, labels = [], []
-    for i in range(900):
-        toxic = rng.random() < 0.2
-        words = prose(rng, 60).split()
-        if toxic:
-            words[rng.randrange(60)] = rng.choice(["idiot,", "SCUM", "moron!!"])
-        rows.append((i, " ".join(words)))
-        labels.append((i, rng.randint(0, 1), int(toxic)))
-    from pyspark.sql import functions as F
-
-    given = spark.createDataFrame(labels[:600] + [(None, 1, 1), (77_777, None, 1)], "doc_id long, quality int, toxic int")
-    model = toxicity.train(docs(spark, rows), given, F.col("toxic") * (2 - F.col("quality")), grades=3)
-    assert len(model.features) < 2000 and (np.diff(model.thresholds) >= 0).all()
-    found = {r.doc_id: r for r in toxicity.score(docs(spark, rows + odd_rows()), model).collect()}
-    held = [(found[i].toxic, bool(t)) for i, _, t in labels[600:]]
-    assert sum(a == b for a, b in held) >= 0.97 * len(held)
-    assert not any(found[i].toxic for i, _ in odd_rows())
-    assert all(0 <= r.expected_severity <= 2 for r in found.values())
-
-
-def test_toxicity_without_labels(spark):
-    from pyspark.sql import functions as F
-
-    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    model = toxicity.train(docs(spark, odd_rows()), none, F.col("toxic"), grades=2)
-    assert not any(r.toxic for r in toxicity.score(docs(spark, odd_rows()), model).collect())
-    assert toxicity.score(docs(spark, []), model).collect() == []
-
-
 # --- fingerprints -------------------------------------------------------------------------
 
 

@@ -14,7 +14,8 @@ frequent word shares a weight with rare ones; the model that is broadcast has at
 ``most_features`` of them.
 
 Defined results: null and empty texts have no features and the score 0; repeated rows get
-equal results; unlabelled documents are scored as all others; without any label the
+equal results, and repeated labels count as often; a text of any length is one set of features;
+unlabelled documents are scored as all others; without any label the
 expected grade is 0; an empty table gives an empty result; further columns are ignored.
 """
 
