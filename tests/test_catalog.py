@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime
 import glob
 import os
+import random
 
 import duckdb
 import pytest
 
 from tidewell.operators.ranking import top_per_group
-from tidewell.operators.time import asof_join, interval_join, sessions
+from tidewell.operators.time import asof_join, in_blocks, interval_join, numbered, sessions
 from tidewell.plans import catalog
 from tidewell.streaming.windows import deduplicated, windowed_counts
 
@@ -51,6 +52,32 @@ def test_asof_ties_nulls_and_empty(spark):
     assert asof_join(left.limit(0), right, key="user_id", time="ts", order="event_id", values=["value"]).collect() == []
 
 
+def test_asof_over_stretches_of_a_hot_key(spark):
+    rng = random.Random(5)
+    lefts = [(i, rng.randrange(9000), rng.choice([1, 1, 1, 2]), 0.0) for i in range(300)]
+    rights = [(1000 + i, rng.randrange(9000), rng.choice([1, 1, 2, 3]), float(i)) for i in range(40)]
+    joined = {r.event_id: r.asof_event_id for r in asof_join(events(spark, lefts), events(spark, rights), key="user_id", time="ts", order="event_id", values=["event_id"], seconds=3600).collect()}
+    for i, m, u, _ in lefts:
+        assert joined[i] == max(((t, j) for j, t, v, _ in rights if v == u and t <= m), default=(0, None))[1]
+
+
+def test_windows_in_blocks(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(900), rng.choice([1, 1, 1, 2, None]), float(rng.randrange(99))) for i in range(200)]
+    table = numbered(events(spark, rows), key="user_id", time="ts", order="event_id", seconds=3600)
+    blocked, window, own = in_blocks(table, key="user_id", reach=2, rows=7)
+    found = blocked.select("event_id", "number", F.sum("value").over(window.rowsBetween(-2, 0)).alias("s"), own.alias("own")).filter("own").collect()
+    assert len(found) == len(rows)
+    for r in found:
+        user = next(u for i, _, u, _ in rows if i == r.event_id)
+        ordered = sorted((m, i, v) for i, m, u, v in rows if u == user)
+        at = [i for _, i, _ in ordered].index(r.event_id)
+        assert r.number == at and r.s == sum(v for _, _, v in ordered[max(0, at - 2) : at + 1])
+    assert numbered(events(spark, []), key="user_id", time="ts", order="event_id").collect() == []
+
+
 def test_interval_join_edges(spark):
     left, right = events(spark, [(1, 60, 1, 0.0), (2, 61, 1, 0.0), (3, 60, None, 0.0)]), events(spark, [(11, 0, 1, 1.0), (12, 60, 1, 2.0), (13, 62, 1, 3.0), (14, 60, None, 1.0)])
     pairs = interval_join(left, right, key="user_id", time="ts", seconds=3600).collect()

@@ -1,4 +1,4 @@
-"""The named queries over the TPC-H-like, event, document and vector tables."""
+"""The named queries over the TPC-H-like, event and document tables."""
 
 from __future__ import annotations
 
@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.text import normalised
 from tidewell.operators.ranking import top_per_group
-from tidewell.operators.time import asof_join, interval_join, sessions
+from tidewell.operators.time import asof_join, in_blocks, interval_join, numbered, sessions
 from tidewell.sources.tables import table
+from tidewell.streaming.drain import drained, stream_of
+from tidewell.streaming.windows import deduplicated, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -146,8 +148,10 @@ SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY t
        value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS change FROM events""")
 def moving_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moving average of five events and the change from the one before."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.round(F.avg("value").over(order.rowsBetween(-4, 0)), 6).alias("moving_avg"), (F.col("value") - F.lag("value").over(order)).alias("change"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    blocked, order, own = in_blocks(numbered(events, key="user_id", time="ts", order="event_id"), key="user_id", reach=4)
+    found = blocked.select("event_id", "user_id", F.round(F.avg("value").over(order.rowsBetween(-4, 0)), 6).alias("moving_avg"), (F.col("value") - F.lag("value").over(order)).alias("change"), own.alias("own"))
+    return found.filter("own").drop("own")
 
 
 @query("""
@@ -216,6 +220,24 @@ def event_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["view", "purchase"]).agg(F.count(F.lit(1)))
 
 
+@query("""
+SELECT start, start + INTERVAL '1 day' AS finish, event_type, n, total FROM (
+  SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL)
+WHERE start + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
+def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily windows of the events as a stream; those that the watermark has not passed stay open."""
+    counts = windowed_counts(stream_of(spark, sf_dir, "events"), time="ts", size="1 day", by=["event_type"])
+    zoneless = lambda c: F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+    return drained(counts, "counts").select(zoneless("start").alias("start"), zoneless("end").alias("finish"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def streamed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, each id once within the watermark."""
+    once = deduplicated(stream_of(spark, sf_dir, "events"), keys=["event_id"], time="ts")
+    return drained(once, "once").select("event_id", "user_id", "event_type", "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
