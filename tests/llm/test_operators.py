@@ -442,25 +442,3 @@ def test_encode_documents(spark):
     assert piece_codec.encode(docs(spark, []), MODEL).collect() == []
     again = piece_codec.encode(encoded, MODEL)  # whose columns clash
     assert again.columns == encoded.columns and sorted(map(str, again.collect())) == sorted(map(str, encoded.collect()))
-
-
-# --- pipeline -----------------------------------------------------------------------------
-
-
-def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline
-
-    rng = random.Random(31)
-    rows = [(i, prose(rng, 60 + i % 50)) for i in range(160)]
-    rows += [(300 + i, rows[i][1] + " tail") for i in range(20)] + [(400, rows[5][1] + " password = hunter2hunter2"), *odd_rows()]
-    frame = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    frame.write.parquet(f"file://{tmp_path}/documents.parquet")
-    taken = frame
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        taken = stage(spark, taken, str(tmp_path))
-        assert taken.columns == frame.columns, name
-    out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
-    assert out and all(r.round_trip for r in out)
-    ids = {r.doc_id for r in out}
-    assert not {9001, 9002, 9003, 9004, 9007} & ids and not ids & set(range(300, 320))
-    assert "hunter2" not in " ".join(r.text for r in out) and max(Counter(r.doc_id for r in out).values()) <= 2

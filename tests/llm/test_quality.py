@@ -80,6 +80,36 @@ class PlainModel:
         return -sum(math.log(self.p[padded[i : i + 5]]) for i in range(len(text))) / max(1, len(WORD.findall(text)))
 
 
+def plain_verdicts(rows):
+    """(counts, score, base failed, lower, upper, kept) of each (id, text, language) row, by hand."""
+    texts = defaultdict(list)
+    for _, t, lang in rows:
+        texts[lang].append(t or "")
+    models = {lang: PlainModel(t) for lang, t in texts.items()}
+    known: dict = {}
+    out = []
+    for _, t, lang in rows:
+        if (t, lang) not in known:
+            counts = expected_counts(t)
+            known[t, lang] = counts, round(models[lang].score(t or ""), 9), counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+        out.append(known[t, lang])
+    # bands around the median of distinct scores, deviations leaning on all languages'
+    passed = {(row[2], round(score, 6), counts[0]) for row, (counts, score, failed) in zip(rows, out, strict=True) if not failed}
+    centre, spread = {}, {}
+    for lang in texts:
+        own = [(s, n) for x, s, n in passed if x == lang]
+        centre[lang] = np.median([round(s, 3) for s, _ in own]) if own else 0.0
+        spread[lang] = [round(abs(s - centre[lang]) * math.sqrt(n), 2) for s, n in own]
+    every = np.median(sum(spread.values(), []) or [0.0])
+    for k, ((_, _, lang), (counts, score, failed)) in enumerate(zip(rows, out, strict=True)):
+        n = len(spread[lang])
+        deviation = 1.4826 * math.sqrt((n * (np.median(spread[lang]) if n else 0.0) ** 2 + quality.FEW * every**2) / (n + quality.FEW))
+        wide = 3.5 * math.sqrt(deviation**2 / max(1, counts[0]) + 0.2**2)
+        low, high = centre[lang] - wide, centre[lang] + wide
+        out[k] = counts, score, failed, low, high, not failed and n > 0 and low <= score <= high
+    return out
+
+
 def rows_in_two_languages():
     rng = random.Random(29)
     rows = [(i, prose(rng, 80 + i % 90), "en") for i in range(160)]
@@ -93,31 +123,14 @@ def rows_in_two_languages():
 def test_counts_perplexity_and_bands(spark):
     rows = rows_in_two_languages()
     found = {r.doc_id: r for r in quality.assess(docs(spark, rows)).collect()}
-    texts = defaultdict(list)
-    for _, t, lang in rows:
-        texts[lang].append(t or "")
-    models = {lang: PlainModel(t) for lang, t in texts.items()}
-    for i, text, lang in rows:
-        r, counts = found[i], expected_counts(text)
+    for (i, _, _), (counts, score, failed, low, high, kept) in zip(rows, plain_verdicts(rows), strict=True):
+        r = found[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts, i
-        assert r.base_failed == (counts[0] < 10 or 100 * counts[4] > 20 * counts[0])
-        assert not (r.base_failed and r.kept)
+        assert r.base_failed == failed and not (failed and r.kept)
         if i != 502:  # its characters beyond the plain ones stand in classes
-            assert math.log(r.perplexity) == pytest.approx(models[lang].score(text or ""), rel=1e-5, abs=1e-6)
-    # bands by hand: around the median of distinct scores, deviations leaning on all languages'
-    spread, centre = {}, {}
-    passed = {(lang, round(math.log(found[i].perplexity), 9), found[i].n_words) for i, _, lang in rows if not found[i].base_failed}
-    for lang in texts:
-        own = [(s, n) for x, s, n in passed if x == lang]
-        centre[lang] = np.median([round(s, 3) for s, _ in own])
-        spread[lang] = [round(abs(s - centre[lang]) * math.sqrt(n), 2) for s, n in own]
-    every = np.median(sum(spread.values(), []))
-    for i, _, lang in rows:
-        n = len(spread[lang])
-        deviation = 1.4826 * math.sqrt((n * np.median(spread[lang]) ** 2 + quality.FEW * every**2) / (n + quality.FEW))
-        wide = 3.5 * math.sqrt(deviation**2 / max(1, found[i].n_words) + 0.2**2)
-        assert math.log(found[i].band_lower) == pytest.approx(centre[lang] - wide, abs=0.02)
-        assert math.log(found[i].band_upper) == pytest.approx(centre[lang] + wide, abs=0.02)
+            assert math.log(r.perplexity) == pytest.approx(score, rel=1e-5, abs=1e-6) and r.kept == kept
+        if not failed:
+            assert (math.log(r.band_lower), math.log(r.band_upper)) == pytest.approx((low, high), abs=0.02)
     # junk goes, however often it is copied and in whatever language; all else stays
     assert {i for i, r in found.items() if not r.kept and not r.base_failed} == {*range(600, 650), 701}
     frame = docs(spark, rows)
@@ -153,9 +166,12 @@ def test_hash_arrays(spark, monkeypatch):
         asked = np.array([h for k, h in entries if k == kind] + [6, 2**63 - 1], dtype=np.int64)
         got = arrays.find_any(kind, asked)
         assert got[:-2].tolist() == [v for (k, _), v in entries.items() if k == kind] and np.isnan(got[-2:]).all()
+    assert len(arrays.find_any(0, np.zeros(0, np.int64))) == 0
     assert np.isnan(hash_arrays.write_arrays(frame.limit(0), "t").find_any(0, np.array([1], dtype=np.int64))).all()
 
 
 def test_empty(spark):
+    only = quality.assess(docs(spark, [(1, "", "en"), (2, None, None)])).collect()
+    assert [(r.n_words, r.kept) for r in only] == [(0, False)] * 2
     assert quality.assess(docs(spark, [])).collect() == []
     assert quality.keep_good(docs(spark, [])).collect() == []

@@ -40,8 +40,8 @@ class HashArrays:
         """The value of each hash, NaN where there is none; ``hashes`` must be sorted."""
         out = np.full(len(hashes), np.nan)
         part = hashes >> np.int64(63 - self.bits)
-        edges = np.append(0, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(part) else np.zeros(0, np.int64)
-        for begin, end in zip(edges.tolist(), [*edges[1:].tolist(), len(part)], strict=True):
+        edges = _edges(part[1:] != part[:-1], len(part))
+        for begin, end in zip(edges, edges[1:], strict=False):
             if (kind, int(part[begin])) in self.files:
                 keys, values = self._opened(*self.files[kind, int(part[begin])])
                 own = hashes[begin:end]
@@ -70,6 +70,11 @@ class HashArrays:
         return _OPENED[path]
 
 
+def _edges(change: np.ndarray, n: int) -> list[int]:
+    """Where stretches of n values begin, and where the last one ends; none if n is 0."""
+    return [0, *(np.flatnonzero(change) + 1).tolist(), n] if n else []
+
+
 def write_arrays(entries: DataFrame, name: str) -> HashArrays:
     """The table of ``entries`` (kind int, hash long of 63 bits, value float); equal hashes of a kind have equal values."""
     bits = max(0, (entries.count() // FILE_ENTRIES).bit_length())
@@ -94,8 +99,8 @@ def write_arrays(entries: DataFrame, name: str) -> HashArrays:
 
         for batch in batches:
             kind, part, keys, values = (batch.column(c).to_numpy() for c in ("kind", "part", "hash", "value"))
-            edges = np.append(0, np.flatnonzero((kind[1:] != kind[:-1]) | (part[1:] != part[:-1])) + 1) if len(kind) else np.zeros(0, np.int64)
-            for begin, end in zip(edges.tolist(), [*edges[1:].tolist(), len(kind)], strict=True):
+            edges = _edges((kind[1:] != kind[:-1]) | (part[1:] != part[:-1]), len(kind))
+            for begin, end in zip(edges, edges[1:], strict=False):
                 if held and own != (int(kind[begin]), int(part[begin])):
                     yield flush()
                 own = int(kind[begin]), int(part[begin])

@@ -9,7 +9,8 @@ order; a quota of ``q`` blocks out of ``n`` means ``q // n`` whole passes over t
 
 Only DataFrame functions are used.  What is held in one window is one row per source, or a
 few rows per shard of one source; documents are windowed by shard, and shards are of bounded
-size, so that a source with a third of all rows is many shards.
+size, so that a source with a third of all rows is many shards.  Shards go by id and size, so
+rows of one id (or of none) are spread as well; documents without words are in no window.
 
 Defined results: null text has size 0; null source is a source of its own, last in order;
 null ids are ordered as -1; a document of size 0 takes 0; repeated rows each count; an empty
@@ -25,7 +26,7 @@ from tidewell.llm.store import Carried, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Modulus and multipliers of the seeded order of documents.
-PRIME, SHARD_FACTOR, ORDER_FACTOR = 2147483647, 48271, 69621
+PRIME, SHARD_FACTOR, SIZE_FACTOR, ORDER_FACTOR = 2147483647, 48271, 16807, 69621
 #: Prime factors of the seeded block permutations; each is above any block count of a shard.
 BLOCK_PRIMES = (1000000007, 998244353, 1000000009, 754974721)
 
@@ -35,8 +36,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _seeded(key: Column, factor: int, seed: int) -> Column:
-    return F.pmod(F.pmod(F.coalesce(key, F.lit(-1)).cast("long"), F.lit(PRIME)) * F.lit(factor) + F.lit(seed), F.lit(PRIME))
+def _seeded(key: Column, factor: int, seed: int, more: Column | None = None) -> Column:
+    value = F.pmod(F.coalesce(key, F.lit(-1)).cast("long"), F.lit(PRIME)) * F.lit(factor) + F.lit(seed)
+    return F.pmod(value if more is None else value + more, F.lit(PRIME))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
@@ -120,7 +122,9 @@ def mix_sources(
     sources = _apportion(sources.withColumn("_one", F.lit(1)), "source_ix", "target", F.round(F.col("budget") / F.col("block")).cast("long"), ["_one"]).drop("_one")
     sources = written(sources.withColumnRenamed("quota", "source_quota").withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard_tokens)))), "sources")
 
-    placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("shard", F.pmod(_seeded(F.col("doc_id"), SHARD_FACTOR, seed), F.col("shards")))
+    every = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    shard = F.pmod(_seeded(F.col("doc_id"), SHARD_FACTOR, seed, F.col("size") * F.lit(SIZE_FACTOR)), F.col("shards"))
+    placed = every.filter("size > 0").withColumn("shard", shard)
     shards = placed.groupBy("source_ix", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block"))
     shards = (
         _apportion(shards, "shard", "words", F.col("source_quota"), ["source_ix"])
@@ -141,14 +145,12 @@ def mix_sources(
         lambda sum_, k: sum_ + F.when(chosen(k), F.least("end", (k + 1) * F.col("block")) - F.greatest("begin", k * F.col("block"))).otherwise(F.lit(0).cast("long")),
     )
     middle = F.floor((F.col("begin") + F.floor(F.col("size") / 2)) / F.col("block"))
-    return ends.join(shards, ["source_ix", "shard"]).select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        F.when(F.col("size") > 0, F.col("passes") * F.col("size") + part_of).otherwise(F.lit(0)).cast("long").alias("taken"),
-        F.when(F.col("size") > 0, F.col("passes") + chosen(middle).cast("long")).otherwise(F.lit(0)).cast("long").alias("copies"),
+    own = ["doc_id", "source", "size", "source_size", "target"]
+    nothing = F.lit(0).cast("long")
+    return (
+        ends.join(shards, ["source_ix", "shard"])
+        .select(*own, (F.col("passes") * F.col("size") + part_of).cast("long").alias("taken"), (F.col("passes") + chosen(middle).cast("long")).cast("long").alias("copies"))
+        .unionByName(every.filter("size = 0").select(*own, nothing.alias("taken"), nothing.alias("copies")))
     )
 
 
@@ -168,8 +170,10 @@ def mixed(docs: DataFrame, **options: float) -> DataFrame:
     return carried.back(own.join(mix, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
-def oracle(weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shard_tokens: int = 1 << 20, most_block_tokens: int = 2048, seed: int = 20240229) -> str:
-    """DuckDB SQL of the same mix, where all quotients are ranked."""
+def oracle(weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shard_tokens: int = 1 << 20, most_block_tokens: int = 2048, seed: int = 20240229, copies: bool = False) -> str:
+    """DuckDB SQL of the same mix, where all quotients are ranked; on demand with ``copies``."""
+    also = f"""
+     , CASE WHEN size > 0 THEN quota // blocks + (((last - size + size // 2) // block + {seed} + e.shard) * {list(BLOCK_PRIMES)}[(e.shard + e.ix) % {len(BLOCK_PRIMES)} + 1] % blocks < quota % blocks)::INT ELSE 0 END AS copies""" if copies else ""
     primes, order = list(BLOCK_PRIMES), f"((coalesce(doc_id, -1) % {PRIME} + {PRIME}) % {PRIME})"
     return f"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
@@ -184,7 +188,7 @@ seats AS (SELECT ix, count(*) AS quota FROM (
     SELECT ix, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, ix, k) AS place, round(budget / block)::BIGINT AS seats
     FROM (SELECT *, unnest(range(1, 2 * ceil(target / block)::BIGINT + 4)) AS k FROM blocked WHERE target > 0)) WHERE place <= seats GROUP BY ix),
 placed AS (SELECT s.*, b.ix, b.source_size, b.target, b.block, coalesce(q.quota, 0) AS source_quota,
-                  (({order} * {SHARD_FACTOR} + {seed}) % {PRIME}) % greatest(1, ceil(b.source_size / {shard_tokens})::BIGINT) AS shard,
+                  (({order} * {SHARD_FACTOR} + {seed} + size * {SIZE_FACTOR}) % {PRIME}) % greatest(1, ceil(b.source_size / {shard_tokens})::BIGINT) AS shard,
                   ({order} * {ORDER_FACTOR} + {seed}) % {PRIME} AS turn
            FROM sized s JOIN blocked b ON s.source IS NOT DISTINCT FROM b.source LEFT JOIN seats q ON q.ix = b.ix),
 shards AS (SELECT ix, shard, sum(size)::BIGINT AS words, any_value(source_quota) AS source_quota, any_value(block) AS block FROM placed GROUP BY ix, shard),
@@ -198,5 +202,5 @@ SELECT doc_id, size, source_size, target,
        (CASE WHEN size > 0 THEN quota // blocks * size + list_sum([
             CASE WHEN ((k + {seed} + e.shard) * {primes}[(e.shard + e.ix) % {len(primes)} + 1]) % blocks < quota % blocks
                  THEN least(last, (k + 1) * block) - greatest(last - size, k * block) ELSE 0 END
-            FOR k IN range((last - size) // block, (last - 1) // block + 1)]) ELSE 0 END)::BIGINT AS taken
+            FOR k IN range((last - size) // block, (last - 1) // block + 1)]) ELSE 0 END)::BIGINT AS taken{also}
 FROM ends e JOIN cut c ON c.ix = e.ix AND c.shard = e.shard"""
