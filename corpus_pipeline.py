@@ -3,12 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet
 in the shared folder and reads it again as the next stage's documents.  The stages up to the
 mix return the columns of documents.
+
+Defined results: documents of null or empty text fail the quality rules; of rows that are
+equal, or whose ids are null, one stays as of any other near duplicates; null sources are a
+source of their own; a document of the mix stands there 0, 1 or 2 times; an empty table gives
+an empty result with the columns of the last stage.  Further columns of ``documents`` are kept
+by all stages, but for ``ids``, ``n_ids`` and ``round_trip``, which the last one sets.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewell.llm import mixing, ngram_jaccard, piece_codec, quality, secret_scan
 from tidewell.llm.queries import PIECE_MODEL
