@@ -79,8 +79,32 @@ def test_mix_empty(spark):
     assert {(r.doc_id, r.taken, r.target) for r in only} == {(1, 0, 0.0), (2, 0, 0.0)}
 
 
+def plain_licences(text):
+    """Largest Dice coefficient of each template over all runs of lines, by sets."""
+    lines = [w for line in (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split("\n") if (w := re.findall("[a-z0-9]+", line))]
+    grams = {name: set(license_scan.template_bigrams(t)) for name, t in license_scan.TEMPLATES.items()}
+    most = 1 + max(int(len(g) * 1.5 + 1e-9) for g in grams.values())
+    found = Counter()
+    for i in range(len(lines)):
+        words = []
+        for line in lines[i:]:
+            words += line
+            if len(words) > most:
+                break
+            own = set(map(" ".join, zip(words, words[1:], strict=False)))
+            for name, g in grams.items():
+                if own and (dice := 2 * len(own & g) / (len(own) + len(g))) >= 0.8:
+                    found[name] = max(found[name], round(dice, 6))
+    return dict(found)
+
+
 def test_licences(spark):
-    mit = license_scan.TEMPLATES["mit-permission"]
+    rng = random.Random(71)
+    prose = lambda n: " ".join(rng.choice("the of a license house river permission under use and copyright 2.0 terms".split()) for _ in range(n))
+    apache, bsd, mit = (license_scan.TEMPLATES[n] for n in ("apache-2.0-header", "bsd-2-clause-conditions", "mit-permission"))
+    paragraphs = apache.replace(" You may obtain", "\n\nYou may obtain").replace(" Unless", "\n \n Unless")
+    points = bsd.replace("met: ", "met:\n\n * ").replace(" Redistributions in", "\n\n * Redistributions in")
+    wrapped = "\n".join(f"// {' '.join(mit.split()[i : i + 7])}" for i in range(0, len(mit.split()), 7))
     rows = [
         (1, "Prose here.\nReleased under the MIT License.\nMore prose.", "a"),
         (2, mit.replace(". ", ".\n"), "a"),
@@ -91,10 +115,16 @@ def test_licences(spark):
         (7, "license", "a"),
         (1, "Released under the MIT License.", "a"),
         (8, "x " * 50_000 + "\n\nLicensed under the Apache License, Version 2.0.\n\n" + "y " * 9, "a"),
+        (9, f"{prose(300)}\n\n{paragraphs}\n\n{prose(300)}", "a"),
+        (10, f"{prose(60)}\n{points}\n{prose(60)}", "a"),
+        (11, f"{prose(30)}\n{wrapped}\nint main() {{ return 0; }}\n{prose(30)}", "a"),
     ]
+    rows += [(100 + i, "\n".join(prose(rng.randint(0, 30)) if rng.random() < 0.8 else rng.choice([*license_scan.TEMPLATES.values()]).replace(rng.choice(["the ", "and ", "license"]), "") for _ in range(rng.randint(1, 12))), "a") for i in range(60)]
     got = {(r.doc_id, r.license): r.dice for r in license_scan.scan(docs(spark, rows)).collect()}
     assert got[(1, "mit-notice")] == 1.0 and got[(2, "mit-permission")] > 0.95 and got[(3, "cc-by-nc-4.0-notice")] == 1.0 and got[(8, "apache-2.0-notice")] == 1.0
+    assert got[(9, "apache-2.0-header")] == got[(10, "bsd-2-clause-conditions")] == got[(11, "mit-permission")] == 1.0
     assert not {4, 5, 6, 7} & {i for i, _ in got}
+    assert got == {(i, name): dice for i, text, _ in rows for name, dice in plain_licences(text).items()}
     assert license_scan.scan(docs(spark, [])).collect() == []
 
 

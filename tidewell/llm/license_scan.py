@@ -1,20 +1,23 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-Units of a document are its lines, its paragraphs (between blank lines) and its whole text.
-A unit is normalised (lower case; anything but a-z and 0-9 is a space) and compared with each
-template by ``2 * shared / (a + b)`` over the sets of word bigrams, where ``a`` and ``b`` are
-the sizes of the sets.  As that is at most ``2 * min(a, b) / (a + b)``, a template is a
-candidate only for units whose size is in [b * t / (2 - t), b * (2 - t) / t] for threshold t.
+Units of a document are its runs of consecutive lines (blank ones don't count) of at most
+``most_words`` words, the largest size that can match; so a notice is found in a line, wrapped
+over lines, or set in paragraphs, whatever stands around it.  A unit is normalised (lower case;
+anything but a-z and 0-9 is a space) and compared with each template by
+``2 * shared / (a + b)`` over the sets of word bigrams, where ``a`` and ``b`` are the sizes of
+the sets.  As that is at most ``2 * min(a, b) / (a + b)``, a template is a candidate only for
+units whose size is in [b * t / (2 - t), b * (2 - t) / t] for threshold t.
 
 A second bound prunes units and loses nothing either: a match shares more than
 b * t / (2 - t) bigrams of the template, so it can't miss every word of a set of words that
 touches the rest of them; units without any such word are left out before bigrams are made.
 
-Only DataFrame functions are used, and rows are handled by themselves: no shuffle.
+Only DataFrame functions are used, and rows are handled by themselves: no shuffle.  A line is
+in few units, as their words are bounded, so the work grows with the text.
 
-Defined results: null, empty and one-word texts match nothing; repeated rows each match; ties
-between templates are all reported; an empty table gives an empty result; further columns are
-ignored.
+Defined results: null, empty and one-word texts match nothing; a notice within a longer line
+matches as far as the line's other words allow; repeated rows each match; ties between
+templates are all reported; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,29 +70,52 @@ def _lowered(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _bounds(grams: dict[str, list[str]], threshold: float) -> dict[str, tuple[float, float]]:
+    """Least and most bigrams of a unit that can match each template."""
+    return {name: (len(g) * threshold / (2 - threshold) - 1e-9, len(g) * (2 - threshold) / threshold + 1e-9) for name, g in grams.items()}
+
+
+def most_words(grams: dict[str, list[str]], threshold: float) -> int:
+    """Words of the largest unit: one more than the most bigrams that can match."""
+    return 1 + int(max(most for _, most in _bounds(grams, threshold).values()))
+
+
 def scan(docs: DataFrame, *, threshold: float = 0.8, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """A row for each document and template that match: doc_id, license, dice (largest), n_units."""
+    """A row for each document and template that match: doc_id, license, dice (the largest)."""
     grams = {name: template_bigrams(text) for name, text in templates.items()}
-    bounds = {name: (len(g) * threshold / (2 - threshold), len(g) * (2 - threshold) / threshold) for name, g in grams.items()}
+    bounds = _bounds(grams, threshold)
     needed = sorted(set().union(*(required_words(g, threshold) for g in grams.values())))
-    text = _lowered(F.coalesce("text", F.lit("")))
-    lowered = docs.select("doc_id", text.alias("_text"))
-    paragraphs = F.split(F.col("_text"), r"\n[\x20\x09-\x0D]*\n")
-    units = F.concat(
-        F.transform(F.split(F.col("_text"), "\n"), lambda u: F.struct(F.lit("line").alias("kind"), u.alias("unit"))),
-        F.transform(F.filter(paragraphs, lambda p: F.contains(p, F.lit("\n"))), lambda u: F.struct(F.lit("paragraph").alias("kind"), u.alias("unit"))),
-        F.when((F.size(paragraphs) > 1), F.array(F.struct(F.lit("whole").alias("kind"), F.col("_text").alias("unit")))).otherwise(F.array().cast("array<struct<kind:string,unit:string>>")),
-    )
     smallest, largest = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
+    most = most_words(grams, threshold)
     every = F.array(*(F.lit(g) for g in sorted({g for own in grams.values() for g in own})))
     required = F.array(*(F.lit(w) for w in needed))
-    # one chain of array functions up to explode, so that each step is computed once
-    words = F.filter(F.transform(units, lambda u: F.regexp_extract_all(u["unit"], F.lit("[a-z0-9]+"), F.lit(0))), lambda w: (F.size(w) > smallest) & F.arrays_overlap(w, required))
-    bigrams = F.transform(words, lambda w: F.array_distinct(F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda v, i: F.concat_ws(" ", F.get(w, i), v))))
+    strings, numbers = F.array().cast("array<string>"), F.array().cast("array<int>")
+    lines = F.filter(F.transform(F.split(_lowered(F.coalesce("text", F.lit(""))), "\n"), lambda u: F.regexp_extract_all(u, F.lit("[a-z0-9]+"), F.lit(0))), lambda w: F.size(w) > 0)
+    has = F.col("text").rlike("(?i)" + "|".join(needed))  # most texts have none of these words, not even within others
+
+    def run(line: Column, at: Column) -> Column:
+        """The words from a line on, up to ``most``, and after how many of them a line ends."""
+        empty = F.struct(strings.alias("words"), numbers.alias("ends"), F.lit(True).alias("open"))
+
+        def more(acc: Column, w: Column) -> Column:
+            fits = acc["open"] & (F.size(acc["words"]) + F.size(w) <= most)
+            return F.struct(
+                F.when(fits, F.concat(acc["words"], w)).otherwise(acc["words"]).alias("words"),
+                F.when(fits, F.concat(acc["ends"], F.array(F.size(acc["words"]) + F.size(w)))).otherwise(acc["ends"]).alias("ends"),
+                fits.alias("open"),
+            )
+
+        return F.aggregate(F.slice("_lines", at + 1, F.lit(most)), empty, more)
+
+    with_lines = docs.filter(has).select("doc_id", lines.alias("_lines"))
+    # the outer forms, as for the others Spark would compute the arrays once more to test for rows
+    runs = F.filter(F.transform("_lines", run), lambda r: F.arrays_overlap(r["words"], required))
+    started = with_lines.select("doc_id", F.explode_outer(runs).alias("r")).filter("r is not null")
+    units = F.filter(F.transform(F.filter(F.col("r.ends"), lambda e: e > smallest), lambda e: F.slice(F.col("r.words"), F.lit(1), e)), lambda w: F.arrays_overlap(w, required))
+    bigrams = F.transform(units, lambda w: F.array_distinct(F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda v, i: F.concat_ws(" ", F.get(w, i), v))))
     shared = F.transform(bigrams, lambda g: F.struct(F.size(g).alias("n"), F.array_intersect(g, every).alias("bigrams")))
     likely = F.filter(shared, lambda h: (h["n"] >= smallest) & (h["n"] <= largest) & (F.size(h["bigrams"]) >= smallest))
-    # the outer form, as for the other Spark would compute the chain once more to test for rows
-    sized = lowered.select("doc_id", F.explode_outer(likely).alias("u")).filter("u is not null").select("doc_id", "u.n", "u.bigrams")
+    sized = started.select("doc_id", F.explode_outer(likely).alias("u")).filter("u is not null").select("doc_id", "u.n", "u.bigrams")
     compared = F.array(
         *(
             F.struct(
@@ -107,22 +133,25 @@ def scan(docs: DataFrame, *, threshold: float = 0.8, templates: dict[str, str] =
     return (
         sized.select("doc_id", F.explode(F.filter(compared, lambda c: c["dice"] >= threshold)).alias("m"))
         .groupBy("doc_id", F.col("m.license").alias("license"))
-        .agg(F.round(F.max("m.dice"), 6).alias("dice"), F.count(F.lit(1)).alias("n_units"))
+        .agg(F.round(F.max("m.dice"), 6).alias("dice"))
     )
 
 
 def oracle(threshold: float = 0.8, templates: dict[str, str] = TEMPLATES) -> str:
-    """DuckDB SQL of the same rows, without any pruning."""
-    rows = ", ".join(f"('{name}', {template_bigrams(text)!r})" for name, text in templates.items())
+    """DuckDB SQL of the same rows; units are pruned by their size in words only."""
+    grams = {name: template_bigrams(text) for name, text in templates.items()}
+    rows = ", ".join(f"('{name}', {own!r})" for name, own in grams.items())
+    least = int(min(b[0] for b in _bounds(grams, threshold).values()))
     return f"""
 WITH t AS (SELECT * FROM (VALUES {rows}) v(license, grams)),
-d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
-p AS (SELECT doc_id, x, regexp_split_to_array(x, '\\n[\\x20\\x09-\\x0D]*\\n') AS ps FROM d),
-u AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS unit FROM p
-      UNION ALL SELECT doc_id, q FROM (SELECT doc_id, unnest(ps) AS q FROM p) WHERE contains(q, chr(10))
-      UNION ALL SELECT doc_id, x FROM p WHERE len(ps) > 1),
-w AS (SELECT doc_id, regexp_extract_all(unit, '[a-z0-9]+') AS ws FROM u),
-g AS (SELECT doc_id, list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS grams FROM w WHERE len(ws) > 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+w AS (SELECT r, doc_id, regexp_extract_all(x, '[a-z0-9]+') AS ws, string_split(x, chr(10)) AS ls FROM d),
+l AS (SELECT r, ix, n, sum(n) OVER (PARTITION BY r ORDER BY ix)::BIGINT AS last FROM (
+      SELECT r, unnest(range(1, len(ls) + 1)) AS ix, unnest([len(regexp_extract_all(y, '[a-z0-9]+')) FOR y IN ls]) AS n FROM w) WHERE n > 0),
+u AS (SELECT a.r, a.last - a.n + 1 AS first, b.last FROM l a JOIN l b ON a.r = b.r AND b.ix >= a.ix
+      AND b.last - a.last + a.n BETWEEN {least + 1} AND {most_words(grams, threshold)}),
+g AS (SELECT r, doc_id, list_distinct([v[i] || ' ' || v[i + 1] FOR i IN range(1, len(v))]) AS grams FROM (
+      SELECT w.r, doc_id, ws[first:last] AS v FROM u JOIN w ON w.r = u.r)),
 s AS (SELECT doc_id, license, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice FROM g, t
       WHERE 2.0 * least(len(g.grams), len(t.grams)) / (len(g.grams) + len(t.grams)) >= {threshold})
-SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS n_units FROM s WHERE dice >= {threshold} GROUP BY ALL"""
+SELECT doc_id, license, round(max(dice), 6) AS dice FROM s WHERE dice >= {threshold} GROUP BY ALL"""
