@@ -274,16 +274,27 @@ def test_repeated_passages(spark):
     frame = docs(spark, [(i, " ".join(w)) for i, w in rows.items()] + extra)
     found = defaultdict(list)
     for r in passage_chains.repeated_passages(frame).collect():
-        found[r.doc_id].append((r.first_id, r.start_word, r.end_word, r.first_start, r.identity))
+        found[r.doc_id] = sorted([*found[r.doc_id], (r.first_id, r.start_word, r.end_word, r.first_start, r.identity)])
     assert found[2] == [(1, 0, 60, 80, 1.0)]
     (first, start, end, _, same), *more = found[3]
     assert not more and (first, start, end) == (1, 33, 93) and same == pytest.approx(58 / 60)
     assert found[7] == [(5, 0, 200, 0, 1.0)]
-    assert (1, 40, 100, 80, 1.0) in found[6]
+    assert found[6] == [(1, 40, 100, 80, 1.0), (1, 110, 170, 80, 1.0)]
     assert not {1, 4, 5, 9001, 9002, 9003, 9004} & set(found)
     assert passage_chains.repeated_passages(docs(spark, [])).collect() == []
 
 
+def test_passage_whose_parts_have_other_first_places(spark):
+    rng = random.Random(67)
+    own = lambda tag, n: [f"{tag}{rng.randrange(10**9)}" for _ in range(n)]
+    passage, other = own("p", 60), own("q", 70)
+    rows = {10: own("a", 30) + passage[:35], 20: passage[25:] + own("b", 30), 30: own("c", 20) + passage, 40: passage + own("d", 20), 50: own("e", 9) + passage[:40]}
+    rows |= {60 + i: own("f", 40) + other[14 * i : 14 * i + 14] for i in range(5)}  # lines with first places of their own
+    rows |= {70: other + own("g", 9), 80: own("h", 5) + other}
+    found = {(r.doc_id, r.start_word, r.end_word, r.first_id) for r in passage_chains.repeated_passages(docs(spark, [(i, " ".join(w)) for i, w in rows.items()])).collect()}
+    assert found == {(40, 0, 60, 30), (80, 5, 75, 70)}
+
+
 @pytest.mark.parametrize("flip", [False, True])
 def test_passages_of_equal_ids(spark, flip):
     rng = random.Random(43)
