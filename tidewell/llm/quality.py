@@ -18,9 +18,10 @@ a language with few distinct scores leans on all languages' (as ``FEW`` of them
 documents that pass the base rules count for the bands.
 
 Defined results: null or empty text has 0 words and fails the base rules; null language is a
-language of its own; repeated rows each get the same verdict; the model of a
-language with a handful of distinct texts has learned each of them, so they are kept, as there
-is nothing to compare them with; an empty table gives an empty result; further columns are ignored by ``assess`` and kept by ``keep_good``.
+language of its own; repeated rows each get the same verdict; the model of a language with a
+handful of distinct texts has learned each of them, so they are kept, as there is nothing to
+compare them with; an empty table gives an empty result; further columns are ignored by
+``assess`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm import textkit as tk
-from tidewell.llm.bitfield import packed_bits, tested
 from tidewell.llm.bitfield import BITS as FIELD_BITS
+from tidewell.llm.bitfield import packed_bits, tested
 from tidewell.llm.hash_arrays import HashArrays, write_arrays
 from tidewell.llm.store import Carried, discard, small, written
 
