@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.store import new_path
 
 #: Entries of one file, about.
-FILE_ENTRIES = 1 << 20
+FILE_ENTRIES = 1 << 18
 _OPENED: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -108,6 +108,6 @@ def write_arrays(entries: DataFrame, name: str) -> HashArrays:
         if held:
             yield flush()
 
-    parted = entries.withColumn("part", F.shiftright("hash", 63 - bits).cast("int")).repartition("kind", "part").sortWithinPartitions("kind", "part", "hash")
+    parted = entries.withColumn("part", F.shiftright("hash", 63 - bits).cast("int")).repartition(2 << bits, "kind", "part").sortWithinPartitions("kind", "part", "hash")
     listed = parted.select("kind", "part", "hash", "value").mapInArrow(run, "kind int, part int, path string, n long").collect()  # a row for each file
     return HashArrays(folder, bits, {(r["kind"], r["part"]): (r["path"], r["n"]) for r in listed})
