@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+_MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,7 +29,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else has."""
-    return f"{shared_folder(spark)}/tidewell-{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_folder(spark)}/tidewell-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+@contextmanager
+def tracked(paths: list[str]) -> Iterator[None]:
+    """Adds to ``paths`` those that are made meanwhile."""
+    begin = len(_MADE)
+    yield
+    paths.extend(_MADE[begin:])
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders; those that are gone already don't matter."""
+    context = spark.sparkContext
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,9 +62,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that no later result reads."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table._written_to)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        remove(table.sparkSession, table._written_to)
 
 
 def small(table: DataFrame, most_rows: int = 100_000) -> DataFrame:
