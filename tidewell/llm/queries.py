@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import html_text, imatch, license_scan, mixing, ngram_jaccard, passage_chains, piece_codec, quality, secret_scan, toxicity
+from tidewell.llm import byte_bpe, html_text, imatch, license_scan, mixing, ngram_jaccard, passage_chains, piece_codec, quality, secret_scan, toxicity
 
 #: The public tokenizer file that op8 uses where no other is named.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The public rank file that op11 uses where no other is named.
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +75,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str = BYTE_RANKS) -> DataFrame:
+    """Digests of the byte-level BPE ids of every document, and of what they decode to."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    encoded = byte_bpe.encode(docs, rank_file, public_tokenizers.PATTERN, keep_text=False)
+    return byte_bpe.decode(encoded, rank_file, public_tokenizers.PATTERN).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_ngram_jaccard, op2_toxicity, op3_html_text, op4_license_scan, op5_mix_sources, op6_imatch, op7_passage_chains, op8_piece_codec, op9_secret_scan, op10_quality_rules)}
+    return {q.__name__: q for q in (op1_ngram_jaccard, op2_toxicity, op3_html_text, op4_license_scan, op5_mix_sources, op6_imatch, op7_passage_chains, op8_piece_codec, op9_secret_scan, op10_quality_rules, op11_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
