@@ -68,11 +68,11 @@ def test_output_comes_after_bounded_lookahead(codec):
     for text in ("the quick brown fox jumps " * 40, "a" * 4000, "abcdefgh" * 300):
         read, written, most = 0, 0, 0
 
-        def data():
+        def data(text=text):
             nonlocal read
             for byte in text.replace(" ", "_").encode():
                 read += 1
-                yield byte
+                yield bytes([byte])
 
         for ids in codec.stream(data()):
             written += sum(len(codec.bytes_of[i]) for i in ids)

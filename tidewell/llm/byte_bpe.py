@@ -12,7 +12,7 @@ set of these beginnings: the place in the tree of tokens, the token before, and
 not yet written.  There are at most as many as the longest token has bytes, which bounds the
 lookahead: output that all of them share is written at once.  States and their steps are made
 when a byte first asks for them, ``STATES`` at most; then they are made afresh.  Words recur,
-so a task also keeps what the transducer wrote for up to ``MEMO`` matches.
+so a task also keeps what the transducer wrote for the last ``MEMO`` to 2 ``MEMO`` matches.
 
 **Decoder.**  A state machine of UTF-8 reads whole tokens: its state after a token from each
 state is a table.  The state says how many bytes of the last code point are there; these are
@@ -226,8 +226,10 @@ class ByteCodec:
         if not going:
             common = len(border)
         elif going[1]:
-            while all(u[common : common + 1] == border[common : common + 1] for u in going[1::2]) and common < len(border):
-                common += 1
+            oldest, common = going[1], len(going[1])
+            for unwritten in (*going[3::2], border):
+                while unwritten[:common] != oldest[:common]:
+                    common -= 1
         going += ((last + 1) << NODE, border)
         written = border[:common]
         if common:
@@ -239,16 +241,26 @@ class ByteCodec:
         self.steps[number << 8 | byte] = to, written
         return to, written
 
-    def stream(self, data: Iterable[int]) -> Iterator[tuple[int, ...]]:
-        """Ids of one match of the pattern (its bytes), as they are written."""
-        state = 0
+    def advance(self, state: int, data: bytes, out: list[int]) -> int:
+        """The state after some bytes of a match; what is written meanwhile is put to ``out``."""
+        steps = self.steps
         for byte in data:
-            found = self.steps.get(state << 8 | byte)
-            state, written = found or self._step(state, byte)
+            found = steps.get(state << 8 | byte)
+            if found is None:
+                found = self._step(state, byte)
+                steps = self.steps
+            state, written = found
             if written:
-                yield written
-        if self.final[state]:
-            yield self.final[state]
+                out += written
+        return state
+
+    def stream(self, data: Iterable[bytes]) -> Iterator[list[int]]:
+        """Ids of one match of the pattern, given in parts, as they are written."""
+        state = 0
+        for part in data:
+            state = self.advance(state, part, out := [])
+            yield out
+        yield list(self.final[state])
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
@@ -280,17 +292,22 @@ class ByteCodec:
 
 
 class _Memo(dict):
-    """What the transducer wrote for a match, packed."""
+    """What the transducer wrote for a match, packed; those that were of use lately outlive the others."""
 
     def __init__(self, codec: ByteCodec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, match: str) -> bytes:
-        ids = [i for written in self.codec.stream(match.encode("utf-8", "replace")) for i in written]
-        found = pack(f"<{len(ids)}I", *ids)
+        found = self.older.get(match)
+        if found is None:
+            data, ids = match.encode("utf-8", "replace"), []
+            state = self.codec.advance(0, data, ids)
+            ids += self.codec.final[state]
+            found = pack(f"<{len(ids)}I", *ids)
         if len(match) <= CACHED:
             if len(self) >= MEMO:
+                self.older = dict(self)
                 self.clear()
             self[match] = found
         return found

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, divergence, html_text, imatch, license_scan, mixing, ngram_jaccard, passage_chains, piece_codec, quality, secret_scan, toxicity
+from tidewell.llm import byte_bpe, divergence, hard_negatives, html_text, imatch, license_scan, mixing, ngram_jaccard, passage_chains, piece_codec, quality, secret_scan, toxicity
 
 #: The public tokenizer file that op8 uses where no other is named.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -84,14 +84,19 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str = BYTE_RANKS)
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the sources of each language differ in their terms."""
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_ngram_jaccard, op2_toxicity, op3_html_text, op4_license_scan, op5_mix_sources, op6_imatch, op7_passage_chains, op8_piece_codec, op9_secret_scan, op10_quality_rules, op11_byte_bpe, op13_source_divergence)}
+    return {q.__name__: q for q in (op1_ngram_jaccard, op2_toxicity, op3_html_text, op4_license_scan, op5_mix_sources, op6_imatch, op7_passage_chains, op8_piece_codec, op9_secret_scan, op10_quality_rules, op11_byte_bpe, op12_hard_negatives, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": ngram_jaccard.oracle(), "op4_license_scan": license_scan.oracle(), "op5_mix_sources": mixing.oracle(), "op13_source_divergence": divergence.oracle()}
+    return {"op1_ngram_jaccard": ngram_jaccard.oracle(), "op4_license_scan": license_scan.oracle(), "op5_mix_sources": mixing.oracle(), "op12_hard_negatives": hard_negatives.oracle(), "op13_source_divergence": divergence.oracle()}
