@@ -1,0 +1,68 @@
+"""Exact nearest rows against all pairs."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tidewell.operators import vectors
+
+COLUMNS = "id long, vector array<double>, copies string, block int"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1) for r in rows], COLUMNS).repartition(3)
+
+
+def expected(queries, rows, most, digits=6):
+    usable = lambda v: v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    out = set()
+    for i, v in {(i, tuple(v)) for i, v in queries if usable(v)}:
+        scored = []
+        for j, w in rows:
+            if usable(w) and len(w) == len(v) and (i is None or i != j):
+                scored.append((-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), digits) + 0.0, j is None, j or 0, j))
+        out |= {(i, rank, s[3], -s[0] + 0.0) for rank, s in enumerate(sorted(scored)[:most], 1)}
+    return out
+
+
+@pytest.mark.parametrize("numbers", [60, 1 << 18])
+def test_nearest(spark, monkeypatch, numbers):
+    monkeypatch.setattr(vectors, "QUERY_NUMBERS", numbers)
+    monkeypatch.setattr(vectors, "ROW_NUMBERS", 3 * numbers)
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(80)] + [(i, [1.0, 1.0, 0.0, 0.0, 0.0]) for i in range(100, 130)]
+    rows += [(None, [1.0, 1.0, 0.0, 0.0, 0.0]), (None, [1.0, 1.1, 0.0, 0.0, 0.0]), rows[3], rows[3], rows[100]]
+    rows += [(200, None), (201, [0.0] * 5), (202, [1.0, None, 1.0, 1.0, 1.0]), (203, [float("nan")] * 5), (204, [1.0, 2.0]), (205, [2.0, 1.0]), (206, [])]
+    queries = [r for r in rows if r[0] is not None and r[0] % 5 == 0] + [(204, [1.0, 2.0]), (204, [1.0, 2.0])]
+    found = [tuple(r) for r in vectors.nearest(frame(spark, queries), frame(spark, rows), 7).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == expected(queries, rows, 7)
+
+
+def test_empty(spark):
+    one = frame(spark, [(1, [1.0])])
+    assert vectors.nearest(one.limit(0), one, 3).count() == vectors.nearest(one, one.limit(0), 3).count() == 0
+
+
+def test_rows_of_one_vector_are_dealt_evenly(spark, monkeypatch):
+    """A third of all rows have one vector; no stripe holds much more than the others."""
+    class Counting:
+        def __init__(self, _):
+            self.n = 0
+
+        def add(self, rows):
+            self.n += rows.num_rows
+
+        def end(self):
+                return pa.RecordBatch.from_pydict({"n": pa.array([self.n], pa.int64())})
+
+    monkeypatch.setattr(vectors, "ROW_NUMBERS", 1000)
+    rng = random.Random(3)
+    rows = [(i, [1.0, 2.0] if i % 3 == 0 else [rng.random(), rng.random()]) for i in range(4000)]
+    made = vectors.in_blocks(frame(spark, rows[:4]).select("id", "vector"), frame(spark, rows).select("id", "vector"), Counting, "n long")
+    counts = [r["n"] for r in made.collect()]
+    assert sum(counts) == 4000 and max(counts) < 2 * 4000 / 8

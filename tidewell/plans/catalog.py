@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.text import normalised
 from tidewell.operators.ranking import top_per_group
+from tidewell.operators import vectors
 from tidewell.operators.time import asof_join, in_blocks, interval_join, numbered, sessions
 from tidewell.sources.tables import table
 from tidewell.streaming.drain import drained, stream_of
@@ -238,6 +239,16 @@ def streamed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(once, "once").select("event_id", "user_id", "event_type", "value")
 
 
+@query("""
+WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+scored AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM scored QUALIFY rank <= 10""")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 50, among all."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.nearest(rows.filter(F.col("id") % 50 == 0), rows, 10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
