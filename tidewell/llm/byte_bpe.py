@@ -44,12 +44,11 @@ from tidewell.llm import textkit
 STATES, MEMO, CACHED = 1 << 17, 1 << 18, 64
 PAIRS = 1 << 19
 NEVER = 1 << 62
-NODE = 24
-NODES = (1 << NODE) - 1
+WIDE = 32
 CHUNK, LONG = 1 << 14, 1 << 18
 _CODECS: dict[bytes, ByteCodec] = {}
 
-#: For each beginning, oldest first: the place (token before + 1) << NODE | node, and the unwritten output.
+#: For each beginning, oldest first: the node of the tree, the token before (-1: none), and the unwritten output.
 State = tuple[int | tuple[int, ...], ...]
 
 
@@ -112,20 +111,21 @@ class ByteCodec:
             raise ValueError("each byte must be a token")
         self.unknown = max(self.ranks.values()) + 1
         self.bytes_of: list[bytes] = ["\ufffd".encode()] * (self.unknown + 1)
-        self.child: dict[int, int] = {}  # node * 256 + byte -> node; the root is 0
+        self.children: list[dict[int, int]] = [{}]  # of each node of the tree of tokens: byte -> node; the root is 0
         self.token: list[int] = [-1]
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
             node = 0
             for byte in token:
-                below = self.child.get(node << 8 | byte)
-                if below is None:
-                    below = self.child[node << 8 | byte] = len(self.token)
+                node = self.children[node].setdefault(byte, len(self.children))
+                if node == len(self.children):
+                    self.children.append({})
                     self.token.append(-1)
-                node = below
             self.token[node] = rank
+        empty: dict[int, int] = {}
+        self.children = [c or empty for c in self.children]
         self.machine = Utf8Machine(self.bytes_of)
-        self.pairs: dict[int, bool] = {}  # (left token + 1) << NODE | right token
+        self.pairs: dict[int, bool] = {}  # left token << WIDE | right token
         self.histories: dict[int, list[tuple[int, bytes, bytes]] | None] = {}
         self.memo = _Memo(self)
         self._forget()
@@ -137,14 +137,14 @@ class ByteCodec:
         self.content: list[State] = []
         self.final: list[tuple[int, ...]] = []
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}  # state * 256 + byte -> next state and what is written
-        self._number((0, ()))
+        self._number((0, -1, ()))
 
     def _number(self, state: State) -> int:
         found = self.states.get(state)
         if found is None:
             found = self.states[state] = len(self.content)
             self.content.append(state)
-            whole = self.token[state[0]] if state[0] >> NODE == 0 else -1
+            whole = self.token[state[0]] if state[1] < 0 else -1
             self.final.append((whole,) if whole >= 0 else state[-1])
         return found
 
@@ -173,7 +173,7 @@ class ByteCodec:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether two tokens stay as they are beside each other: no merge across their border comes first at any time."""
-        key = (left + 1) << NODE | right
+        key = left << WIDE | right
         found = self.pairs.get(key)
         if found is None:
             a, b = self.history(left), self.history(right)
@@ -201,23 +201,22 @@ class ByteCodec:
 
     def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The determinised step from a state: where it leads, and the output that all beginnings share."""
-        child, tokens, pairs, state = self.child, self.token, self.pairs, self.content[number]
+        children, tokens, pairs, state = self.children, self.token, self.pairs, self.content[number]
         going: list[int | tuple[int, ...]] = []
         border: tuple[int, ...] | None = None
-        for place, unwritten in zip(state[::2], state[1::2], strict=True):
-            below = child.get((place & NODES) << 8 | byte)
-            if below is None:
+        for node, before, unwritten in zip(state[::3], state[1::3], state[2::3], strict=True):
+            node = children[node].get(byte)
+            if node is None:
                 continue
-            before = place >> NODE
-            going += (before << NODE | below, unwritten)
-            token = tokens[below]
-            if border is None and token >= 0:
-                if before == 0:
+            if children[node] or before < 0:  # else nothing can follow it
+                going += (node, before, unwritten)
+            if border is None and (token := tokens[node]) >= 0:
+                if before < 0:
                     fits = self.history(token) is not None
                 else:
-                    fits = pairs.get(before << NODE | token)
+                    fits = pairs.get(before << WIDE | token)
                     if fits is None:
-                        fits = self.apart(before - 1, token)
+                        fits = self.apart(before, token)
                 if fits:
                     last, border = token, (*unwritten, token)
         if border is None:
@@ -225,15 +224,15 @@ class ByteCodec:
         common = 0
         if not going:
             common = len(border)
-        elif going[1]:
-            oldest, common = going[1], len(going[1])
-            for unwritten in (*going[3::2], border):
+        elif going[2]:
+            oldest, common = going[2], len(going[2])
+            for unwritten in (*going[5::3], border):
                 while unwritten[:common] != oldest[:common]:
                     common -= 1
-        going += ((last + 1) << NODE, border)
+        going += (0, last, border)
         written = border[:common]
         if common:
-            going[1::2] = [u[common:] for u in going[1::2]]
+            going[2::3] = [u[common:] for u in going[2::3]]
         if len(self.content) >= STATES:
             self._forget()
             return self._number(tuple(going)), written
