@@ -36,7 +36,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.llm import textkit
-from tidewell.llm.store import small, written
+from tidewell.llm.store import small
+from tidewell.sources.shared import written
 
 #: Bytes of text that a task counts at a time.
 COUNTED_BYTES = 1 << 22

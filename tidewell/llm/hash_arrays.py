@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.store import new_path
+from tidewell.sources.shared import new_path
 
 #: Entries of one file, about.
 FILE_ENTRIES = 1 << 18

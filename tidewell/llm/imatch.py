@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import textkit as tk
 from tidewell.llm.hash_arrays import HashArrays, write_arrays
-from tidewell.llm.store import discard, written
+from tidewell.sources.shared import discard, written
 
 DENSE, LEFT_OUT = 7, 4
 SUBSETS = 32

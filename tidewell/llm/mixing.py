@@ -7,8 +7,8 @@ source, by highest quotients ``weight / (2k - 1)``.  In a shard, documents stand
 order; a quota of ``q`` blocks out of ``n`` means ``q // n`` whole passes over the shard and
 ``q % n`` blocks selected by a seeded permutation.
 
-Only DataFrame functions are used.  What is held in one window is one row per source, or a
-few rows per shard of one source; documents are windowed by shard, and shards are of bounded
+Only DataFrame functions are used.  Sources, and the shards of a source, are ranked over ranges
+(``operators.prefix``), so none of them is one window; documents are windowed by shard, and shards are of bounded
 size, so that a source with a third of all rows is many shards.  Shards go by id and size, so
 rows of one id (or of none) are spread as well; documents without words are in no window.
 
@@ -19,10 +19,14 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.store import Carried, written
+from tidewell.llm.store import Carried, small
+from tidewell.operators.prefix import ranked
+from tidewell.sources.shared import alone, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Modulus and multipliers of the seeded order of documents.
@@ -43,57 +47,48 @@ def _seeded(key: Column, factor: int, seed: int, more: Column | None = None) ->
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
     """One row per source: ``source_ix`` (by code point, null last), its size, weight and target."""
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    sources = (
-        sizes.groupBy("source")
-        .agg(F.sum("size").alias("source_size"))
-        .withColumn("source_ix", F.row_number().over(ordered))
-        .withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(F.col("source_ix") - 1, F.lit(len(weights))) + 1))
-        .withColumn("most", F.col("source_size") * F.lit(cap))
-        .withColumn("budget", F.sum("source_size").over(everything) * F.lit(share))
-    )
+    sources = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), keys=[], order=[F.col("source").asc_nulls_last()], rank="source_ix")
+    sources = sources.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.col("source_ix") - 1, F.lit(len(weights))) + 1).cast("int")))
+    sources = sources.withColumn("most", F.col("source_size") * F.lit(cap))
+    words, weight = sources.agg(F.sum("source_size"), F.sum("weight")).head()
+    budget = (words or 0) * share
     # the level: sources in order of most / weight are full, until the rest can share what is left
-    before = Window.orderBy(F.col("most") / F.col("weight"), "source_ix").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("budget") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    return (
-        sources.withColumn("level", level)
-        .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct(F.col("most") / F.col("weight"), "source_ix", "level"))).over(everything)["level"])
-        .withColumn("target", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))))
-        .drop("level", "weight", "most")
-    )
+    filled = ranked(sources, keys=[], order=[F.col("most") / F.col("weight"), F.col("source_ix")], rank="_place", sums={"_most": "most", "_weight": "weight"})
+    level = (F.lit(float(budget)) - (F.col("_most") - F.col("most"))) / (F.lit(weight) - (F.col("_weight") - F.col("weight")))
+    first = filled.withColumn("level", level).filter(F.col("level") * F.col("weight") <= F.col("most")).agg(F.min(F.struct("_place", "level"))["level"]).head()[0]
+    target = F.col("most") if first is None else F.least("most", F.lit(first) * F.col("weight"))
+    return sources.withColumn("budget", F.lit(float(budget))).withColumn("target", target).drop("weight", "most")
 
 
 def _apportion(parties: DataFrame, key: str, weight: str, seats: Column, within: list[str]) -> DataFrame:
     """Adds ``quota``: ``seats`` divided among the rows of each ``within`` by Sainte-Lague.
 
     A party's seats are within n * weight / (2 * sum) + 1 of its exact share, so only the
-    quotients in that window are ranked; their number is in proportion to the parties.
+    quotients in that window are ranked; their number is in proportion to the parties.  A
+    source may have very many shards, so quotients are ranked over ranges, and what is known of
+    a source is a row that is joined.
     """
-    group = Window.partitionBy(*within)
+    totals = small(parties.groupBy(*within).agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).cast("double").alias("_all")))
     sized = (
-        parties.withColumn("_seats", seats)
-        .withColumn("_n", F.count(F.lit(1)).over(group))
-        .withColumn("_all", F.sum(weight).over(group).cast("double"))
+        parties.join(totals, within)
+        .withColumn("_seats", seats)
         .withColumn("_exact", F.when(F.col("_all") > 0, F.col("_seats") * F.col(weight) / F.col("_all")).otherwise(0.0))
         .withColumn("_span", F.when(F.col("_all") > 0, F.ceil(F.col("_n") * F.col(weight) / (2 * F.col("_all")))).otherwise(0) + 3)
         .withColumn("_base", F.greatest(F.lit(0).cast("long"), F.floor("_exact") - F.col("_span")))
-        .withColumn("_left", F.col("_seats") - F.sum("_base").over(group))
     )
-    ranked = Window.partitionBy(*within).orderBy(F.col("_quotient").desc(), F.col(key), F.col("_k"))
-    won = (
+    left = small(sized.groupBy(*within).agg((F.first("_seats") - F.sum("_base")).alias("_left")))
+    quotients = (
         sized.filter(F.col(weight) > 0)
         .withColumn("_k", F.explode(F.sequence(F.col("_base") + 1, F.floor("_exact").cast("long") + F.col("_span"))))
-        .withColumn("_quotient", F.col(weight) / (2 * F.col("_k") - 1))
-        .withColumn("_rank", F.row_number().over(ranked))
-        .filter(F.col("_rank") <= F.col("_left"))
-        .groupBy(*within, key)
-        .agg(F.count(F.lit(1)).alias("_won"))
+        .select(*within, key, "_k", (F.col(weight) / (2 * F.col("_k") - 1)).alias("_quotient"))
     )
+    order = [F.col("_quotient").desc(), F.col(key), F.col("_k")]
+    won = ranked(quotients, keys=within, order=order, rank="_rank").join(left, within).filter(F.col("_rank") <= F.col("_left"))
+    won = won.groupBy(*within, key).agg(F.count(F.lit(1)).alias("_won"))
     return (
         sized.join(won, [*within, key], "left")
         .withColumn("quota", F.col("_base") + F.coalesce("_won", F.lit(0)))
-        .drop("_seats", "_n", "_all", "_exact", "_span", "_base", "_left", "_won")
+        .drop("_seats", "_n", "_all", "_exact", "_span", "_base", "_won")
     )
 
 
@@ -114,21 +109,24 @@ def mix_sources(
     document, plus one if the block at its middle is selected.
     """
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    sources = source_targets(sized, weights, share, cap)
-    everything = Window.partitionBy()
-    sources = sources.withColumn(
-        "block", F.greatest(F.lit(1).cast("long"), F.least(F.lit(most_block_tokens).cast("long"), F.coalesce(F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything) / 1000), F.lit(1))))
-    )
-    sources = _apportion(sources.withColumn("_one", F.lit(1)), "source_ix", "target", F.round(F.col("budget") / F.col("block")).cast("long"), ["_one"]).drop("_one")
-    sources = written(sources.withColumnRenamed("quota", "source_quota").withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard_tokens)))), "sources")
 
+    def quotas() -> DataFrame:
+        sources = source_targets(sized, weights, share, cap)
+        least = sources.filter("target > 0").agg(F.min("target")).head()[0]
+        block = max(1, min(most_block_tokens, math.floor((least or 0) / 1000)))
+        sources = sources.withColumn("block", F.lit(block).cast("long"))
+        sources = _apportion(sources.withColumn("_one", F.lit(1)), "source_ix", "target", F.round(F.col("budget") / F.col("block")).cast("long"), ["_one"]).drop("_one")
+        return sources.withColumnRenamed("quota", "source_quota").withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard_tokens))))
+
+    sources = alone(quotas, "sources")
     every = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     shard = F.pmod(_seeded(F.col("doc_id"), SHARD_FACTOR, seed, F.col("size") * F.lit(SIZE_FACTOR)), F.col("shards"))
     placed = every.filter("size > 0").withColumn("shard", shard)
     shards = placed.groupBy("source_ix", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block"))
+    whole = shards
+    shards = alone(lambda: _apportion(whole, "shard", "words", F.col("source_quota"), ["source_ix"]), "shards")
     shards = (
-        _apportion(shards, "shard", "words", F.col("source_quota"), ["source_ix"])
-        .withColumn("blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("words") / F.col("block"))))
+        shards.withColumn("blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("words") / F.col("block"))))
         .withColumn("quota", F.least(F.col("quota"), F.floor(F.lit(cap) * F.col("blocks"))))
         .select("source_ix", "shard", F.floor(F.col("quota") / F.col("blocks")).alias("passes"), F.pmod("quota", "blocks").alias("part"), "blocks")
     )

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import textkit as tk
 from tidewell.llm.bitfield import packed_texts
-from tidewell.llm.store import discard, written
+from tidewell.sources.shared import discard, written
 
 
 def minimizers(words: tk.Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:

@@ -40,7 +40,8 @@ from tidewell.llm import textkit as tk
 from tidewell.llm.bitfield import BITS as FIELD_BITS
 from tidewell.llm.bitfield import packed_bits, tested
 from tidewell.llm.hash_arrays import HashArrays, write_arrays
-from tidewell.llm.store import Carried, discard, small, written
+from tidewell.llm.store import Carried, small
+from tidewell.sources.shared import alone, discard, remove, tracked, written
 
 ORDER, BITS = 5, 12
 CLASSES = 1 << BITS
@@ -341,10 +342,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
 
 def model_of(docs: DataFrame) -> HashArrays:
     """The stored model of a corpus."""
-    counts = written(count_grams(docs), "grams")
-    table = train(counts)
-    model = stored(table)
-    discard(counts, table)
+    with tracked() as made:
+        model = stored(train(alone(lambda: count_grams(docs), "grams")))
+    remove(docs.sparkSession, *(path for path in made if path != model.folder))
     return model
 
 
@@ -373,13 +373,17 @@ def _medians(scores: DataFrame, value: Column, digits: int, by: list[str]) -> Da
 
 def bands(scores: DataFrame) -> DataFrame:
     """(_lang, centre, deviation) of each language; the deviation is that of a text of one word."""
-    distinct = written(scores.filter(f"not ({BASE_FAILED})").select("_lang", "score", "n_words").distinct(), "distinct")
-    centres = small(written(_medians(distinct, F.col("score"), 3, ["_lang"]).select("_lang", F.col("median").alias("centre")), "centres"))
-    off = written(distinct.join(centres, "_lang").select("_lang", (F.abs(F.col("score") - F.col("centre")) * F.sqrt("n_words")).alias("off")), "off")
-    every = _medians(off, F.col("off"), 2, []).select(F.coalesce("median", F.lit(0.0)).alias("all_median"))  # one row
-    own = _medians(off, F.col("off"), 2, ["_lang"]).join(F.broadcast(every), F.lit(True)).join(centres, "_lang")
-    mean = (F.col("n") * F.col("median") ** 2 + FEW * F.col("all_median") ** 2) / (F.col("n") + FEW)
-    return small(written(own.select("_lang", "centre", (1.4826 * F.sqrt(mean)).alias("deviation")), "bands"))
+
+    def made() -> DataFrame:
+        distinct = written(scores.filter(f"not ({BASE_FAILED})").select("_lang", "score", "n_words").distinct(), "distinct")
+        centres = small(written(_medians(distinct, F.col("score"), 3, ["_lang"]).select("_lang", F.col("median").alias("centre")), "centres"))
+        off = written(distinct.join(centres, "_lang").select("_lang", (F.abs(F.col("score") - F.col("centre")) * F.sqrt("n_words")).alias("off")), "off")
+        every = _medians(off, F.col("off"), 2, []).select(F.coalesce("median", F.lit(0.0)).alias("all_median"))  # one row
+        own = _medians(off, F.col("off"), 2, ["_lang"]).join(F.broadcast(every), F.lit(True)).join(centres, "_lang")
+        mean = (F.col("n") * F.col("median") ** 2 + FEW * F.col("all_median") ** 2) / (F.col("n") + FEW)
+        return own.select("_lang", "centre", (1.4826 * F.sqrt(mean)).alias("deviation"))
+
+    return small(alone(made, "bands"))
 
 
 def _banded(found: DataFrame, by: DataFrame, reach: float, floor: float) -> DataFrame:
@@ -397,7 +401,12 @@ def assess(docs: DataFrame, *, reach: float = 3.5, floor: float = 0.2) -> DataFr
 
 
 def keep_good(docs: DataFrame, *, reach: float = 3.5, floor: float = 0.2) -> DataFrame:
-    """The documents that pass; each is scored once, beside its own columns."""
-    carried = Carried(docs)
-    found = written(scored(carried.frame, model_of(docs), carried.kept, carried.of("text"), carried.of("lang")), "scores")
-    return carried.back(_banded(found, bands(found), reach, floor).filter("kept"))
+    """The documents that pass.
+
+    They are scored for the bands and once more for the result, which so reads the model and
+    the bands but no second copy of the texts.
+    """
+    carried, model = Carried(docs), model_of(docs)
+    found = scored(carried.frame, model, carried.kept, carried.of("text"), carried.of("lang"))
+    by = bands(scored(docs.select("text", "lang"), model, []))
+    return carried.back(_banded(found, by, reach, floor).filter("kept"))

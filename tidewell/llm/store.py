@@ -1,69 +1,10 @@
-"""Tables written to the shared folder, to cut lineage and to be read more than once."""
+"""Helpers on written tables and on tables with columns of any name."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
-_MADE: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, a local one, for local sessions (tests) only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-tidewell-"))
-    return _LOCAL[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else has."""
-    _MADE.append(f"{shared_folder(spark)}/tidewell-{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
-
-
-@contextmanager
-def tracked(paths: list[str]) -> Iterator[None]:
-    """Adds to ``paths`` those that are made meanwhile."""
-    begin = len(_MADE)
-    yield
-    paths.extend(_MADE[begin:])
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes folders; those that are gone already don't matter."""
-    context = spark.sparkContext
-    for name in paths:
-        path = context._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: survives lost executors, computed once."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found._written_to = path
-    return found
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that no later result reads."""
-    for table in tables:
-        remove(table.sparkSession, table._written_to)
-
 
 def small(table: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """``table``, to be broadcast if it has at most ``most_rows`` rows (counted), else to be joined as Spark chooses."""
