@@ -13,60 +13,32 @@ by all stages, but for ``ids``, ``n_ids`` and ``round_trip``, which the last one
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import mixing, ngram_jaccard, piece_codec, quality, secret_scan
 from tidewell.llm.queries import PIECE_MODEL
-from tidewell.llm.store import discard, remove, tracked, written
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []
-
-
-def stage(function: Stage) -> Stage:
-    """A stage that first deletes what the stage before it left in the shared folder.
-
-    That one's result was written by then, as it is this one's ``docs``.
-    """
+from tidewell.sources.shared import alone, discard
 
-    @functools.wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, *_left)
-        _left.clear()
-        with tracked(_left):
-            return function(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are in their language's perplexity band."""
     return quality.keep_good(docs)
 
 
-@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group linked by Jaccard 0.8 on 5-word shingles."""
     return ngram_jaccard.one_each(docs, k=5, percent=80)
 
 
-@stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their secrets masked."""
     return secret_scan.redact(docs)
 
 
-@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: 0, 1 or 2 times."""
     return mixing.mixed(docs)
 
 
-@stage
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their pieces."""
     return piece_codec.encode(docs, PIECE_MODEL)
@@ -85,11 +57,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.
+
+    What a stage keeps in the shared folder is deleted when its result is written, and that
+    when the next one's is.
+    """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, apply in STAGES:
-        docs, read = written(apply(spark, docs, sf_dir), name), before
-        if read is not None:
-            discard(read)
+        given = docs
+        docs = alone(lambda apply=apply, given=given: apply(spark, given, sf_dir), name)
+        if before is not None:
+            discard(before)
         before = docs
     return docs
