@@ -1,11 +1,14 @@
 """Secret scans: fixed patterns, and character Markov models of random and ordinary strings.
 
 First-order character models are trained from labelled samples: two of random strings (digests
-of document ids in base 64, and in hexadecimal), and one of ordinary identifiers (words of a
-bounded, seeded sample of documents: ``sample_docs`` in expectation).  They have a start term
-and are smoothed by absolute discounts, so a pair that was never met has the probability of its
-second character, scaled by how often the first is followed by something new; what
-follows a separator (``/``, ``_``, ``-``) begins anew.  A run of
+of document ids in base 64, and in hexadecimal), and three of ordinary ones, which are mixed by
+fixed weights: words of a bounded, seeded sample of documents (``sample_docs`` in expectation;
+rows without an id are told apart by their text); words, identifiers, dates and versions that
+``identifiers`` makes from a list and from the licence templates; and runs of one character or
+of successive ones.  So what is usual in any of them isn't unlikely, whatever the corpus holds.
+The models have a start term and are smoothed by absolute discounts, so a pair that was never
+met has the probability of its second character, scaled by how often the first is followed by
+something new; what follows a separator (``/``, ``_``, ``-``) begins anew.  A run of
 identifier characters is a secret if the log-likelihood ratio of its characters, one random
 model over the ordinary one, is high in total and per character.  Stretches of a run of which
 that holds are taken first, widened to the next of ``/``, ``_`` and ``-``, so ordinary parts of
@@ -23,11 +26,14 @@ and kept by ``redact``.
 
 from __future__ import annotations
 
-from math import log
+import re
+from collections import Counter
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.license_scan import TEMPLATES
 from tidewell.llm.store import Carried
 
 # fixed values: the patterns of the base kinds
@@ -37,6 +43,17 @@ HEX = r"[0-9a-f]{32,}"  # [0-9a-f]+ of 32 or more characters
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+# fixed values: words of programs, paths and compounds, from which ordinary identifiers are made
+WORDS = """
+abstract address admin alpha android application archive argument attribute background body bottom bridge browser buffer bundle callback category class cloud column commit company
+compose config cookie currency cursor daily dashboard default deploy desktop disable display distribution document download dynamic embed empty environment example exception export
+extension failure fixture flag frame framework function gateway global google graph health history https include input invoice javascript journal json kernel keyboard language
+layout length light linux logger lookup manifest maximum media minimum mobile module network notice object offset organization output package partner performance photo pixel
+platform plugin policy preview product program project proxy publish python query reference region remove repository require review rule runner script search service shipping signal
+size sleep smart social socket software special status style submit subject success suffix summary switch symbol sync system threshold topic transform type unique universal update
+variable verify video virtual webpack website weight welcome workflow world wrapper xml yaml year zone arbeit ausgabe dampf fahrt gesellschaft geschwindigkeit haupt krankheit
+mannschaft schluss stadt verwaltung wirtschaft zeichnung zustand beleuchtung travail bonheur quelque aujourdhui cuidado desarrollo trabajo siguiente pequeno
+""".split()
 RUN = r"[A-Za-z0-9+/_-]"
 SEPARATORS = "/_-"
 PART_CHARACTER = r"[A-Za-z0-9+]"
@@ -76,6 +93,39 @@ def conditional(counts: dict[str, int]) -> list[float]:
     return out
 
 
+def identifiers() -> list[str]:
+    """Ordinary strings: each word in three spellings, joined with the next ones, and dates, versions and numbers."""
+    out = [w for text in TEMPLATES.values() for w in re.findall(f"{PART_CHARACTER}{{2,}}", text)]
+    for at, word in enumerate(WORDS):
+        second, third = (WORDS[(at + step) % len(WORDS)] for step in (37, 101))
+        out += [word, word.capitalize(), word.upper(), word + second.capitalize() + third.capitalize(), word.capitalize() + second.capitalize(), word + second, f"{word}{at % 30}", f"{word[0].upper()}{second.capitalize()}"]
+    for year in range(1990, 2035):
+        month, day, hour = year % 12 + 1, year % 28 + 1, year % 24
+        out += [f"{year}", f"{year}{month:02}{day:02}", f"{day:02}T{hour:02}", f"{month:02}{day:02}{hour:02}Z", f"v{month}", f"{month:02}", f"{day:02}", f"{hour:02}{day:02}{month:02}00"]
+    return out
+
+
+def successive() -> list[str]:
+    """Runs of one character, and of successive ones."""
+    rows = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "9876543210")
+    return [*rows, *rows, *(c * 9 for c in ALPHABET)]
+
+
+def counted(strings: list[str], times: int = 4) -> dict[str, int]:
+    """First characters and adjacent pairs, as ``conditional`` takes them; each counts ``times``, as it is no chance find."""
+    found = Counter(x[max(0, i - 1) : i + 1] for x in strings for i in range(len(x)))
+    return {key: times * n for key, n in found.items()}
+
+
+#: Parts of the ordinary models: the documents, the identifiers, the runs.
+WEIGHTS = (0.45, 0.45, 0.1)
+
+
+def mixed(models: list[list[float]]) -> list[float]:
+    """Log-probabilities of the ordinary models together."""
+    return [log(sum(w * exp(x) for w, x in zip(WEIGHTS, row, strict=True))) for row in zip(*models, strict=True)]
+
+
 def separated(ratios: list[float]) -> list[float]:
     """The same ratios, but separators tell nothing, and what follows one begins a string."""
     size = len(ALPHABET)
@@ -88,17 +138,19 @@ def train(docs: DataFrame, *, sample_docs: int = 2000, seed: int = 11) -> list[l
     """For each random model, log ratios to the ordinary one, as ``conditional`` has them."""
     total = docs.count()
     part = min(1.0, sample_docs / total) if total else 0.0
-    sample = docs.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text"])
+    chosen = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64(F.col("doc_id"), F.lit(seed)))
+    sample = docs.filter(F.pmod(chosen, F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text"])
     plain = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     ordinary = sample.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(plain, F.lit(PART_CHARACTER + "{4,}"), F.lit(0))).alias("value"))
-    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col("doc_id")), 256)
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id"), F.xxhash64("text"))), 256)
     coded = F.array(F.struct(F.lit(1).alias("label"), F.regexp_replace(F.base64(F.unhex(digest)), "[=/]", "").alias("value")), F.struct(F.lit(2).alias("label"), F.sha2(digest, 256).alias("value")))
     random = sample.select(F.explode(coded).alias("s")).select("s.label", "s.value")
     counts: list[dict[str, int]] = [{}, {}, {}]
     for row in _pairs(ordinary.unionByName(random)).collect():  # at most 3 x 67 x 66 rows
         if set(row["pair"]) <= set(ALPHABET):
             counts[row["label"]][row["pair"]] = row["n"]
-    common, *models = map(conditional, counts)
+    documents, *models = map(conditional, counts)
+    common = mixed([documents, conditional(counted(identifiers())), conditional(counted(successive()))])
     return [separated([a - b for a, b in zip(model, common, strict=True)]) for model in models]
 
 
@@ -172,7 +224,7 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), none, step)
 
 
-def with_spans(docs: DataFrame, models: list[list[float]], *, least_run: int = 16, least_ratio: float = 15.0, least_per_char: float = 0.6) -> DataFrame:
+def with_spans(docs: DataFrame, models: list[list[float]], *, least_run: int = 12, least_ratio: float = 15.0, least_per_char: float = 0.6) -> DataFrame:
     """Adds ``base`` and ``spans``: arrays of (start, kind, end), by start, then kind."""
     text = F.coalesce("text", F.lit(""))
     run = RUN + "{%d,}" % least_run
