@@ -295,6 +295,53 @@ def test_passage_whose_parts_have_other_first_places(spark):
     assert found == {(40, 0, 60, 30), (80, 5, 75, 70)}
 
 
+def uncovered_windows(rows, found, n=50):
+    """(document, place) of each window of ``n`` words that an earlier document has and no reported span holds."""
+    words = {i: (t or "").translate(LOWER).split() for i, t in rows}
+    first = {}
+    for i in sorted(words):
+        for at in range(len(words[i]) - n + 1):
+            first.setdefault(tuple(words[i][at : at + n]), i)
+    spans = defaultdict(list)
+    for r in found:
+        spans[r.doc_id].append((r.start_word, r.end_word))
+    repeated = [(i, at) for i in words for at in range(len(words[i]) - n + 1) if first[tuple(words[i][at : at + n])] < i]
+    return repeated, [(i, at) for i, at in repeated if not any(a <= at and at + n <= b for a, b in spans[i])]
+
+
+def test_all_exact_passages_are_found(spark):
+    """The whole result against each window of 50 words, with parts of passages in documents before and between."""
+    rng = random.Random(71)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    rows, at = [], 0
+    for _ in range(25):
+        passage = fresh(rng.choice([50, 51, 60, 80, 150]))
+        n = len(passage)
+        for first, end in ((0, 35), (n - 35, n), (0, n), (0, 35), (n - 35, n), (0, n), (n // 2 - 17, n // 2 + 17), (0, n)):
+            at += rng.randint(1, 3)
+            rows.append((at, " ".join(fresh(rng.randint(0, 40)) + passage[first:end] + fresh(rng.randint(0, 40)))))
+    rng.shuffle(rows)
+    found = passage_chains.repeated_passages(docs(spark, rows)).collect()
+    repeated, missed = uncovered_windows(rows, found)
+    assert len(repeated) > 300 and missed == []
+    words = {i: t.split() for i, t in rows}
+    for r in found:  # and nothing else is
+        own, other = words[r.doc_id][r.start_word : r.end_word], words[r.first_id][r.first_start : r.first_end]
+        assert r.first_id < r.doc_id and len(own) >= 50 and plain_common(own, other) >= 0.8 * max(len(own), len(other))
+
+
+def test_passage_in_very_many_documents(spark, monkeypatch):
+    """A third of all documents share one passage, and its seeds are joined in salts."""
+    rng = random.Random(72)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    common, join = fresh(60), passage_chains.salted_join
+    monkeypatch.setattr(passage_chains, "salted_join", lambda *a, **b: join(*a, rows=20, **b))
+    rows = [(i, " ".join(fresh(15) + (common if i % 3 == 0 else fresh(20)) + fresh(15))) for i in range(450)]
+    found = passage_chains.repeated_passages(docs(spark, rows)).collect()
+    assert uncovered_windows(rows, found)[1] == []
+    assert sorted({r.doc_id for r in found}) == list(range(3, 450, 3)) and {r.first_id for r in found} == {0}
+
+
 @pytest.mark.parametrize("flip", [False, True])
 def test_passages_of_equal_ids(spark, flip):
     rng = random.Random(43)

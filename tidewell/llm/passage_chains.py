@@ -13,7 +13,10 @@
    Passages of ``least_words`` words or more at ``least_identity`` or more are reported.
 5. Parts of a passage may have their first places in different documents, each with too little
    of it.  So seeds in none of the passages found are anchored once more, to the nearest earlier
-   document that has them, and go through steps 3 and 4.
+   document that has them.  A seed is also known by the ``least_words - window + 1`` words that
+   begin there: each exact passage of ``least_words`` holds such a stretch, and stretches in no
+   passage found are anchored to the first and to the nearest earlier document that have all
+   of their words.  All these go through steps 3 and 4.
 
 Words are compared lower-cased, as 50-bit hashes.  Defined results: null and empty texts have
 no passage; a passage that repeats only within one document is not reported; rows of equal id
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import textkit as tk
 from tidewell.llm.bitfield import packed_texts
-from tidewell.sources.shared import discard, written
+from tidewell.operators.salted import salted_join
+from tidewell.sources.shared import discard, remove, tracked, written
 
 
 def minimizers(words: tk.Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +75,19 @@ def minimizers(words: tk.Words, k: int, window: int) -> tuple[np.ndarray, np.nda
     return np.concatenate([at, at[again]]), np.concatenate([seed[at], tk.mix(seed[at][again] + before[again].astype(np.uint64))])
 
 
-def _seed_rows(docs: DataFrame, k: int, window: int) -> DataFrame:
-    """(seed, doc_id, text_hash, place), places counted in words."""
+def stretch_hashes(words: tk.Words, place: np.ndarray, length: int) -> pa.Array:
+    """A hash of the ``length`` words from each place, null where its row ends before."""
+    up, down = tk._powers(len(words.hash) + 1)
+    total = np.zeros(len(words.hash) + 1, dtype=np.uint64)
+    np.cumsum(words.hash * up[:-1], out=total[1:])
+    end = place + length
+    whole = end <= words.first[words.row[place] + 1]
+    end = np.where(whole, end, place)
+    return pa.array(tk.mix((total[end] - total[place]) * down[place]).astype(np.int64), mask=~whole)
+
+
+def _seed_rows(docs: DataFrame, k: int, window: int, stretch: int) -> DataFrame:
+    """(seed, doc_id, text_hash, place, stretch), places counted in words; ``stretch`` names the words from there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,9 +96,9 @@ def _seed_rows(docs: DataFrame, k: int, window: int) -> DataFrame:
                 place, seed = minimizers(words, k, window)
                 row = words.row[place]
                 of = lambda c: batch.column(c).slice(at, len(part)).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int64)), of("doc_id"), of("text_hash"), pa.array((place - words.first[row]).astype(np.int32))], names=["seed", "doc_id", "text_hash", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int64)), of("doc_id"), of("text_hash"), pa.array((place - words.first[row]).astype(np.int32)), stretch_hashes(words, place, stretch)], names=["seed", "doc_id", "text_hash", "place", "stretch"])
 
-    return docs.mapInArrow(run, "seed long, doc_id long, text_hash long, place int")
+    return docs.mapInArrow(run, "seed long, doc_id long, text_hash long, place int, stretch long")
 
 
 def best_chains(x: np.ndarray, y: np.ndarray, k: int, gap_cost: float, most_gap: int, least: int) -> list[list[int]]:
@@ -276,10 +291,10 @@ def repeated_passages(docs: DataFrame, *, k: int = 8, window: int = 12, gap_cost
     [start_word, end_word), first_id and the place there, equal words and their part, and the
     hashes of the two texts."""
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    seeds = _seed_rows(docs, k, window)
-    shared = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id <> last").drop("last")
-    shared = written(shared, "shared")  # by itself, as Spark splits the places of a frequent seed only in a plain join
-    places = written(seeds.join(shared, "seed"), "places")
+    seeds, stretch = _seed_rows(docs, k, window, least_words - window + 1), least_words - window + 1
+    shared = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first.doc_id <> last").drop("last")
+    shared = written(shared, "shared")
+    places = written(salted_join(seeds, shared.drop("n"), "seed", counts=shared), "places")
     discard(shared)
     anchors = places.filter("doc_id <> first.doc_id").select("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "place", F.col("first.place").alias("first_place"))
 
@@ -297,8 +312,11 @@ def repeated_passages(docs: DataFrame, *, k: int = 8, window: int = 12, gap_cost
     found = passages(anchors)
     marked = written(_marked(places, found, k), "marked")
     discard(places)
-    more = passages(_nearest(marked))
+    with tracked() as made:
+        anchors = _nearest(marked, "seed").unionByName(_stretched(marked, stretch, k))
+    more = passages(anchors)
     discard(marked)
+    remove(docs.sparkSession, *made)
     return found.unionByName(more)
 
 
@@ -309,20 +327,36 @@ def _marked(places: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return places.join(spans, ["doc_id", "text_hash"], "left").withColumn("open", (F.col("doc_id") != F.col("first.doc_id")) & ~F.coalesce(covered, F.lit(False))).drop("spans")
 
 
-def _nearest(marked: DataFrame) -> DataFrame:
-    """Anchors of the open places to the nearest earlier document with the seed.
+def _stretched(marked: DataFrame, stretch: int, k: int) -> DataFrame:
+    """Anchors of stretches from open places to the first and the nearest earlier document that have all their words.
 
-    A seed's places are sorted within blocks of ids, as a seed may be in very many documents;
-    the last place before a block is carried into it, one row for each seed and block.
+    Each gives anchors all along the stretch, as its words are equal.
+    """
+    named = marked.filter("stretch is not null")
+    named = named.join(named.filter("open").select("stretch").distinct(), "stretch", "left_semi")
+    named = written(named, "stretches")
+    first = named.groupBy("stretch").agg(F.min(F.struct(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("place").alias("first_place"))).alias("near"), F.count(F.lit(1)).alias("n"))
+    first = written(first.filter("n > 1"), "first-stretches")
+    firsts = salted_join(named.filter("open").select("stretch", "doc_id", "text_hash", "place"), first.drop("n"), "stretch", counts=first).filter("near.first_id <> doc_id")
+    found = firsts.select("doc_id", "text_hash", "place", "near.*").unionByName(_nearest(named, "stretch"))
+    along = F.explode(F.sequence(F.lit(0), F.lit(stretch - k), F.lit(k)))
+    return found.select("*", along.alias("on")).select("doc_id", "text_hash", (F.col("place") + F.col("on")).alias("place"), "first_id", "first_hash", (F.col("first_place") + F.col("on")).alias("first_place"))
+
+
+def _nearest(marked: DataFrame, key: str) -> DataFrame:
+    """Anchors of the open places to the nearest earlier document with the same ``key``.
+
+    A key's places are sorted within blocks of ids, as it may be in very many documents;
+    the last place before a block is carried into it, one row for each key and block.
     """
-    places = marked.join(marked.filter("open").select("seed").distinct(), "seed", "left_semi")
+    places = salted_join(marked, marked.filter("open").select(key).distinct(), key)
     ends = marked.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     low, width = ends["low"] or 0, max(1, ((ends["high"] or 0) - (ends["low"] or 0)) // BLOCKS + 1)
     block = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("int")
     here = F.struct(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("place").alias("first_place"))
-    blocked = places.withColumn("block", block).repartition("seed", "block")
-    carried = blocked.groupBy("seed", "block").agg(F.max(here).alias("last_one"))
-    carried = carried.select("seed", "block", F.lag("last_one").over(Window.partitionBy("seed").orderBy("block")).alias("carried"))
-    before = F.lag(here).over(Window.partitionBy("seed", "block").orderBy("doc_id", "text_hash", "place"))
-    ranked = blocked.withColumn("near", before).filter("open").join(carried, ["seed", "block"]).withColumn("near", F.coalesce("near", "carried"))
+    blocked = places.withColumn("block", block).repartition(key, "block")
+    carried = blocked.groupBy(key, "block").agg(F.max(here).alias("last_one"))
+    carried = carried.select(key, "block", F.lag("last_one").over(Window.partitionBy(key).orderBy("block")).alias("carried"))
+    before = F.lag(here).over(Window.partitionBy(key, "block").orderBy("doc_id", "text_hash", "place"))
+    ranked = blocked.withColumn("near", before).filter("open").join(carried, [key, "block"]).withColumn("near", F.coalesce("near", "carried"))
     return ranked.filter("near is not null and near.first_id <> doc_id and near.first_id <> first.doc_id").select("doc_id", "text_hash", "place", "near.*")
