@@ -1,0 +1,105 @@
+"""Sessions of hot keys, as-of joins with nulls, sketches, JSON and the partitioned sink on odd rows."""
+
+from __future__ import annotations
+
+import datetime
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewell.operators import sketches
+from tidewell.operators.nested import map_sums, parsed
+from tidewell.operators.time import asof_join, sessions
+from tidewell.sources.sinks import write_partitions
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, value double"
+
+
+def at(minutes):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)
+
+
+def events(spark, rows):
+    return spark.createDataFrame([(i, at(m) if m is not None else None, u, v) for i, m, u, v in rows], EVENTS)
+
+
+def plain_sessions(rows, gap):
+    out = []
+    for user in {u for _, m, u, _ in rows if m is not None}:
+        times = sorted(m for _, m, u, _ in rows if u == user and m is not None)
+        begins = [i for i, m in enumerate(times) if i == 0 or m - times[i - 1] > gap]
+        for a, b in zip(begins, [*begins[1:], len(times)], strict=True):
+            out.append((user, b - a, at(times[a]), at(times[b - 1])))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seconds", [60, 1800, 3600, 7200, 86_400])
+def test_sessions_over_stretches(spark, seconds):
+    """Sessions that span many stretches, stretches that hold many, gaps of exactly an hour, ties and nulls."""
+    rng = random.Random(seconds)
+    rows = [(i, rng.choice([rng.randrange(3000), 60 * rng.randrange(50), 10 * i]), rng.choice([1, 1, 1, 2, None]), 1.0) for i in range(250)]
+    rows += [(900 + i, 5000 + 30 * i, 1, 1.0) for i in range(200)] + [(2000, None, 1, 1.0), (2001, None, 9, 1.0)]
+    found = sessions(events(spark, rows), key="user_id", time="ts", gap="1 hour", seconds=seconds)
+    assert found.columns == ["user_id", "n_events", "first_ts", "last_ts"]
+    assert sorted(map(tuple, found.collect()), key=str) == plain_sessions(rows, 60)
+    assert sessions(events(spark, []), key="user_id", time="ts", gap="1 hour").collect() == []
+
+
+def test_asof_with_null_keys_and_times(spark):
+    left = events(spark, [(1, 10, None, 0.0), (2, None, 1, 0.0), (3, 10, 1, 0.0), (4, None, None, 0.0)])
+    right = events(spark, [(11, 5, None, 1.0), (12, None, 1, 2.0), (13, 4, 1, 3.0)])
+    joined = {r.event_id: r.asof_event_id for r in asof_join(left, right, key="user_id", time="ts", order="event_id", values=["event_id"]).collect()}
+    assert joined == {1: None, 2: None, 3: 13, 4: None}
+
+
+def test_sketches_merge_in_any_order(spark):
+    rng = random.Random(4)
+    rows = [(f"d{i % 7}", rng.choice("abc"), rng.randrange(40_000) if i % 11 else None) for i in range(60_000)]
+    table = spark.createDataFrame(rows, "day string, kind string, user long").cache()
+    fine = sketches.distinct_sketches(table, by=["day", "kind"], of="user").cache()
+    for by in (["day"], ["kind"], []):
+        found = {tuple(r[c] for c in by): r["n"] for r in sketches.estimated(sketches.merged(fine, by=by), "n").collect()}
+        exact = {tuple(r[c] for c in by): r["n"] for r in table.groupBy(*by).agg(F.countDistinct("user").alias("n")).collect()}
+        direct = {tuple(r[c] for c in by): r["n"] for r in sketches.estimated(sketches.distinct_sketches(table, by=by, of="user"), "n").collect()}
+        steps = {tuple(r[c] for c in by): r["n"] for r in sketches.estimated(sketches.merged(sketches.merged(fine, by=["kind", *by] if by != ["kind"] else ["kind"]), by=by), "n").collect()}
+        for group, n in exact.items():
+            # merged sketches agree with each other, and with one made at once, to the estimator's own error
+            assert abs(found[group] - n) <= 0.03 * n and abs(direct[group] - n) <= 0.03 * n and abs(steps[group] - found[group]) <= 0.005 * n
+    assert sketches.levels(fine, by=["day", "kind"], name="n").count() == 21 + 7 + 1
+    assert sketches.distinct_sketches(table.limit(0), by=["day"], of="user").collect() == []
+
+
+def test_typed_json(spark):
+    rows = [(1, '{"k": 5, "tags": ["a"], "in": {"x": 1.5}}'), (2, None), (3, "{}"), (4, '{"k": "no number"}'), (5, '{"k": 1'), (6, "[]"), (7, ""), (8, '{"k": 7, "other": true}'), (9, '{"k": null}')]
+    table = spark.createDataFrame(rows, "id long, props string")
+    good, bad = parsed(table, "props", "k INT, tags ARRAY<STRING>, `in` STRUCT<x: DOUBLE>")
+    read = {r.id: None if r.props is None else (r.props.k, r.props.tags, r.props["in"] and r.props["in"].x) for r in good.collect()}
+    kept = {r.id: r.props for r in bad.collect()}
+    assert read == {1: (5, ["a"], 1.5), 2: None, 3: (None, None, None), 8: (7, None, None), 9: (None, None, None)} | {i: (None, None, None) for i in (6, 7) if i in read}
+    assert kept == {i: t for i, t in rows if i in (4, 5) or i in (6, 7) and i not in read}
+    assert good.columns == bad.columns == table.columns
+
+
+def test_map_sums(spark):
+    table = spark.createDataFrame([(1, "a", 2), (1, "a", 3), (1, "b", None), (1, None, 9), (2, None, 1), (None, "a", 4)], "user long, kind string, k int")
+    found = {r.user: r.of for r in map_sums(table, by=["user"], entry="kind", value="k", name="of").collect()}
+    assert found == {1: {"a": 5, "b": None}, None: {"a": 4}}
+
+
+def test_partitions_are_written_again_without_change(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["x", "x", "x", "y", None]), float(i)) for i in range(500)]
+    table, path = spark.createDataFrame(rows, "id long, day string, value double"), f"file://{tmp_path}/t"
+    read = lambda: sorted(map(str, spark.read.schema("id long, value double, day string").parquet(path).collect()))
+    write_partitions(table, path, ["day"], rows=100)
+    first = read()
+    assert len(first) == 500
+    write_partitions(table, path, ["day"], rows=100)
+    assert read() == first
+    write_partitions(table.filter("day = 'y'"), path, ["day"])
+    assert read() == first
+    write_partitions(table.filter("day = 'y'").withColumn("value", F.lit(-1.0)), path, ["day"])
+    assert sum("value=-1.0" in r for r in read()) == sum(r[1] == "y" for r in rows) and len(read()) == 500
+    write_partitions(table.limit(0), path, ["day"])
+    assert len(read()) == 500

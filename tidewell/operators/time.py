@@ -17,8 +17,10 @@ def asof_join(left: DataFrame, right: DataFrame, *, key: str, time: str, order:
     Both sides are one union in one window by key and stretch of ``seconds``: no pairs, and a
     key with very many rows is many groups.  Where a stretch has no earlier right row, the last
     one of the stretches before counts: one row per key and stretch carries it.  Of right rows
-    of one time the greatest ``order`` counts; left rows without an earlier right row get nulls.
+    of one time the greatest ``order`` counts; left rows without an earlier right row get nulls,
+    and so do those whose key or time is null.  Right rows with a null key or time are left out.
     """
+    right = right.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
     base = left.columns
     lefts = left.select(*base, F.lit(1).alias("_side"), *(F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values), F.lit(False).alias("_has"))
     rights = right.select(*(F.col(c) if c in (key, time, order) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in base), F.lit(0).alias("_side"), *(F.col(v).alias(f"_{v}") for v in values), F.lit(True).alias("_has"))
@@ -70,10 +72,26 @@ def interval_join(left: DataFrame, right: DataFrame, *, key: str, time: str, sec
     return joined.filter(inside if condition is None else inside & condition).drop("_bucket")
 
 
-def sessions(events: DataFrame, *, key: str, time: str, gap: str) -> DataFrame:
-    """Count and ends of each session: rows of a key not more than ``gap`` apart."""
-    return (
-        events.groupBy(key, F.session_window(time, gap).alias("_w"))
-        .agg(F.count(F.lit(1)).alias("n_events"), F.min(time).alias("first_ts"), F.max(time).alias("last_ts"))
-        .drop("_w")
-    )
+def sessions(events: DataFrame, *, key: str, time: str, gap: str, seconds: int = 86_400) -> DataFrame:
+    """Count and ends of each session: rows of a key not more than ``gap`` apart.
+
+    Rows are put in order within stretches of ``seconds``, so a key with very many rows is many
+    groups.  A stretch gives fragments: sessions as far as it shows them.  Only its first and its last one can
+    go on in another stretch; these are joined along the key, two rows for each stretch.  A
+    null key is a key; rows without a time are in no session.
+    """
+    placed = events.filter(F.col(time).isNotNull()).select(key, time).withColumn("_bucket", time_bucket(time, seconds))
+    apart = F.expr(f"INTERVAL {gap}")
+
+    def begins(at: str, before: str, order: WindowSpec) -> Column:
+        last = F.lag(before).over(order)
+        return F.coalesce((F.col(at) > last + apart).cast("int"), F.lit(1))
+
+    within = Window.partitionBy(key, "_bucket").orderBy(time)
+    marked = placed.withColumn("_new", begins(time, time, within)).withColumn("_part", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = marked.groupBy(key, "_bucket", "_part").agg(F.count(F.lit(1)).alias("n_events"), F.min(time).alias("first_ts"), F.max(time).alias("last_ts"))
+    parts = parts.withColumn("_edge", (F.col("_part") == 1) | (F.col("_part") == F.max("_part").over(Window.partitionBy(key, "_bucket"))))
+    along = Window.partitionBy(key).orderBy("_bucket", "_part")
+    edges = parts.filter("_edge").withColumn("_new", begins("first_ts", "last_ts", along)).withColumn("_session", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = edges.groupBy(key, "_session").agg(F.sum("n_events").alias("n_events"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")).drop("_session")
+    return joined.unionByName(parts.filter("not _edge").select(key, "n_events", "first_ts", "last_ts"))

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import normalised
+from tidewell.operators import sketches, vectors
+from tidewell.operators.nested import map_sums, parsed
 from tidewell.operators.ranking import top_per_group
-from tidewell.operators import vectors
 from tidewell.operators.time import asof_join, in_blocks, interval_join, numbered, sessions
+from tidewell.sources.shared import new_path
+from tidewell.sources.sinks import write_partitions
 from tidewell.sources.tables import table
 from tidewell.streaming.drain import drained, stream_of
-from tidewell.streaming.windows import deduplicated, windowed_counts
+from tidewell.streaming.windows import deduplicated, interval_joined, session_counts, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -228,8 +231,7 @@ WHERE start + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '1 hou
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily windows of the events as a stream; those that the watermark has not passed stay open."""
     counts = windowed_counts(stream_of(spark, sf_dir, "events"), time="ts", size="1 day", by=["event_type"])
-    zoneless = lambda c: F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
-    return drained(counts, "counts").select(zoneless("start").alias("start"), zoneless("end").alias("finish"), "event_type", "n", F.round("total", 4).alias("total"))
+    return drained(counts, "counts").select("start", F.col("end").alias("finish"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events")
@@ -249,6 +251,60 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(rows.filter(F.col("id") % 50 == 0), rows, 10)
 
 
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '1 hour' THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY user_id, session
+HAVING max(ts) + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users with an hour's gap as a stream; those that the watermark has not passed stay open."""
+    return drained(session_counts(stream_of(spark, sf_dir, "events"), key="user_id", time="ts", gap="1 hour"), "sessions")
+
+
+@query("""
+SELECT p.event_id, p.user_id, v.event_id AS before_event_id FROM events p JOIN events v ON v.user_id = p.user_id
+  AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL '6 hours' WHERE p.event_type = 'purchase' AND v.event_type = 'view'""")
+def streamed_views_before_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of a user in the six hours before each of the user's purchases, as a join of two streams."""
+    events = lambda kind: stream_of(spark, sf_dir, "events").filter(F.col("event_type") == kind).select("event_id", "ts", "user_id")
+    pairs = interval_joined(events("purchase"), events("view"), key="user_id", time="ts", seconds=6 * 3600)
+    return drained(pairs.select("event_id", "user_id", "before_event_id"), "pairs")
+
+
+@query("""
+WITH l AS (SELECT event_type, CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS n_users FROM events GROUP BY ROLLUP (event_type, day))
+SELECT event_type, day, n_users, TRUE AS close FROM l""")
+def sketched_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of each type and day, each type, and all: exactly, and whether merged sketches are within 3 % (or 1 user)."""
+    events = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("date").alias("day"), "user_id")
+    exact = events.rollup("event_type", "day").agg(F.countDistinct("user_id").alias("n_users"))
+    found = sketches.levels(sketches.distinct_sketches(events, by=["event_type", "day"], of="user_id"), by=["event_type", "day"], name="estimate")
+    found = found.select(F.col("event_type").alias("_type"), F.col("day").alias("_day"), "estimate")
+    both = exact.join(found, F.col("event_type").eqNullSafe(F.col("_type")) & F.col("day").eqNullSafe(F.col("_day")))
+    return both.select("event_type", "day", "n_users", (F.abs(F.col("estimate") - F.col("n_users")) <= F.greatest(F.lit(1.0), 0.03 * F.col("n_users"))).alias("close"))
+
+
+@query("""
+WITH s AS (SELECT user_id, event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY ALL)
+SELECT user_id, count(*) AS n_types, string_agg(event_type, ',' ORDER BY event_type) AS types, max(CASE WHEN event_type = 'purchase' THEN k END) AS purchase_k, CAST(sum(k) AS BIGINT) AS all_k FROM s GROUP BY ALL""")
+def user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed properties of the events, summed in a map by type for each user."""
+    events, _ = parsed(table(spark, sf_dir, "events").select("user_id", "event_type", "props"), "props", "k INT")
+    maps = map_sums(events.withColumn("k", F.col("props.k")), by=["user_id"], entry="event_type", value="k", name="of")
+    total = F.aggregate(F.map_values("of"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return maps.select("user_id", F.size("of").cast("long").alias("n_types"), F.array_join(F.map_keys("of"), ",").alias("types"), F.try_element_at("of", F.lit("purchase")).alias("purchase_k"), total.alias("all_k"))
+
+
+@query("SELECT event_id, CAST(ts AS DATE) AS day, user_id, value FROM events")
+def daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events written by day, and one type's days written once more, as after a failure."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("day"), "user_id", "value")
+    path = new_path(spark, "daily")
+    write_partitions(events, path, ["day"])
+    write_partitions(events.filter(F.dayofmonth("day") <= 3), path, ["day"])
+    return spark.read.schema(events.schema).parquet(path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.sources.shared import new_path, remove
+
 
 def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of ``folder`` as a stream of its files."""
@@ -16,18 +14,13 @@ def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
-    """What the stream appends until its source is used up, as a table.
+    """What the stream appends until its source is used up, as a table in the shared folder.
 
-    Table and checkpoint lie in the folder of ``spark.checkpoint.dir``; in a local session
-    without one, in a local folder.  Rows that wait for the watermark are not appended.
+    The checkpoint, which lies there as well, is deleted at the end.  Rows that wait for the watermark are not appended.
     """
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-tidewell-stream-")
-    path = f"{folder.rstrip('/')}/tidewell-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+    remove(spark, f"{path}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
