@@ -38,6 +38,13 @@ def test_rows(spark):
         (f'<article><header class="entry-header"><h1>Title</h1></header><p>{LONG}</p><article class="comment"><p>{LONG}</p></article></article>', f"Title {LONG}"),
         (f"<div><article class='comment'><p>{LONG} {LONG}</p></article></div><div class='text'><p>{LONG}</p></div>", LONG),
         (f'<main role="main"><div class="articleBody"><p>{LONG}</p><p>x<a class="share-link">y</a></p></div></main><aside>{LONG}</aside>', f"{LONG} xy"),
+        (f'<nav><a href="/a">Home</a></nav><div class="discussion"><p>{LONG}</p><p>Short.</p></div><footer>us</footer>', f"{LONG} Short."),
+        (f'<div class="menu"><a href="/a">One</a><a href="/b">Two</a><div><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG} {LONG}"),
+        (f'<article><p>{LONG}</p><div class="legal"><p>{LONG}</p></div><p>End.</p></article>', f"{LONG} {LONG} End."),
+        (f'<article><p>{LONG}</p><div class="legal">All rights reserved</div><p>End.</p></article>', f"{LONG} End."),
+        (f'<article><div>{LONG}</div><div class="note">Mind this.</div><div>{LONG}</div></article>', f"{LONG} Mind this. {LONG}"),
+        (f'<article><p>Brief.</p></article><div class="sidebar"><p>{LONG}</p></div><div class="comments"><p>{LONG}</p></div>', "Brief."),
+        (f'<div class="comments"><p>{LONG}</p></div>', ""),
         (f"<body><p>{LONG}<!-- an open comment {LONG}", LONG),
         (f"<p>{LONG}</p><script>var x = '{LONG}';", LONG),
         (f"<p>A &lt;b&gt; &#233;&nbsp;&hellip; {LONG}</p>", f"A <b> é … {LONG}"),

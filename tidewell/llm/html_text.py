@@ -14,9 +14,15 @@ cluster holds at least half, or whose container looks like one of these; so are
 before content, and between such regions those in other elements than ``div`` and ``section``.
 Inside a region nothing is dropped, so short paragraphs stay.
 
+In an article whose upper text stands in boxes directly, as paragraphs do elsewhere, short
+boxes stay as well.
+
 Elements that can't be article text (scripts, navigation, asides, forms, page headers and
-footers, hidden ones, and containers whose class, id or role names such a part) are lines for
-the clustering, but never content.  Names of headings and inline elements decide nothing, nor
+footers, hidden ones, and containers that are named as comments) are lines for the clustering,
+but never content.  Containers whose class, id or role names some other such part aren't either,
+as long as there is other text in the upper cluster or an article: else the clusters alone
+decide.  Names that articles use for parts of their own (``WEAK``) leave out nothing in an article that
+the upper cluster holds at least half of.  Names of headings and inline elements decide nothing, nor
 does that of an outermost article or main element, unless it says that it is a comment.
 
 Pages are handled by themselves in Arrow tasks: no shuffle; memory is that of one page's text.
@@ -46,7 +52,9 @@ NOISE = frozenset(
     "widget footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended recommendations comment comments commentlist discussion reply replies respond responses feedback disqus pagination pager toolbar legal copyright disclaimer skip teaser toc search complementary contentinfo".split()
 )
-COMMENT = frozenset("comment comments reply replies response responses".split())
+#: Names of parts that an article may have too.
+WEAK = frozenset("legal copyright disclaimer discussion search alert feedback notification skip teaser complementary".split())
+COMMENT = frozenset("comment comments commentlist disqus reply replies response responses".split())
 #: Beside these, "header" names the heading of an article.
 ARTICLE = frozenset("article content post entry story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -55,17 +63,20 @@ SILENT = frozenset("script style noscript template head title select option text
 ENDS_AT = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 #: Blocks that are parts of the container they stand in.
 PARTS = frozenset("p li dt dd td th tr tbody thead tfoot caption figcaption".split())
+BOXES = frozenset("div section".split())
+#: How far an element is left out.
+MAYBE, NAME, ALWAYS = 1, 2, 3
 CHUNK = 1 << 16
 
 
 class Line:
-    """Text of one block, its tags, the code points of it that are links, and where it stands."""
+    """Text of one block, its tags, the code points of it that are links, and where it stands (``direct``: in a box itself)."""
 
-    __slots__ = ("article", "heading", "links", "out", "parts", "place", "tags")
+    __slots__ = ("article", "direct", "heading", "links", "out", "parts", "place", "tags")
 
-    def __init__(self, place: int, article: int, out: bool, heading: bool):
+    def __init__(self, place: int, article: int, out: int, heading: bool, direct: bool):
         self.parts: list[str] = []
-        self.tags, self.links, self.place, self.article, self.out, self.heading = 1, 0, place, article, out, heading
+        self.tags, self.links, self.place, self.article, self.out, self.heading, self.direct = 1, 0, place, article, out, heading, direct
 
 
 class PageLines(HTMLParser):
@@ -73,30 +84,38 @@ class PageLines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # name, left out, container
-        self.skipping = self.silent = self.links = self.marked = self.headings = 0
+        self.stack: list[tuple[str, int, int]] = []  # name, how far left out, container
+        self.skipping = [0] * 4  # open elements by how far they are left out
+        self.silent = self.links = self.marked = self.headings = 0
         self.looks: list[tuple[str, str]] = [("", "")]  # of each container: element and class
         self.lines: list[Line] = []
         self.fresh = True
 
-    def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        """``ALWAYS``, by a ``NAME``, by a name that ``MAYBE`` an article's, or 0."""
         if tag in SKIPPED or tag == "header" and not self.marked:
-            return True
+            return ALWAYS
         words: set[str] = set()
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
-                return True
+                return ALWAYS
             if name in ("class", "id", "role") and value:
                 words.update(re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", value).lower()))
         if tag in INLINE or tag in HEADINGS or tag in ("html", "body"):
-            return False
+            return 0
+        if words & COMMENT:
+            return ALWAYS
         if tag in ("article", "main") and not self.marked:
-            return bool(words & COMMENT)
-        return bool(words & NOISE - ({"header"} if words & ARTICLE else set()))
+            return 0
+        named = words & NOISE - ({"header"} if words & ARTICLE else set())
+        return (NAME if named - WEAK else MAYBE) if named else 0
+
+    def _out(self) -> int:
+        return max((level for level in (MAYBE, NAME, ALWAYS) if self.skipping[level]), default=0)
 
     def _pop(self) -> str:
         tag, out, _ = self.stack.pop()
-        self.skipping -= out
+        self.skipping[out] -= 1
         self.silent -= tag in SILENT
         self.links -= tag == "a"
         self.marked -= tag in ("article", "main")
@@ -104,8 +123,8 @@ class PageLines(HTMLParser):
         return tag
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ("article", "main") and self.skipping and not self.marked:
-            while self.skipping:  # an unclosed menu or advert ends where the article begins
+        if tag in ("article", "main") and not self.marked:
+            while self._out():  # an unclosed menu or advert ends where the article begins
                 self._pop()
         while self.stack and tag in ENDS_AT.get(self.stack[-1][0], ()):
             self._pop()
@@ -122,7 +141,7 @@ class PageLines(HTMLParser):
         else:
             place = self.stack[-1][2] if self.stack else 0
         self.stack.append((tag, out, place))
-        self.skipping += out
+        self.skipping[out] += 1
         self.silent += tag in SILENT
         self.links += tag == "a"
         self.marked += tag in ("article", "main")
@@ -150,10 +169,11 @@ class PageLines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.silent:
             return
-        if self.fresh or self.lines[-1].out != (self.skipping > 0):
+        if self.fresh or self.lines[-1].out != self._out():
             if not data.strip():
                 return
-            self.lines.append(Line(self.stack[-1][2] if self.stack else 0, self._article(), self.skipping > 0, self.headings > 0))
+            block = next((tag for tag, _, _ in reversed(self.stack) if tag not in INLINE), "")
+            self.lines.append(Line(self.stack[-1][2] if self.stack else 0, self._article(), self._out(), self.headings > 0, block in BOXES))
             self.fresh = False
         line = self.lines[-1]
         line.parts.append(data)
@@ -185,7 +205,8 @@ class Region:
     """A run of lines in one container: indices, code points, those of upper lines and of links."""
 
     def __init__(self, lines: list[int], found: list[tuple[str, Line]], upper: np.ndarray, ratio: np.ndarray, look: tuple[str, str]):
-        self.lines, self.look, self.box = lines, look, look[0] in ("div", "section")
+        self.lines, self.look, self.box = lines, look, look[0] in BOXES
+        self.weak, self.direct = found[lines[0]][1].out == MAYBE, all(found[i][1].direct for i in lines)
         self.size = sum(len(found[i][0]) for i in lines)
         self.high = sum(len(found[i][0]) for i in lines if upper[i])
         self.linked = 2 * sum(found[i][1].links for i in lines) > self.size
@@ -200,21 +221,31 @@ def content(found: list[tuple[str, Line]], looks: list[tuple[str, str]], sigma:
     score = smoothed(ratio, sigma)
     least = two_clusters(score)
     upper = (score >= least) & (ratio > 0)
-    runs: list[list[int]] = []
-    for i, (_, line) in enumerate(found):
-        if not line.out:
-            if runs and found[runs[-1][-1]][1].place == line.place:
-                runs[-1].append(i)
-            else:
-                runs.append([i])
-    regions = [Region(run, found, upper, ratio, looks[found[run[0]][1].place]) for run in runs]
+
+    def regions_of(most: int) -> list[Region]:
+        """Runs of lines in one container that are left out at most so far."""
+        runs: list[list[int]] = []
+        for i, (_, line) in enumerate(found):
+            if line.out <= most:
+                if runs and (found[runs[-1][-1]][1].place, found[runs[-1][-1]][1].out) == (line.place, line.out):
+                    runs[-1].append(i)
+                else:
+                    runs.append([i])
+        return [Region(run, found, upper, ratio, looks[found[run[0]][1].place]) for run in runs]
+
+    every = regions_of(MAYBE)
+    regions = [r for r in every if not r.weak]
+    if not any(r.high or r.article for r in regions):  # names leave nothing, so the clusters decide
+        every = [r for r in regions_of(NAME) if r.high] or regions
+        regions = every
     if not regions:
         return []
     best = max(regions, key=lambda r: (r.high, r.size, -r.lines[0]))
     if best.article:
-        regions = [r for r in regions if r.article == best.article]
+        regions = [r for r in every if r.article == best.article and (not r.weak or not r.linked and 2 * r.high >= r.size)]
         alike = {r.look for r in regions if 4 * r.ratio >= least and not r.linked}
-        return [i for r in regions if r is best or not r.linked and (not r.box or r.headed or r.look in alike) for i in r.lines]
+        direct = 2 * sum(r.high for r in regions if r.direct) > sum(r.high for r in regions)
+        return [i for r in regions if r is best or not r.linked and (not r.box or r.headed or r.look in alike or direct and r.direct) for i in r.lines]
     alike = {r.look for r in regions if r is best or r.box and not r.linked and 2 * r.high >= r.size}
     chosen = [r is best or not r.linked and (2 * r.high >= r.size or r.box and r.look in alike) for r in regions]
     for k in range(len(regions) - 1, -1, -1):  # headings before content
