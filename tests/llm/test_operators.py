@@ -189,9 +189,9 @@ def plain_fingerprints(texts):
     inside = {w for w, c in frequency.items() if 0.2 <= np.log(n / c) / np.log(n) <= 0.95}
     number = {w: mix(int(textkit.Words(pa.array([w], pa.large_string())).hash[0]) >> 1) for w in frequency}
     for own in words:
-        kept = set(own) & inside
-        kept = {number[w] for w in (kept if len(kept) >= imatch.LEAST_TERMS else set(own))}
-        parts = []
+        least = sorted(set(own), key=lambda w: int(textkit.Words(pa.array([w], pa.large_string())).hash[0]) >> 1)[:4]
+        kept = {number[w] for w in set(own) & inside | set(least)}
+        parts = [f"{len(kept):08x}"]
         for k in range(1 + imatch.DENSE):
             h = [mix((t + 0xD1B54A32D192ED03 * (k + 1)) & M64) for t in kept]
             h = [x for x in h if not k or x % 4]
@@ -200,18 +200,22 @@ def plain_fingerprints(texts):
             h = [mix((t + 0x9E3779B97F4A7C15 * (level + 1)) & M64) for t in kept]
             for g in range(imatch.SUBSETS):
                 here = [mix(x) for x in h if x % groups == g]
-                parts.append(f"{mix(sum(here) & M64) >> 32 | 1:08x}" if here else "-" * 8)
+                parts.append(f"{mix(sum(here) & M64) >> 48 | 1:04x}" if here else "-" * 4)
         out.append(parts)
     return out
 
 
 def plain_likeness(a, b):
-    if a[0] == b[0]:
+    if a[1] == b[1]:
         return 1.0
-    at = 1 + imatch.DENSE
-    levels = [[(x, y) for x, y in zip(a[at + 32 * i : at + 32 * i + 32], b[at + 32 * i : at + 32 * i + 32], strict=True) if (x, y) != ("-" * 8,) * 2] for i in range(len(imatch.GROUPS))]
-    pairs = levels[max([0, *(i for i, p in enumerate(levels) if len(p) >= 8)])]
-    return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+    most, at = max(int(a[0], 16), int(b[0], 16)), 2 + imatch.DENSE
+    size = min(range(len(imatch.GROUPS)), key=lambda k: abs(np.log2(max(most, 1) / 2 / imatch.GROUPS[k])))
+    pairs = [p for p in zip(a[at + 32 * size : at + 32 * size + 32], b[at + 32 * size : at + 32 * size + 32], strict=True) if p != ("-" * 4,) * 2]
+    return (sum(x == y for x, y in pairs) / len(pairs)) ** (1 / max(1, most / imatch.GROUPS[size])) if pairs else 0.0
+
+
+def parts_of(fingerprint):
+    return [fingerprint[:8], *(fingerprint[8 + 16 * j : 24 + 16 * j] for j in range(1 + imatch.DENSE)), *(fingerprint[j : j + 4] for j in range(8 + 16 * (1 + imatch.DENSE), len(fingerprint), 4))]
 
 
 def test_imatch(spark):
@@ -227,10 +231,10 @@ def test_imatch(spark):
         r = found[i]
         assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest() and r.n_chars == len(text)
         assert r.fingerprint == "".join(prints[k]), i
-        assert r.near_next == plain_likeness(prints[k], prints[(k + 1) % len(prints)])
-        own = [r.edited_fingerprint[16 * j : 16 * j + 16] for j in range(8)] + [r.edited_fingerprint[j : j + 8] for j in range(128, len(r.edited_fingerprint), 8)]
-        assert r.near_edited == plain_likeness(prints[k], own)
-        assert r.match_edited == any(x == y != "-" * 16 for x, y in zip(prints[k][:8], own[:8], strict=True))
+        assert r.near_next == pytest.approx(plain_likeness(prints[k], prints[(k + 1) % len(prints)]), abs=1e-8)
+        own = parts_of(r.edited_fingerprint)
+        assert r.near_edited == pytest.approx(plain_likeness(prints[k], own), abs=1e-8)
+        assert r.match_edited == any(x == y != "-" * 16 for x, y in zip(prints[k][1:9], own[1:9], strict=True))
     assert found[9004].fingerprint == found[9005].fingerprint == found[10_001].fingerprint
     own = imatch.fingerprints(docs(spark, rows)).collect()
     assert all(found[r.doc_id].fingerprint == r.fingerprint for r in own)
@@ -238,6 +242,25 @@ def test_imatch(spark):
     assert np.mean([r.near_edited for r in near]) > 0.35 > 0.15 > np.mean([r.near_next for r in near])
 
 
+def test_imatch_likeness_estimates_shared_terms(spark):
+    """Texts of any size that share a known part of their terms."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, shared = [], {}
+    for i in range(0, 400, 2):
+        n, part = rng.choice([12, 40, 150, 600, 3000]), rng.choice([0.0, 0.5, 0.75, 0.95])
+        own = fresh(n)
+        keep = round(n * part)
+        rows += [(i, " ".join(own)), (i + 1, " ".join(own[:keep] + fresh(n - keep)))]
+        shared[i] = (n, part)
+    rows += [(10_000 + i, t) for i, t in rows]  # terms of one document alone are in no lexicon
+    found = {r.doc_id: r.near_next for r in imatch.with_edits(docs(spark, rows)).collect()}
+    for part in (0.0, 0.5, 0.75, 0.95):
+        for large in (False, True):
+            near = [found[i] for i, (n, p) in shared.items() if p == part and (n >= 150) == large]
+            assert abs(np.mean(near) - part / (2 - part)) < 0.12 + 0.05 * (not large), (part, large)  # of the terms of both
+
+
 def test_imatch_one_term_apart_shares_a_signature(spark):
     rng = random.Random(37)
     rows = [(i, prose(rng, 200, 3000)) for i in range(200)]

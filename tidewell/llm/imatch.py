@@ -3,25 +3,27 @@
 Terms are lower-cased words, as 63-bit hashes.  Those whose inverse document frequency, as a
 part of its largest value ``log(N)``, is in the band make up the lexicon: counted exactly over
 all documents, and stored as sorted hash arrays that tasks map into memory, so its size isn't
-limited.  A document's distinct terms in the lexicon are sorted and hashed
-
-- whole, and for ``DENSE`` randomised subsets of the lexicon, each of which leaves out a
-  quarter of it (signatures of I-Match: documents that share one are near duplicates unless
-  the terms that differ are many);
-- for randomised subsets that hold 1/32, 1/128, 1/512 or 1/2048 of the lexicon, ``SUBSETS`` at
-  each of these levels.  At the level where a subset holds about one term of a document, the
-  part of equal hashes tells which part of the terms two documents share.
-
-A fingerprint is a string of all hashes: 16 hex digits for each signature, 8 for each subset
-of a level (hyphens if the document has no term there).  The likeness of two fingerprints is 1
-if the hashes of the whole lexicon are equal, or else the part of subsets with equal hashes
-among those that either document fills, at the sparsest level where they fill enough of them.
-
-A document with fewer than ``LEAST_TERMS`` terms in the lexicon uses all its terms.  Defined
-results: null text counts as empty; a text without words has a fingerprint without hashes,
-of likeness 1 to another such and 0 to others; equal texts have equal fingerprints; a single
-document is its own next; null ids come last, equal ids in the order of their packed texts;
-an empty table gives an empty result; further columns are ignored.
+limited.  A document has its terms in the lexicon and, however frequent, the ``ALWAYS`` of its terms of
+least hash, so that texts of common words have some too.  Its distinct terms are sorted and
+hashed for several lexicons, as I-Match does:
+
+- the whole one, and ``DENSE`` randomised ones, each of which leaves out a quarter of it;
+- ``SUBSETS`` randomised ones that hold 1/8 of it, as many that hold 1/16, and so on to 1/2048
+  (of the first two sizes there are no more than 8 and 16).
+
+Documents that share a signature of a dense lexicon differ in few terms.  After an edit of a
+quarter of a text such a lexicon always holds a term that changed, so likeness is told by the
+lexicons that hold about two terms of the larger document: a signature of m terms is shared if all
+m are, so if p of those that either document fills are equal, the two share about ``p ** (1 / m)`` of their
+terms.  That is the likeness of two fingerprints; it is 1 if the whole signatures are equal.
+
+A fingerprint is a string of hex digits: 8 for the number of terms, 16 for each dense
+signature, 4 for each other one (hyphens if the document has no term there).
+
+Defined results: null text counts as empty; a text without words has a fingerprint without
+hashes, of likeness 1 to another such and 0 to others; equal texts have equal fingerprints; a
+single document is its own next; null ids come last, equal ids in the order of their packed
+texts; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ from tidewell.sources.shared import discard, written
 
 DENSE, LEFT_OUT = 7, 4
 SUBSETS = 32
-GROUPS = (32, 128, 512, 2048)
-LEAST_TERMS = 4
+GROUPS = tuple(1 << k for k in range(3, 12))
+ALWAYS = 4
 LAST = 2**63 - 1
 HEX = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
 #: Documents of one piece of the ordered table, and the most pieces.
@@ -92,17 +94,21 @@ def lexicon(docs: DataFrame, band: tuple[float, float]) -> HashArrays:
 
 
 def lexicon_terms(column: pa.Array, words_of: HashArrays) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, term) of a slice, of the lexicon, or all terms of rows that have too few there."""
-    words = tk.Words(column, lower=True)
-    known, back = np.unique((words.hash >> np.uint64(1)).astype(np.int64), return_inverse=True)
+    """Distinct (row, term) of a slice: those in the lexicon, and the ``ALWAYS`` of least hash."""
+    row, term = terms(tk.Words(column, lower=True))
+    known, back = np.unique(term, return_inverse=True)
     inside = ~np.isnan(words_of.find(0, known))[back] if len(known) else np.zeros(0, bool)
-    row, _ = terms(words, inside)
-    few = np.bincount(row, minlength=len(column)) < LEAST_TERMS
-    return terms(words, inside | few[words.row])
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = inside | (place < ALWAYS)
+    return row[kept], term[kept]
 
 
-def signatures(column: pa.Array, words_of: HashArrays) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row: rows x (1 + DENSE) hashes, and rows x levels x subsets; 0 where no term is."""
+#: Of rows: the numbers of terms, rows x (1 + DENSE) signatures, and rows x sizes x SUBSETS ones; 0 where no term is.
+Prints = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def signatures(column: pa.Array, words_of: HashArrays) -> Prints:
+    """The fingerprints of a slice."""
     n = len(column)
     row, term = lexicon_terms(column, words_of)
     count = np.bincount(row, minlength=n)
@@ -113,18 +119,17 @@ def signatures(column: pa.Array, words_of: HashArrays) -> tuple[np.ndarray, np.n
         own = h % np.uint64(LEFT_OUT) != 0 if k else np.ones(len(h), bool)
         total = tk.segment_sums(np.where(own, tk.mix(h), np.uint64(0)), count)
         dense[:, k] = np.where(np.bincount(row[own], minlength=n) > 0, tk.mix(total) | np.uint64(1), 0)
-    levels = np.zeros((n, len(GROUPS), SUBSETS), dtype=np.uint64)
-    for level, groups in enumerate(GROUPS):
-        h = tk.mix(term + np.uint64(0x9E3779B97F4A7C15 * (level + 1) & (2**64 - 1)))
-        group = (h % np.uint64(groups)).astype(np.int64)
-        own = group < SUBSETS
+    sparse = np.zeros((n, len(GROUPS), SUBSETS), dtype=np.uint64)
+    for size, groups in enumerate(GROUPS):
+        h = tk.mix(term + np.uint64(0x9E3779B97F4A7C15 * (size + 1) & (2**64 - 1)))
+        group = (h & np.uint64(groups - 1)).astype(np.int64)
+        own = np.flatnonzero(group < SUBSETS)
         place = row[own] * SUBSETS + group[own]
-        total = np.zeros(n * SUBSETS, dtype=np.uint64)
-        np.add.at(total, place, tk.mix(h[own]))
-        filled = np.zeros(n * SUBSETS, dtype=bool)
-        filled[place] = True
-        levels[:, level] = np.where(filled, (tk.mix(total) >> np.uint64(32)) | np.uint64(1), 0).reshape(n, SUBSETS)
-    return dense, levels
+        order = np.argsort(place, kind="stable")
+        place, first = np.unique(place[order], return_index=True)
+        total = np.add.reduceat(tk.mix(h[own][order]), first) if len(first) else np.zeros(0, np.uint64)
+        sparse[place // SUBSETS, size, place % SUBSETS] = (tk.mix(total) >> np.uint64(48)) | np.uint64(1)
+    return count, dense, sparse
 
 
 def _digits(hashes: np.ndarray, n_digits: int) -> np.ndarray:
@@ -134,21 +139,25 @@ def _digits(hashes: np.ndarray, n_digits: int) -> np.ndarray:
     return digits.reshape(len(hashes), hashes.shape[1] * n_digits)
 
 
-def as_strings(dense: np.ndarray, levels: np.ndarray) -> pa.Array:
+def as_strings(prints: Prints) -> pa.Array:
     """The fingerprints as strings."""
-    n = len(dense)
-    text = np.ascontiguousarray(np.concatenate([_digits(dense, 16), _digits(levels.reshape(n, len(GROUPS) * SUBSETS), 8)], axis=1))
+    count, dense, sparse = prints
+    n = len(count)
+    number = HEX[(count.astype(np.uint64)[:, None] >> np.arange(28, -1, -4, dtype=np.uint64) & np.uint64(15)).astype(np.uint8)]
+    text = np.ascontiguousarray(np.concatenate([number, _digits(dense, 16), _digits(sparse.reshape(n, len(GROUPS) * SUBSETS), 4)], axis=1))
     return pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * text.shape[1]), pa.py_buffer(text))
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def likeness(a: Prints, b: Prints) -> np.ndarray:
     """Likeness of fingerprints, row by row."""
-    (whole_a, a), (whole_b, b) = (a[0][:, 0], a[1]), (b[0][:, 0], b[1])
-    either = (a > 0) | (b > 0)
-    fill, equal = either.sum(axis=2), ((a == b) & either).sum(axis=2)
-    level = np.where(fill >= SUBSETS // 4, np.arange(len(GROUPS)), 0).max(axis=1)
-    at = np.arange(len(a))
-    return np.where(whole_a == whole_b, 1.0, np.where(fill[at, level] > 0, equal[at, level] / np.maximum(fill[at, level], 1), 0.0))
+    most = np.maximum(a[0], b[0])
+    size = np.clip(np.round(np.log2(np.maximum(most, 1) / 2)).astype(np.int64) - 3, 0, len(GROUPS) - 1)  # about two terms a subset
+    at = np.arange(len(most))
+    own, other = a[2][at, size], b[2][at, size]
+    either = (own > 0) | (other > 0)
+    equal = ((own == other) & either).sum(axis=1) / np.maximum(either.sum(axis=1), 1)
+    of = np.maximum(1.0, most / np.array(GROUPS)[size])  # terms of a signature
+    return np.where(a[1][:, 0] == b[1][:, 0], 1.0, np.round(equal ** (1 / of), 9))
 
 
 def edited(text: str, following: str) -> str:
@@ -164,7 +173,7 @@ def fingerprints(docs: DataFrame, *, band: tuple[float, float] = BAND) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in tk.slices(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), as_strings(*signatures(part, words_of))], names=["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), as_strings(signatures(part, words_of))], names=["doc_id", "fingerprint"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
@@ -226,7 +235,7 @@ def with_edits(docs: DataFrame, *, band: tuple[float, float] = BAND) -> DataFram
         held: list[tuple[int | None, str]] = []  # documents of a piece in order
         size, piece, following = 0, -1, None
 
-        def of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        def of(texts: list[str]) -> Prints:
             parts = [signatures(p, words_of) for _, p in tk.slices(pa.array(texts, pa.large_string()))]
             return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
@@ -236,14 +245,14 @@ def with_edits(docs: DataFrame, *, band: tuple[float, float] = BAND) -> DataFram
             others = [edited(t, n) for t, n in zip(texts, [*texts[1:], after], strict=True)]
             every = of([*texts, after])
             own, later, changed = tuple(x[:-1] for x in every), tuple(x[1:] for x in every), of(others)
-            shares = lambda a, b: pa.array(((a[0] == b[0]) & (a[0] > 0)).any(axis=1))
+            shares = lambda a, b: pa.array(((a[1] == b[1]) & (a[1] > 0)).any(axis=1))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([i for i, _ in held], pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in others], pa.string()),
-                    as_strings(*own),
-                    as_strings(*changed),
+                    as_strings(own),
+                    as_strings(changed),
                     pa.array(likeness(own, changed)),
                     pa.array(likeness(own, later)),
                     shares(own, changed),
