@@ -140,3 +140,12 @@ def test_without_labels_or_rows(spark):
     assert not any(r.toxic for r in toxicity.score(docs(spark, rows), model).collect())
     assert toxicity.score(docs(spark, []), model).collect() == []
     assert len(tk.distinct(*toxicity.occurrences(pa.array([""], pa.large_string())))[0]) == 0
+
+
+def test_repeated_ids_give_one_row_each(spark):
+    """However often a labelled id repeats, one text stands for it, the same in any order of rows."""
+    rows = [(i, f"word{i % 7} other{i % 3} text") for i in range(60)]
+    often = rows + [(5, f"copy{k} text") for k in range(500)]
+    labels = spark.createDataFrame([(i, i % 7 == 0) for i in range(60)], "doc_id long, bad boolean")
+    fits = [toxicity.train(docs(spark, order), labels, F.col("bad").cast("int"), grades=2) for order in (often, often[::-1])]
+    assert fits[0].features.tolist() == fits[1].features.tolist() and np.allclose(fits[0].weights, fits[1].weights) and np.allclose(fits[0].thresholds, fits[1].thresholds)

@@ -3,7 +3,9 @@
 Tasks sort the entries by hash and write one file for each kind and range of hashes: the
 hashes, then the values.  The driver sees the list of files only.  Python workers map files
 of a local or mounted folder into memory, so pages that aren't needed take none and a table
-may be larger than a worker; files of other stores are read through ``pyarrow.fs``.
+may be larger than a worker.  Files of the stores that ``pyarrow.fs`` knows (``hdfs``, ``s3`` and
+``s3a``, ``gs``, ``abfs`` and ``abfss``) are read as a whole, and a worker holds the ``HELD_BYTES`` of them that it
+used last; ``dbfs:/`` is taken as the folder ``/dbfs``.  Other stores raise an error that says so.
 
 A task that runs again writes a file of another name; the list names those of the attempt
 that Spark accepted.
@@ -11,7 +13,9 @@ that Spark accepted.
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +29,26 @@ from tidewell.sources.shared import new_path
 
 #: Entries of one file, about.
 FILE_ENTRIES = 1 << 18
-_OPENED: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of files that can't be mapped, and the number of mapped ones, that a worker keeps.
+HELD_BYTES, HELD_FILES = 256 << 20, 4096
+_OPENED: OrderedDict[str, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the name there."""
+    known = re.sub(r"^s3[an]://", "s3://", re.sub(r"^dbfs:/+", "/dbfs/", path))
+    try:
+        return fs.FileSystem.from_uri(known)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as wrong:
+        raise RuntimeError(f"sorted hash arrays can't be kept at {path}: spark.checkpoint.dir must be a mounted folder or in a store that pyarrow.fs reads") from wrong
+
+
+def release(opened: OrderedDict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+    """Lets go of what was used least lately."""
+    read = sum(k.nbytes + v.nbytes for k, v in opened.values() if not isinstance(k, np.memmap))
+    while len(opened) > 1 and (read > HELD_BYTES or len(opened) > HELD_FILES):
+        keys, values = opened.popitem(last=False)[1]
+        read -= 0 if isinstance(keys, np.memmap) else keys.nbytes + values.nbytes
 
 
 @dataclass(frozen=True)
@@ -58,15 +81,15 @@ class HashArrays:
 
     def _opened(self, path: str, n: int) -> tuple[np.ndarray, np.ndarray]:
         if path not in _OPENED:
-            if not any(p.startswith(self.folder) for p in _OPENED):
-                _OPENED.clear()  # those of an older table
-            store, name = fs.FileSystem.from_uri(path)
+            store, name = store_of(path)
             if isinstance(store, fs.LocalFileSystem):
                 _OPENED[path] = np.memmap(name, np.int64, "r", 0, n), np.memmap(name, np.float32, "r", 8 * n, n)
             else:
                 with store.open_input_file(name) as file:
                     data = file.read()
                 _OPENED[path] = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.float32, n, 8 * n)
+            release(_OPENED)
+        _OPENED.move_to_end(path)
         return _OPENED[path]
 
 
@@ -89,7 +112,7 @@ def write_arrays(entries: DataFrame, name: str) -> HashArrays:
             fresh = np.append(True, keys[1:] != keys[:-1])
             keys, values = keys[fresh], values[fresh].astype(np.float32)
             path = f"{folder}/{own[0]}-{own[1]}-{uuid.uuid4().hex}"
-            store, place = fs.FileSystem.from_uri(path)
+            store, place = store_of(path)
             store.create_dir(place.rsplit("/", 1)[0], recursive=True)
             with store.open_output_stream(place) as file:
                 file.write(keys.tobytes())

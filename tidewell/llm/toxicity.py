@@ -119,7 +119,11 @@ def fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, *, grades: int,
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: Column, *, grades: int, sample_docs: int = 8000, seed: int = 5, penalty: float = 1e-4, most_features: int = 4096) -> OrdinalModel:
-    """Fits the model to ``grade``, an expression over the columns of ``labels``."""
+    """Fits the model to ``grade``, an expression over the columns of ``labels``.
+
+    Of documents of one id, the text of least hash stands for it; an id with several labels
+    counts with each.
+    """
     sample = labels.select("doc_id", grade.cast("int").alias("grade")).filter("doc_id is not null and grade is not null").orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id", "grade").limit(sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, *, grades: int, sam
                 ends = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("grade").slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int64)))], names=["grade", "features"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(run, "grade int, features array<long>").toArrow().combine_chunks()
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi")
+    one = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))  # so at most ``sample_docs`` rows come to the driver
+    found = one.join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(run, "grade int, features array<long>").toArrow().combine_chunks()
     lists = found["features"].combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
     row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
