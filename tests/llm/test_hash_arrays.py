@@ -31,13 +31,3 @@ def test_least_used_are_released(monkeypatch, tmp_path):
         opened[str(k)] = np.memmap(f"{tmp_path}/{k}", np.int64, "r", 0, 10), np.zeros(0, np.float32)
         hash_arrays.release(opened)
     assert list(opened) == ["3", "4", "5", "6", "7"]
-
-
-def test_arrays_find_what_was_written(spark):
-    rows = [(k, int(h), float(h % 97)) for k in (0, 1) for h in np.random.default_rng(k).integers(0, 2**63 - 1, 3000)]
-    arrays = hash_arrays.write_arrays(spark.createDataFrame([*rows, rows[0]], "kind int, hash long, value float").repartition(3), "test")
-    for kind in (0, 1):
-        own = np.array([h for k, h, _ in rows if k == kind])
-        assert arrays.find_any(kind, own).tolist() == [v for k, _, v in rows if k == kind]
-        assert np.isnan(arrays.find_any(kind, own ^ 1)).all() and np.isnan(arrays.find_any(2, own)).all()
-    assert hash_arrays.write_arrays(spark.createDataFrame([], "kind int, hash long, value float"), "none").find_any(0, np.array([5])).tolist() != [0.0]

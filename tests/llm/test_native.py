@@ -68,6 +68,19 @@ def test_mix_many_shards_and_copies(spark):
     assert mixed.count() == found_copies(spark, frame)
 
 
+def test_mix_many_rows_without_ids_and_long_texts(spark):
+    """Null ids of equal sizes, and a text that is larger than many shards; further columns of any name."""
+    rows = [(None, "same three words", "a")] * 400 + [(None, "other words", "b")] * 50 + [(1, "w " * 60_000, "a"), (2, "w " * 30_000, None)]
+    found = mixing.mix_sources(docs(spark, rows), shard_tokens=2000).collect()
+    assert len(found) == len(rows) and all(0 <= r.taken <= 2 * r["size"] for r in found)
+    taken, target = Counter(), {}
+    for r in found:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 100 for s in target)
+    assert sorted(map(str, mixing.mix_sources(docs(spark, rows[::-1]), shard_tokens=2000).collect())) == sorted(map(str, found))
+
+
 def found_copies(spark, frame):
     return mixing.mix_sources(frame).agg(F.sum("copies")).first()[0]
 
@@ -128,6 +141,14 @@ def test_licences(spark):
     assert license_scan.scan(docs(spark, [])).collect() == []
 
 
+def test_licences_that_tie(spark):
+    """A unit that two templates match equally well gives a row for each; repeated rows give none more."""
+    templates = {"one": "permission is granted to use the software freely by anyone", "two": "permission is granted to use the software freely by everyone", "same": "permission is granted to use the software freely by anyone"}
+    rows = [(1, "Permission is granted to use the software freely by people", "a")] * 2 + [(None, templates["one"], "a")]
+    found = sorted(((r.doc_id or 0), r.license, r.dice) for r in license_scan.scan(docs(spark, rows), templates=templates).collect())
+    assert found == [(0, "one", 1.0), (0, "same", 1.0), (0, "two", 0.888889), (1, "one", 0.888889), (1, "same", 0.888889), (1, "two", 0.888889)]
+
+
 def test_licence_pruning_loses_nothing():
     for text in license_scan.TEMPLATES.values():
         grams = license_scan.template_bigrams(text)

@@ -92,6 +92,30 @@ def test_stages_by_brute_force(spark, tmp_path):
     assert not re.search("hunter2|AKIA", " ".join(r.text for r in out))
 
 
+def test_stages_without_a_write_between_and_two_pipelines(spark, tmp_path):
+    """Results of stages are lazy; no stage deletes what an earlier one's result reads, or another pipeline's."""
+    rows = rows_of_all_kinds()
+    folder = f"file://{tmp_path}"
+    frame = spark.createDataFrame(rows, DOCS).repartition(3)
+    stages = [apply for _, apply in corpus_pipeline.STAGES[:4]]
+    first = second = frame
+    for apply in stages:
+        first = apply(spark, first, folder)
+        second = apply(spark, second, folder)
+    expected = plain_mixed(plain_redacted(one_each(plain_good(rows))))
+    wanted = sorted(map(str, spark.createDataFrame(expected, DOCS).collect()))
+    assert sorted(map(str, first.collect())) == sorted(map(str, second.collect())) == wanted
+
+
+def test_columns_of_the_last_stage_replace_others(spark, tmp_path):
+    rows = [(i, prose(random.Random(i), 60), "en", "s", 9, "x", 7, "y", "more") for i in range(40)]
+    spark.createDataFrame(rows, DOCS + ", ids string, n_ids int, round_trip string, extra string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra", "ids", "n_ids", "round_trip"]
+    found = out.collect()
+    assert found and all(r.extra == "more" and r.round_trip and r.n_ids == len(r.ids) for r in found)
+
+
 def test_empty_table_and_odd_rows(spark, tmp_path):
     for name, rows in (("none", []), ("odd", [(None, None, None, None, None), (1, "", "en", "a", 0), (1, " \n", None, None, 2)])):
         spark.createDataFrame(rows, DOCS).write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
