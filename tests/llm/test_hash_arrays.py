@@ -31,3 +31,18 @@ def test_least_used_are_released(monkeypatch, tmp_path):
         opened[str(k)] = np.memmap(f"{tmp_path}/{k}", np.int64, "r", 0, 10), np.zeros(0, np.float32)
         hash_arrays.release(opened)
     assert list(opened) == ["3", "4", "5", "6", "7"]
+
+
+def test_bit_fields_fit_their_keys(spark):
+    """A field of few keys is small, one of many is larger, and none says no of a key that is in the table."""
+    from pyspark.sql import functions as F
+
+    from tidewell.llm import bitfield
+
+    for n, size in ((0, 1 << 15), (1000, 1 << 15), (200_000, 1 << 17)):
+        keys = spark.range(n).select(F.xxhash64("id").alias("key"))
+        field = bitfield.fitting(bitfield.packed_bits(keys, F.pmod("key", F.lit(1 << bitfield.BITS)), bitfield.BITS))
+        assert len(field) == size
+    rows = spark.range(60_000).select("id", F.xxhash64("id").alias("key"))
+    found = bitfield.maybe_in(rows, "key", rows.filter("id % 60 = 0").select("key"))
+    assert found.filter("id % 60 = 0 and not maybe").isEmpty() and found.filter("maybe").count() < 1000 + 300

@@ -1,7 +1,8 @@
-"""A bit field of fixed size that says of a key whether it may be in a table of keys.
+"""A bit field that says of a key whether it may be in a table of keys.
 
 It keeps most rows that have no partner out of a join whose other side is a large text; the
-join decides.  Its size doesn't depend on the data (2 MB), and it is made by a grouped sum.
+join decides.  It is made by a grouped sum, and has 16 bits or more for each key that is set, between 128 KB
+and 16 MB; beyond eight million keys it lets more rows through, up to all.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BITS = 24
+#: Of the smallest and the largest field.
+LEAST_BITS, BITS = 20, 27
 
 
 def packed_bits(entries: DataFrame, entry: Column, bits: int) -> np.ndarray:
@@ -32,19 +34,27 @@ def packed_bits(entries: DataFrame, entry: Column, bits: int) -> np.ndarray:
     return field
 
 
+def fitting(field: np.ndarray) -> np.ndarray:
+    """The field folded to the least size that has 16 bits for each that is set; slots count modulo its bits."""
+    wanted = max(1 << LEAST_BITS, 16 * int(np.bitwise_count(field).sum()))
+    size = min(len(field), 1 << ((wanted - 1).bit_length() - 5))
+    return np.bitwise_or.reduce(field.reshape(-1, size), axis=0)
+
+
 def tested(field: np.ndarray, entry: np.ndarray) -> np.ndarray:
     """Whether the bit of each entry is set."""
+    entry = entry & (32 * len(field) - 1)
     return (field[entry >> 5] >> (entry & 31).astype(np.uint32)) & np.uint32(1) == 1
 
 
 def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Adds ``maybe``: false for rows of ``df`` whose ``key`` (long, not null) is surely not in the last column of ``keys``."""
-    field = df.sparkSession.sparkContext.broadcast(packed_bits(keys, F.pmod(F.col(keys.columns[-1]), F.lit(1 << BITS)), BITS))
+    field = df.sparkSession.sparkContext.broadcast(fitting(packed_bits(keys, F.pmod(F.col(keys.columns[-1]), F.lit(1 << BITS)), BITS)))
     place = df.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = tested(field.value, batch.column(place).to_numpy() & ((1 << BITS) - 1))
+            found = tested(field.value, batch.column(place).to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "maybe"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("maybe", T.BooleanType())]))
@@ -53,7 +63,7 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 def packed_texts(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """(key, blob): a compressed text for each of ``keys``, of the rows of ``docs`` (key, text)."""
     slot = F.pmod(F.xxhash64(key), F.lit(1 << BITS))
-    field = docs.sparkSession.sparkContext.broadcast(packed_bits(keys, slot, BITS))
+    field = docs.sparkSession.sparkContext.broadcast(fitting(packed_bits(keys, slot, BITS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

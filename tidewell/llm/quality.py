@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from tidewell.llm import textkit as tk
 from tidewell.llm.bitfield import BITS as FIELD_BITS
-from tidewell.llm.bitfield import packed_bits, tested
+from tidewell.llm.bitfield import fitting, packed_bits, tested
 from tidewell.llm.hash_arrays import HashArrays, write_arrays
 from tidewell.llm.store import Carried, small
 from tidewell.sources.shared import alone, discard, remove, tracked, written
@@ -162,7 +162,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select(lang_name().alias("lang"), "text").withColumn("key", F.xxhash64("lang", "text"))
     again = written(keyed.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("lang", "key"), "again")
-    field = docs.sparkSession.sparkContext.broadcast(packed_bits(again, F.pmod("key", F.lit(1 << FIELD_BITS)), FIELD_BITS))  # 2 MB
+    field = docs.sparkSession.sparkContext.broadcast(fitting(packed_bits(again, F.pmod("key", F.lit(1 << FIELD_BITS)), FIELD_BITS)))
 
     def counted(texts: Iterator[tuple[str, pa.Array]]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -185,7 +185,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def texts() -> Iterator[tuple[str, pa.Array]]:
             for batch in batches:
-                alone = ~tested(field.value, batch.column("key").to_numpy() & ((1 << FIELD_BITS) - 1))
+                alone = ~tested(field.value, batch.column("key").to_numpy())
                 for lang, _, part in _by_lang(batch.filter(pa.array(alone))):
                     yield lang, part
 
@@ -221,7 +221,7 @@ def _passed(field: Broadcast):
         met: set[int] = set()
         for batch in batches:
             keys = batch.column("key").to_pylist()
-            rows = [r for r in np.flatnonzero(tested(field.value, batch.column("key").to_numpy() & ((1 << FIELD_BITS) - 1))).tolist() if not (keys[r] in met or met.add(keys[r]))]
+            rows = [r for r in np.flatnonzero(tested(field.value, batch.column("key").to_numpy())).tolist() if not (keys[r] in met or met.add(keys[r]))]
             for at in range(0, len(rows), 512):
                 own = pa.array(rows[at : at + 512])
                 blobs = [packer.compress((t or "").encode()) for t in batch.column("text").take(own).to_pylist()]
@@ -396,7 +396,7 @@ def _banded(found: DataFrame, by: DataFrame, reach: float, floor: float) -> Data
 
 def assess(docs: DataFrame, *, reach: float = 3.5, floor: float = 0.2) -> DataFrame:
     """Per document: the metrics, ``base_failed``, ``kept``, its perplexity and band."""
-    found = written(scored(docs, model_of(docs), ["doc_id"]), "scores")
+    found = alone(lambda: scored(docs, model_of(docs), ["doc_id"]), "scores")
     return _banded(found, bands(found), reach, floor).select("doc_id", *METRICS, "base_failed", "kept", F.exp("score").alias("perplexity"), F.exp("lower").alias("band_lower"), F.exp("upper").alias("band_upper"))
 
 
