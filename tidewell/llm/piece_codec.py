@@ -71,7 +71,7 @@ class PieceCodec:
                 node = level.setdefault(character, [{}, 0.0, -1])
                 level = node[0]
             node[1:] = price, i
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of marked text, as they are committed."""
@@ -142,11 +142,11 @@ class PieceCodec:
         ids.reverse()
         return ids
 
-    def _stretch_ids(self, stretch: str) -> tuple[int, ...]:
-        """What ``stream`` gives for a stretch, from the memo if it was met before."""
+    def _stretch_ids(self, stretch: str) -> bytes:
+        """What ``stream`` gives for a stretch, as 32-bit integers, from the memo if it was met before."""
         ids = self.memo.get(stretch)
         if ids is None:
-            ids = tuple(i for part in self.stream(stretch) for i in part)
+            ids = array("i", (i for part in self.stream(stretch) for i in part)).tobytes()
             if len(stretch) <= CACHED:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
@@ -162,7 +162,7 @@ class PieceCodec:
             if not k and text:
                 marked = MARK + marked
             for stretch in self.stretch.findall(marked):
-                out.extend(self._stretch_ids(stretch))
+                out.frombytes(self._stretch_ids(stretch))
 
     def encode(self, text: str) -> list[int]:
         out = array("i")

@@ -47,7 +47,7 @@ ORDER, BITS = 5, 12
 CLASSES = 1 << BITS
 PLAIN = 3072
 #: Distinct n-grams that a counting task holds before it passes them on.
-HELD = 3 << 20
+HELD = 3 << 19
 #: Distinct scores that all languages together lend to each language's deviation.
 FEW = 50
 #: Languages up to which their few numbers each are broadcast (counted first).
