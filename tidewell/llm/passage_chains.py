@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import textkit as tk
 from tidewell.llm.bitfield import packed_texts
+from tidewell.llm.store import small
 from tidewell.operators.salted import salted_join
 from tidewell.sources.shared import discard, remove, tracked, written
 
@@ -295,7 +296,6 @@ def repeated_passages(docs: DataFrame, *, k: int = 8, window: int = 12, gap_cost
     shared = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first.doc_id <> last").drop("last")
     shared = written(shared, "shared")
     places = written(salted_join(seeds, shared.drop("n"), "seed", counts=shared), "places")
-    discard(shared)
     anchors = places.filter("doc_id <> first.doc_id").select("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "place", F.col("first.place").alias("first_place"))
 
     def passages(anchors: DataFrame) -> DataFrame:
@@ -313,9 +313,9 @@ def repeated_passages(docs: DataFrame, *, k: int = 8, window: int = 12, gap_cost
     marked = written(_marked(places, found, k), "marked")
     discard(places)
     with tracked() as made:
-        anchors = _nearest(marked, "seed").unionByName(_stretched(marked, stretch, k))
+        anchors = _nearest(marked, "seed", shared).unionByName(_stretched(marked, stretch, k))
     more = passages(anchors)
-    discard(marked)
+    discard(marked, shared)
     remove(docs.sparkSession, *made)
     return found.unionByName(more)
 
@@ -332,24 +332,22 @@ def _stretched(marked: DataFrame, stretch: int, k: int) -> DataFrame:
 
     Each gives anchors all along the stretch, as its words are equal.
     """
-    named = marked.filter("stretch is not null")
-    named = named.join(named.filter("open").select("stretch").distinct(), "stretch", "left_semi")
-    named = written(named, "stretches")
-    first = named.groupBy("stretch").agg(F.min(F.struct(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("place").alias("first_place"))).alias("near"), F.count(F.lit(1)).alias("n"))
-    first = written(first.filter("n > 1"), "first-stretches")
-    firsts = salted_join(named.filter("open").select("stretch", "doc_id", "text_hash", "place"), first.drop("n"), "stretch", counts=first).filter("near.first_id <> doc_id")
-    found = firsts.select("doc_id", "text_hash", "place", "near.*").unionByName(_nearest(named, "stretch"))
+    here = F.struct(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("place").alias("first_place"))
+    repeated = marked.filter("stretch is not null").groupBy("stretch").agg(F.min(here).alias("near"), F.max("doc_id").alias("last"), F.max("open").alias("any_open"), F.count(F.lit(1)).alias("n"))
+    repeated = written(repeated.filter("any_open and near.first_id <> last").select("stretch", "near", "n"), "repeated-stretches")
+    named = written(salted_join(marked, small(repeated.drop("n")), "stretch", counts=repeated).select("stretch", "doc_id", "text_hash", "place", "first", "open", "near"), "stretches")
+    found = named.filter("open and near.first_id <> doc_id").select("doc_id", "text_hash", "place", "near.*").unionByName(_nearest(named.drop("near"), "stretch", repeated))
     along = F.explode(F.sequence(F.lit(0), F.lit(stretch - k), F.lit(k)))
     return found.select("*", along.alias("on")).select("doc_id", "text_hash", (F.col("place") + F.col("on")).alias("place"), "first_id", "first_hash", (F.col("first_place") + F.col("on")).alias("first_place"))
 
 
-def _nearest(marked: DataFrame, key: str) -> DataFrame:
+def _nearest(marked: DataFrame, key: str, counts: DataFrame) -> DataFrame:
     """Anchors of the open places to the nearest earlier document with the same ``key``.
 
     A key's places are sorted within blocks of ids, as it may be in very many documents;
     the last place before a block is carried into it, one row for each key and block.
     """
-    places = salted_join(marked, marked.filter("open").select(key).distinct(), key)
+    places = salted_join(marked, marked.filter("open").select(key).distinct(), key, counts=counts)
     ends = marked.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     low, width = ends["low"] or 0, max(1, ((ends["high"] or 0) - (ends["low"] or 0)) // BLOCKS + 1)
     block = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("int")
