@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what is written meanwhile: rows that hold whole texts need much memory."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
 
 def small(table: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """``table``, to be broadcast if it has at most ``most_rows`` rows (counted), else to be joined as Spark chooses."""
