@@ -160,6 +160,44 @@ def test_jaccard_many_frequent_tokens_and_equal_ids(spark, monkeypatch):
     assert sorted(found) == sorted([*expected.items(), (500, 500), (500, 500), (501, 500)])
 
 
+def expected_links(rows, k, percent):
+    """How many other rows each row links to, by all pairs."""
+    words = [WORD.findall((t or "").translate(LOWER)) for _, t, *_ in rows]
+    sets = [{tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()} for w in words]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+    return {r[0]: sum(linked(a, b) for j, b in enumerate(sets) if i != j) for i, (r, a) in enumerate(zip(rows, sets, strict=True))}
+
+
+@pytest.mark.parametrize(("block", "percent"), [(128, 85), (8, 85), (8, 70)])
+def test_jaccard_counts_every_link(spark, monkeypatch, block, percent):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+    monkeypatch.setattr(ngram_jaccard, "COLUMNS", 64)
+    rng = random.Random(61)
+    rows = []
+    for base in range(5):  # groups of near copies, some of which link to each other but not to their centre
+        text = prose(rng, rng.choice([60, 150, 300])).split()
+        for _ in range(36):
+            edited = list(text)
+            for _ in range(rng.randint(0, len(edited) // rng.choice([15, 30, 200]))):
+                edited[rng.randrange(len(edited))] = f"e{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(edited)))
+            if rng.random() < 0.2:
+                text = edited
+    rows += [(1000 + i, rows[40 + i % 3][1].upper()) for i in range(9)] + [(2000, "one two"), (2001, "one  two"), (2002, ""), (2003, None), (2004, "alone")]
+    expected, sizes = expected_components(rows, 4, percent)
+    links = expected_links(rows, 4, percent)
+    found = ngram_jaccard.similar(docs(spark, rows), k=4, percent=percent).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles, r.n_links) for r in found} == {i: (c, sizes[i], links[i]) for i, c in expected.items()}
+    assert sum(links.values()) > 4 * len(rows)
+
+
+def test_jaccard_low_threshold(spark):
+    texts = [" ".join(f"t{i}x{j}" for j in range(40)) + " same words here now" for i in range(6)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = ngram_jaccard.similar(docs(spark, rows), k=4, percent=1).collect()
+    assert {r.doc_id: (r.component_id, r.n_links) for r in found} == {i: (0, 5) for i in range(6)}
+
+
 def test_jaccard_empty_and_null_ids(spark):
     assert ngram_jaccard.similar(docs(spark, []), k=4, percent=85).collect() == []
     found = ngram_jaccard.similar(docs(spark, [(None, "a b c d e"), (4, "a b c d e"), (None, "q r s t u")]), k=4, percent=85).collect()

@@ -17,9 +17,15 @@
    the distance to the centre allows a member within reach (Jaccard distance is a metric).
    Only qualifying groups are opened, and of them only members that these bounds allow.
 5. Opened pairs are compared by their full sets; links of both steps give the components.
+6. Where links are counted, "another component" in 4 reads "another group", so that every link
+   between groups is made.  Within a group, members are dealt into blocks, and a task counts the
+   links between two blocks by a matrix product; of a large group, blocks hold members of like
+   distance to the centre, and blocks so near it that all their pairs link, or so far apart that
+   none does, are not compared.
 
-All comparisons that decide use full sets and integers.  Pairs within a component that is
-known already are never made, so a group of n near copies costs n comparisons, not n * n.
+All comparisons that decide use full sets and integers.  For the components alone, pairs within
+a component that is known already are never made, so a group of n near copies costs n
+comparisons, not n * n.
 
 Defined results: texts without words (or null) have an empty set and link with nothing; with
 fewer than k words the whole sequence is the one shingle; repeated rows and equal ids are one
@@ -52,16 +58,20 @@ LAST = 2**63 - 1
 MOST_FREQUENT = 1 << 20
 #: Distance to a centre up to which a class joins its group, whether it links or not.
 NEAR = 0.4
+#: Members of a block of a group, and tokens of a block pair that are multiplied at a time.
+BLOCK, COLUMNS = 128, 4096
 
 
-def need(n: Column | np.ndarray) -> Column | np.ndarray:
-    """Tokens that two similar sets share in their prefixes, the smaller set having n."""
-    return 1 + n // 40 if isinstance(n, np.ndarray) else 1 + F.floor(n / 40)
+def need(n: Column | np.ndarray, percent: int) -> Column | np.ndarray:
+    """Tokens that two similar sets share in their prefixes, the smaller set having n; never more than they share at all."""
+    if isinstance(n, np.ndarray):
+        return np.minimum(1 + n // 40, (percent * n + 99) // 100)
+    return F.least(1 + F.floor(n / 40), F.floor((percent * n + 99) / 100))
 
 
 def width(n: np.ndarray, percent: int) -> np.ndarray:
     """Length of the prefix of a set of n tokens."""
-    return np.minimum(n, n - (percent * n + 99) // 100 + need(n))
+    return np.minimum(n, n - (percent * n + 99) // 100 + need(n, percent))
 
 
 def shingle_sets(part: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,16 +200,73 @@ def _compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return pairs.select("u", "v").join(of("u"), "u").join(of("v"), "v").mapInArrow(run, "u long, v long, shared long, together long")
 
 
-def similar(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, and how many classes its own links to.
+def _block_links(members: DataFrame, texts: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Links between members of one group: (class, rep, links) of each block pair a class is in,
+    and (class, links) of those that need no comparison.
+
+    ``members`` has class, group, distance, copies.  ``links`` counts the copies of linked classes;
+    ``rep`` is a class that links within the block pair reach.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        plain = pa.array([unpack(b.as_py()).decode() for b in table["blob"]], pa.large_string())
+        side, copies, names = (table[c].to_numpy() for c in ("side", "copies", "class"))
+        rows, tokens, sizes = zip(*((row + at, token, size) for at, part in tk.slices(plain) for row, token, size in [shingle_sets(part, k)]), strict=True)
+        row, size = np.concatenate(rows), np.concatenate(sizes)
+        _, column = np.unique(np.concatenate(tokens), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        shared = np.zeros((len(size), len(size)))
+        for low in range(0, int(column[-1]) + 1, COLUMNS):
+            a, b = np.searchsorted(column, (low, low + COLUMNS))
+            held = np.zeros((len(size), min(COLUMNS, int(column[-1]) + 1 - low)), dtype=np.float32)
+            held[row[a:b], column[a:b] - low] = 1
+            shared += held @ held.T
+        link = 100 * shared >= percent * (size[:, None] + size - shared)
+        link &= side[:, None] != side if side.any() else ~np.eye(len(size), dtype=bool)
+        label = np.arange(len(size))
+        while (least := np.minimum(label, np.where(link, label, len(size)).min(axis=1))).tolist() != label.tolist():
+            label = least
+        return pa.table({"class": names, "rep": names[label], "links": link @ copies})
+
+    # all members of a small group are one block; those of a large one are dealt by distance to the centre
+    whole = members.groupBy("group").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    placed = members.join(whole, "group").withColumn("large", F.col("members") > BLOCK).withColumn("step", F.when(F.col("large"), F.floor(100 * F.col("distance")).cast("int")).otherwise(0))
+    steps = placed.groupBy("group", "large", "step").agg(F.count(F.lit(1)).alias("times"), F.sum("copies").alias("mass"))
+    steps = written(steps.withColumn("salts", F.ceil(F.col("times") / BLOCK).cast("int")), "steps")
+    placed = written(placed.join(steps.select("group", "step", "salts"), ["group", "step"]).withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).select("class", "group", "large", "step", "salt", "copies"), "dealt")
+    most = 100 - percent
+    # d < (step + 1) / 100, so a pair's distance is at most the sum of both and at least their difference
+    surely = F.col("large") & (F.col("step") + F.col("other") + 2 <= most)
+    never = F.col("large") & (F.abs(F.col("step") - F.col("other")) - 1 > most)
+    both = steps.join(steps.select("group", F.col("step").alias("other"), F.col("salts").alias("other_salts"), F.col("mass").alias("other_mass")), "group")
+    masses = both.filter(surely).groupBy("group", "step").agg(F.sum("other_mass").alias("mass"))
+    own = F.when(2 * F.col("step") + 2 <= most, F.col("copies")).otherwise(0)
+    certain = placed.filter("large").join(masses, ["group", "step"]).select("class", (F.col("mass") - own).alias("links"))
+    compared = both.filter(~surely & ~never & (F.col("step") <= F.col("other"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("other_salt", F.explode(F.sequence(F.lit(0), F.col("other_salts") - 1)))
+    compared = compared.filter((F.col("step") < F.col("other")) | (F.col("salt") <= F.col("other_salt"))).select("group", "step", "salt", "other", "other_salt")
+    place = ["group", "step", "salt", "other", "other_salt"]
+    left = placed.join(compared, ["group", "step", "salt"]).select(*place, F.lit(0).alias("side"), "class", "copies")
+    right = placed.withColumnsRenamed({"step": "other", "salt": "other_salt"}).join(compared.filter("step <> other or salt <> other_salt"), ["group", "other", "other_salt"])
+    dealt = left.unionByName(right.select(*place, F.lit(1).alias("side"), "class", "copies")).join(texts, "class")
+    return written(dealt.groupBy(*place).applyInArrow(run, "class long, rep long, links long"), "block-links"), certain
+
+
+def similar(docs: DataFrame, *, k: int, percent: int, count_links: bool = True) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, and to how many other documents it links.
 
     Two documents link if 100 * intersection >= percent * union of their sets; component_id is
-    the least doc_id that links reach.  ``n_links`` counts the links that were needed and made;
-    ``least_id`` and ``least_key`` say which document, by id and text hash, stands for the component.
+    the least doc_id that links reach.  ``n_links`` counts every other row that links, copies
+    included; without ``count_links`` it is left out, and links that no component needs are not
+    made.  ``least_id`` and ``least_key`` say which document, by id and text hash, stands for the
+    component.
     """
     rows = written(_set_rows(docs, k, percent), "sets")
     full = rows.filter("n > 0")
-    classes = written(full.groupBy("class").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc_id"), F.col("key").alias("key"))).alias("m"), F.first("n").alias("n")).select("class", "n", F.col("m.doc_id").alias("first_id"), F.col("m.key").alias("key")), "classes")
+    classes = written(full.groupBy("class").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc_id"), F.col("key").alias("key"))).alias("m"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")).select("class", "n", "copies", F.col("m.doc_id").alias("first_id"), F.col("m.key").alias("key")), "classes")
 
     # tokens of two classes or more; a class has one prefix, though several tasks may have met it
     prefixes = full.filter(F.size("prefix") > 0).select("class", "n", "prefix", "end")
@@ -243,59 +310,76 @@ def similar(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
         .join(parts.withColumnRenamed("node", "class"), "class", "left")
         .select("class", "n", "own", "end", F.coalesce("g.group", "class").alias("group"), F.coalesce("g.distance", F.lit(0.0)).alias("distance"), F.coalesce("component", "class").alias("component"))
     )
-    grouped = written(grouped, "groups")
+    # what two classes must differ in to be opened: pairs within it are linked already, or counted by blocks
+    grouped = written(grouped.withColumn("part", F.col("group" if count_links else "component")), "groups")
     groups = grouped.groupBy("group").agg(F.max("distance").alias("radius"))
 
-    # the token-group matrix, where a token is in more than one component
-    placed = matrix.select("token", "class").join(grouped.select("class", "group", "component", "n", "own", "end"), "class")
-    open_tokens = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token")
+    # the token-group matrix, where a token is in more than one part
+    placed = matrix.select("token", "class").join(grouped.select("class", "group", "part", "n", "own", "end"), "class")
+    open_tokens = placed.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("token")
     placed = written(placed.join(open_tokens, "token", "left_semi"), "placed")
-    union_ = placed.groupBy("token", F.col("group").alias("near")).agg(F.min("component").alias("first_component"), F.min("n").alias("least_n"), F.max("n").alias("most"), F.min("end").alias("least_end"))
+    union_ = placed.groupBy("token", F.col("group").alias("near")).agg(F.min("part").alias("first_part"), F.min("n").alias("least_n"), F.max("n").alias("most"), F.min("end").alias("least_end"))
     reach = (100 - percent) / 100 + 1e-9
     group_most = F.least(n - F.when(end <= F.col("least_end"), own).otherwise(0), F.col("most"))
     qualifying = (
         placed.drop("group")
         .join(union_, "token")
-        .filter((F.col("component") > F.col("first_component")) & (100 * group_most >= percent * (n + F.col("least_n") - group_most)))
-        .groupBy("class", "n", "own", "end", "component", F.col("near").alias("group"))
+        .filter((F.col("part") > F.col("first_part")) & (100 * group_most >= percent * (n + F.col("least_n") - group_most)))
+        .groupBy("class", "n", "own", "end", "part", F.col("near").alias("group"))
         .agg(F.count(F.lit(1)).alias("overlap"), F.min("least_n").alias("least_n"))
-        .filter(F.col("overlap") >= F.least(need(n), need(F.col("least_n"))))
+        .filter(F.col("overlap") >= F.least(need(n, percent), need(F.col("least_n"), percent)))
         .join(groups, "group")
         .join(around.select(F.col("u").alias("group"), F.col("v").alias("class"), F.col("distance").alias("to_centre")), ["group", "class"], "left")
         .filter(F.col("to_centre").isNull() | (F.col("to_centre") <= F.col("radius") + reach))
     )
-    members = grouped.select("group", F.col("class").alias("member"), F.col("n").alias("member_n"), F.col("own").alias("member_own"), F.col("end").alias("member_end"), F.col("component").alias("member_component"), "distance")
+    members = grouped.select("group", F.col("class").alias("member"), F.col("n").alias("member_n"), F.col("own").alias("member_own"), F.col("end").alias("member_end"), F.col("part").alias("member_part"), "distance")
     known = F.when(F.col("class") == F.col("group"), F.lit(0.0)).otherwise(F.col("to_centre"))
     opened = (
-        qualifying.select("class", "n", "own", "end", "component", "group", known.alias("to_centre"))
+        qualifying.select("class", "n", "own", "end", "part", "group", known.alias("to_centre"))
         .join(members, "group")
         .filter(
-            (F.col("component") > F.col("member_component"))
+            (F.col("part") > F.col("member_part"))
             & may(n, own, end, F.col("member_n"), F.col("member_own"), F.col("member_end"))
             & (F.col("to_centre").isNull() | (F.abs(F.col("to_centre") - F.col("distance")) <= reach))
         )
         .select(F.col("class").alias("u"), F.col("member").alias("v"))
         .distinct()
     )
+    if count_links:  # pairs with a centre are known
+        opened = opened.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        opened = opened.join(around.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
     opened = written(opened, "opened")
-    discard(placed, grouped, matrix)
+    discard(placed, matrix)
     with batches_of(docs.sparkSession, PAIR_ROWS):
         late = written(_compared(opened, texts, k).filter(linked).select("u", "v"), "late")
-    discard(opened, texts)
+    discard(opened)
     links = around.filter("link").select("u", "v").unionByName(late)
-    if not late.isEmpty():
+    if count_links:
+        copies = classes.select("class", "copies")
+        members = grouped.filter(F.col("class") != F.col("group")).select("class", "group", "distance").join(copies, "class")
+        inner, certain = _block_links(members, texts, percent, k)
+        of = lambda side: members.select(F.col("class").alias(side), F.col("group").alias(f"group_{side}"))
+        single = links.join(of("u"), "u", "left").join(of("v"), "v", "left").filter("group_u is null or group_v is null or group_u <> group_v").select("u", "v")
+        single = single.unionByName(single.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        counted = single.join(copies.withColumnRenamed("class", "v"), "v").select(F.col("u").alias("class"), F.col("copies").alias("links"))
+        counted = written(counted.unionByName(inner.select("class", "links")).unionByName(certain).groupBy("class").agg(F.sum("links").alias("links")), "counted")
+        links = links.unionByName(inner.filter("class <> rep").select(F.col("class").alias("u"), F.col("rep").alias("v")))
+    discard(grouped, texts)
+    if count_links or not late.isEmpty():
         parts = components(links)
 
     # back to the documents: copies by their class
     named = classes.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min(F.struct("first_id", "key")).alias("least"))
-    degree = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy(F.col("u").alias("class")).agg(F.count(F.lit(1)).alias("n_links"))
-    named = named.join(least, "component").join(degree, "class", "left").select("class", F.col("least.first_id").alias("least_id"), F.col("least.key").alias("least_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    if count_links:
+        named = named.join(counted, "class", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+    n_links = ["n_links"] if count_links else []
+    named = named.join(least, "component").select("class", F.col("least.first_id").alias("least_id"), F.col("least.key").alias("least_key"), *n_links)
     component = F.when(F.col("n") > 0, F.when(F.col("least_id") < LAST, F.col("least_id"))).otherwise(F.col("doc_id"))
     return (
         rows.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
         .join(named, "class", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "key", "least_id", "least_key")
+        .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in n_links), "key", "least_id", "least_key")
     )
 
 
@@ -305,7 +389,7 @@ def one_each(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
 
     Only rows whose text may be a surplus one's are shuffled.
     """
-    found = alone(lambda: similar(docs, k=k, percent=percent).filter("n_shingles > 0").select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("key").alias("_key"), "least_id", "least_key"), "found")
+    found = alone(lambda: similar(docs, k=k, percent=percent, count_links=False).filter("n_shingles > 0").select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("key").alias("_key"), "least_id", "least_key"), "found")
     stays = (F.col("_id") == F.col("least_id")) & (F.col("_key") == F.col("least_key"))
     marks = found.groupBy("_id", "_key").agg(F.first(stays).alias("_stays"), F.count(F.lit(1)).alias("_times")).filter("not _stays or _times > 1").select("_id", "_stays", "_key")
     carried = Carried(docs)
