@@ -128,3 +128,20 @@ def test_models_of_the_secrets_stage(spark):
     frame = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in distinct], DOCS)
     for model, table in zip(secret_scan.train(frame), plain_models(distinct), strict=True):
         assert model == pytest.approx([table[b, c] for b in ["", *secret_scan.ALPHABET] for c in secret_scan.ALPHABET])
+
+
+def test_n_grams_are_counted_on_few_texts_without_the_codec(spark, monkeypatch):
+    from tidewell.llm import quality
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(rows), []
+    monkeypatch.setattr(quality, "alone", lambda make, name: (seen.append(int(spark.conf.get(rows))), make())[1])
+    monkeypatch.setattr(quality, "train", lambda counts: counts)
+    monkeypatch.setattr(quality, "stored", lambda counts: type("Model", (), {"folder": ""}))
+    quality.model_of(spark.createDataFrame([("some words", "en")], "text string, lang string"))
+    assert len(seen) == 1 and seen[0] <= 1024 and spark.conf.get(rows) == before
+    # Python workers outlive stages: what a codec kept goes before n-grams are held
+    codec = piece_codec.codec(MODEL)
+    assert piece_codec.codec(MODEL) is codec
+    quality.tk.forget()
+    assert piece_codec.codec(MODEL) is not codec

@@ -32,11 +32,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewell.llm import textkit as tk
+
 MARK = "▁"
 MEMO = 3 << 17
 INFINITE = float("inf")
 CACHED = 64
-_CODECS: dict[str, PieceCodec] = {}
 
 
 class PieceCodec:
@@ -175,10 +176,8 @@ class PieceCodec:
 
 
 def codec(model_file: str) -> PieceCodec:
-    """The codec of a model file, kept by the Python worker."""
-    if model_file not in _CODECS:
-        _CODECS[model_file] = PieceCodec(model_file)
-    return _CODECS[model_file]
+    """The codec of a model file, kept by the Python worker until tasks that need much memory run there."""
+    return tk.kept(f"pieces of {model_file}", lambda: PieceCodec(model_file))
 
 
 def _shipped(df: DataFrame, model_file: str) -> str:

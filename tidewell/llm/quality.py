@@ -40,14 +40,16 @@ from tidewell.llm import textkit as tk
 from tidewell.llm.bitfield import BITS as FIELD_BITS
 from tidewell.llm.bitfield import fitting, packed_bits, tested
 from tidewell.llm.hash_arrays import HashArrays, write_arrays
-from tidewell.llm.store import Carried, small
+from tidewell.llm.store import Carried, batches_of, small
 from tidewell.sources.shared import alone, discard, remove, tracked, written
 
 ORDER, BITS = 5, 12
 CLASSES = 1 << BITS
 PLAIN = 3072
 #: Distinct n-grams that a counting task holds before it passes them on.
-HELD = 3 << 19
+HELD = 1 << 20
+#: Texts in an Arrow batch of a counting task.
+TEXT_ROWS = 1024
 #: Distinct scores that all languages together lend to each language's deviation.
 FEW = 50
 #: Languages up to which their few numbers each are broadcast (counted first).
@@ -166,6 +168,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def counted(texts: Iterator[tuple[str, pa.Array]]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        tk.forget()
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, (key, count) in held.items():
@@ -343,7 +346,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
 def model_of(docs: DataFrame) -> HashArrays:
     """The stored model of a corpus."""
     with tracked() as made:
-        model = stored(train(alone(lambda: count_grams(docs), "grams")))
+        with batches_of(docs.sparkSession, TEXT_ROWS):
+            counts = alone(lambda: count_grams(docs), "grams")
+        model = stored(train(counts))
     remove(docs.sparkSession, *(path for path in made if path != model.folder))
     return model
 

@@ -8,7 +8,8 @@ ASCII byte, the work is done on UTF-8 bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ import pyarrow as pa
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POW: dict[str, np.ndarray] = {}
+_KEPT: dict[str, Any] = {}
 
 #: Bytes of text and rows that are handled at a time; they bound the arrays of a task.
 SLICE_BYTES, SLICE_ROWS = 1 << 19, 1 << 13
@@ -54,6 +56,19 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in the Python worker for its later tasks."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    """Lets go of what tasks of other stages kept: Python workers outlive stages."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, part) pieces of about ``most`` bytes, nulls as empty strings; a longer row is a piece of its own."""
     _, offsets = raw(column)
