@@ -561,3 +561,20 @@ def test_encode_documents(spark):
     assert piece_codec.encode(docs(spark, []), MODEL).collect() == []
     again = piece_codec.encode(encoded, MODEL)  # whose columns clash
     assert again.columns == encoded.columns and sorted(map(str, again.collect())) == sorted(map(str, encoded.collect()))
+
+
+def test_only_seeds_that_repeat_are_joined(spark):
+    from pyspark.sql import functions as F
+
+    from tidewell.llm.bitfield import field_of
+
+    rng = random.Random(67)
+    rows = [(i, prose(rng, 200, 10**6)) for i in range(24)]
+    frame = docs(spark, [*rows, (24, rows[3][1])]).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    seeds = passage_chains._seed_rows(frame, 8, 12, 39)
+    shared = seeds.groupBy("seed").count().filter("count > 1").select("seed")
+    kept = passage_chains._seed_rows(frame, 8, 12, 39, field_of(shared))
+    repeated = lambda df: sorted(map(str, df.join(shared, "seed", "left_semi").collect()))
+    assert repeated(kept) == repeated(seeds) and 4 * kept.count() < seeds.count()
+    marked = seeds.withColumn("open", F.col("doc_id") == 3)
+    assert {r.doc_id for r in passage_chains._maybe_open(marked, "seed").collect()} == {3, 24}

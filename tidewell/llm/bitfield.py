@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,9 +48,14 @@ def tested(field: np.ndarray, entry: np.ndarray) -> np.ndarray:
     return (field[entry >> 5] >> (entry & 31).astype(np.uint32)) & np.uint32(1) == 1
 
 
+def field_of(keys: DataFrame) -> Broadcast:
+    """The field of the last column of ``keys`` (long, not null)."""
+    return keys.sparkSession.sparkContext.broadcast(fitting(packed_bits(keys, F.pmod(F.col(keys.columns[-1]), F.lit(1 << BITS)), BITS)))
+
+
 def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Adds ``maybe``: false for rows of ``df`` whose ``key`` (long, not null) is surely not in the last column of ``keys``."""
-    field = df.sparkSession.sparkContext.broadcast(fitting(packed_bits(keys, F.pmod(F.col(keys.columns[-1]), F.lit(1 << BITS)), BITS)))
+    field = field_of(keys)
     place = df.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

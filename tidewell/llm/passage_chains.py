@@ -32,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm import textkit as tk
-from tidewell.llm.bitfield import packed_texts
+from tidewell.llm.bitfield import field_of, maybe_in, packed_texts, tested
 from tidewell.llm.store import small
 from tidewell.operators.salted import salted_join
 from tidewell.sources.shared import discard, remove, tracked, written
@@ -87,14 +88,20 @@ def stretch_hashes(words: tk.Words, place: np.ndarray, length: int) -> pa.Array:
     return pa.array(tk.mix((total[end] - total[place]) * down[place]).astype(np.int64), mask=~whole)
 
 
-def _seed_rows(docs: DataFrame, k: int, window: int, stretch: int) -> DataFrame:
-    """(seed, doc_id, text_hash, place, stretch), places counted in words; ``stretch`` names the words from there."""
+def _seed_rows(docs: DataFrame, k: int, window: int, stretch: int, field: Broadcast | None = None) -> DataFrame:
+    """(seed, doc_id, text_hash, place, stretch), places counted in words; ``stretch`` names the words from there.
+
+    With a ``field``, seeds that are surely not in it are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in tk.slices(batch.column("text")):
                 words = tk.Words(part, lower=True)
                 place, seed = minimizers(words, k, window)
+                if field is not None:
+                    keep = tested(field.value, seed.astype(np.int64))
+                    place, seed = place[keep], seed[keep]
                 row = words.row[place]
                 of = lambda c: batch.column(c).slice(at, len(part)).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int64)), of("doc_id"), of("text_hash"), pa.array((place - words.first[row]).astype(np.int32)), stretch_hashes(words, place, stretch)], names=["seed", "doc_id", "text_hash", "place", "stretch"])
@@ -295,7 +302,9 @@ def repeated_passages(docs: DataFrame, *, k: int = 8, window: int = 12, gap_cost
     seeds, stretch = _seed_rows(docs, k, window, least_words - window + 1), least_words - window + 1
     shared = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first.doc_id <> last").drop("last")
     shared = written(shared, "shared")
-    places = written(salted_join(seeds, shared.drop("n"), "seed", counts=shared), "places")
+    # most seeds are in one document only; the join decides
+    again = _seed_rows(docs, k, window, stretch, field_of(shared.select("seed")))
+    places = written(salted_join(again, shared.drop("n"), "seed", counts=shared), "places")
     anchors = places.filter("doc_id <> first.doc_id").select("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "place", F.col("first.place").alias("first_place"))
 
     def passages(anchors: DataFrame) -> DataFrame:
@@ -333,7 +342,9 @@ def _stretched(marked: DataFrame, stretch: int, k: int) -> DataFrame:
     Each gives anchors all along the stretch, as its words are equal.
     """
     here = F.struct(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("place").alias("first_place"))
-    repeated = marked.filter("stretch is not null").groupBy("stretch").agg(F.min(here).alias("near"), F.max("doc_id").alias("last"), F.max("open").alias("any_open"), F.count(F.lit(1)).alias("n"))
+    marked = marked.filter("stretch is not null")
+    marked = written(_maybe_open(marked, "stretch"), "maybe-open")
+    repeated = marked.groupBy("stretch").agg(F.min(here).alias("near"), F.max("doc_id").alias("last"), F.max("open").alias("any_open"), F.count(F.lit(1)).alias("n"))
     repeated = written(repeated.filter("any_open and near.first_id <> last").select("stretch", "near", "n"), "repeated-stretches")
     named = written(salted_join(marked, small(repeated.drop("n")), "stretch", counts=repeated).select("stretch", "doc_id", "text_hash", "place", "first", "open", "near"), "stretches")
     found = named.filter("open and near.first_id <> doc_id").select("doc_id", "text_hash", "place", "near.*").unionByName(_nearest(named.drop("near"), "stretch", repeated))
@@ -341,13 +352,18 @@ def _stretched(marked: DataFrame, stretch: int, k: int) -> DataFrame:
     return found.select("*", along.alias("on")).select("doc_id", "text_hash", (F.col("place") + F.col("on")).alias("place"), "first_id", "first_hash", (F.col("first_place") + F.col("on")).alias("first_place"))
 
 
+def _maybe_open(marked: DataFrame, key: str) -> DataFrame:
+    """The places whose ``key`` is at an open place as well, and a few more."""
+    return maybe_in(marked, key, marked.filter("open").select(key)).filter("maybe").drop("maybe")
+
+
 def _nearest(marked: DataFrame, key: str, counts: DataFrame) -> DataFrame:
     """Anchors of the open places to the nearest earlier document with the same ``key``.
 
     A key's places are sorted within blocks of ids, as it may be in very many documents;
     the last place before a block is carried into it, one row for each key and block.
     """
-    places = salted_join(marked, marked.filter("open").select(key).distinct(), key, counts=counts)
+    places = salted_join(_maybe_open(marked, key), marked.filter("open").select(key).distinct(), key, counts=counts)
     ends = marked.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     low, width = ends["low"] or 0, max(1, ((ends["high"] or 0) - (ends["low"] or 0)) // BLOCKS + 1)
     block = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("int")
