@@ -415,6 +415,39 @@ def test_passages_of_equal_ids(spark, flip):
     assert len({r.text_hash for r in found}) == 2 and len({r.first_hash for r in found}) == 1
 
 
+def test_places_carry_hashes_of_equal_ids_only(spark, monkeypatch):
+    """Places of an id with one text go without its hash, and chains get it back; texts are read in parts of any size."""
+    from pyspark.sql import functions as F
+
+    from tidewell.llm.bitfield import field_of
+
+    rng = random.Random(71)
+    passage = prose(rng, 70, 10**6)
+    frame = docs(spark, [(1, passage), (2, prose(rng, 30, 10**6) + " " + passage), (2, passage + " x"), (3, passage), (4, prose(rng, 60, 10**6))])
+    hashed = frame.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    true = {(r.doc_id, r.text_hash) for r in hashed.collect()}
+    seeds = passage_chains._seed_rows(hashed, 8, 12, 39, several=field_of(spark.createDataFrame([(2,)], "doc_id long")))
+    plain = passage_chains._seed_rows(hashed, 8, 12, 39)
+    assert {(r.doc_id, r.text_hash) for r in seeds.select("doc_id", "text_hash").distinct().collect()} == {(i, h if i == 2 else passage_chains.ONLY) for i, h in true}
+    assert sorted(map(str, seeds.drop("text_hash").collect())) == sorted(map(str, plain.drop("text_hash").collect()))
+    whole = passage_chains.repeated_passages(frame).collect()
+    assert {(r.doc_id, r.text_hash) for r in whole} == {(i, h) for i, h in true if i in (2, 3)}
+    assert {(r.first_id, r.first_hash) for r in whole} == {(i, h) for i, h in true if i == 1}
+    monkeypatch.setattr(passage_chains, "PACKED_BYTES", 100)
+    assert sorted(map(str, passage_chains.repeated_passages(frame).collect())) == sorted(map(str, whole))
+
+
+def test_minimizers_by_definition():
+    rng = random.Random(73)
+    for _ in range(300):
+        k, window = rng.choice([(8, 12), (3, 5), (2, 1), (1, 7)])
+        n = rng.choice([0, 1, k, k + 1, k + window, 60])
+        words = textkit.Words(pa.array([" ".join(rng.choice("abcdefgh") for _ in range(n))], pa.large_string()), lower=True)
+        rank = (passage_chains.minimizers(words, k, 1)[1][: max(0, n - k + 1)] >> np.uint64(1)).tolist()  # each place is kept
+        least = [i for i, r in enumerate(rank) if any(r == min(rank[j : j + window]) for j in range(max(0, i - window + 1), i + 1))]
+        assert passage_chains.minimizers(words, k, window)[0][: len(least)].tolist() == least
+
+
 def plain_equal(a, b):
     """Most equal words of an alignment of least edits, over all alignments."""
     table = {(0, 0): (0, 0)}

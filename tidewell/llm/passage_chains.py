@@ -60,13 +60,14 @@ def minimizers(words: tk.Words, k: int, window: int) -> tuple[np.ndarray, np.nda
         jump = min(step, window - step)
         shifted = np.append(least[jump:], np.full(min(jump, len(least)), np.uint64(2**64 - 1)))[: len(least)]
         least, step = np.minimum(least, shifted), step + jump
-    # a place is kept if it is the least of a window that ends at or before its row does
-    keep = np.zeros(n, dtype=bool)
-    for back in range(window):
-        here = np.arange(back, n)
-        keep[here] |= (rank[here] == least[here - back]) & (words.row[here] == words.row[here - back])
-    keep &= whole
-    at = np.flatnonzero(keep)
+    # a place is kept if it is the least of a window that begins in its row, so if it is the greatest of these least ones
+    step = 1
+    while step < window:
+        jump = min(step, window - step)
+        rest = max(0, n - jump)
+        passed = np.where(words.row[jump:n] == words.row[:rest], least[:rest], np.uint64(0))
+        least, step = np.append(least[:jump], np.maximum(least[jump:], passed)), step + jump
+    at = np.flatnonzero((rank == least) & whole)
     # how often the row had the seed before
     key = tk.mix(seed[at] ^ words.row[at].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     order = np.argsort(key, kind="stable")
@@ -88,10 +89,11 @@ def stretch_hashes(words: tk.Words, place: np.ndarray, length: int) -> pa.Array:
     return pa.array(tk.mix((total[end] - total[place]) * down[place]).astype(np.int64), mask=~whole)
 
 
-def _seed_rows(docs: DataFrame, k: int, window: int, stretch: int, field: Broadcast | None = None) -> DataFrame:
+def _seed_rows(docs: DataFrame, k: int, window: int, stretch: int, field: Broadcast | None = None, several: Broadcast | None = None) -> DataFrame:
     """(seed, doc_id, text_hash, place, stretch), places counted in words; ``stretch`` names the words from there.
 
-    With a ``field``, seeds that are surely not in it are left out.
+    With a ``field``, seeds that are surely not in it are left out.  ``several`` is a field of the
+    ids of more than one text; with it, ``text_hash`` is ``ONLY`` for ids that are surely not among them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +105,10 @@ def _seed_rows(docs: DataFrame, k: int, window: int, stretch: int, field: Broadc
                     keep = tested(field.value, seed.astype(np.int64))
                     place, seed = place[keep], seed[keep]
                 row = words.row[place]
-                of = lambda c: batch.column(c).slice(at, len(part)).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int64)), of("doc_id"), of("text_hash"), pa.array((place - words.first[row]).astype(np.int32)), stretch_hashes(words, place, stretch)], names=["seed", "doc_id", "text_hash", "place", "stretch"])
+                doc_id, text_hash = (batch.column(c).slice(at, len(part)).to_numpy() for c in ("doc_id", "text_hash"))
+                if several is not None:
+                    text_hash = np.where(tested(several.value, doc_id), text_hash, ONLY)
+                yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int64)), pa.array(doc_id[row]), pa.array(text_hash[row]), pa.array((place - words.first[row]).astype(np.int32)), stretch_hashes(words, place, stretch)], names=["seed", "doc_id", "text_hash", "place", "stretch"])
 
     return docs.mapInArrow(run, "seed long, doc_id long, text_hash long, place int, stretch long")
 
@@ -157,6 +161,8 @@ def best_chains(x: np.ndarray, y: np.ndarray, k: int, gap_cost: float, most_gap:
 
 #: Blocks of ids within which the places of a seed are sorted.
 BLOCKS = 64
+#: In place of the hash of a text where its id has no other text: rows of places needn't carry it.
+ONLY = 0
 PAIR = ["doc_id", "text_hash", "first_id", "first_hash"]
 
 
@@ -187,10 +193,10 @@ def _chains(anchors: DataFrame, k: int, gap_cost: float, most_gap: int, least: i
         fresh = np.append(True, (pair[1:] != pair[:-1]).any(axis=1) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
         pair, x, y = pair[fresh], x[fresh], y[fresh]
         edge = np.flatnonzero((pair[1:] != pair[:-1]).any(axis=1)) + 1
+        begin, end = np.append(0, edge), np.append(edge, len(x))
+        long = k + x[end - 1] - x[begin] >= least  # places rise within a pair
         pairs, xs, ys = [], [], []
-        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(x)], strict=True):
-            if k + x[a:b].max() - x[a:b].min() < least:
-                continue
+        for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True):
             for chain in best_chains(x[a:b], y[a:b], k, gap_cost, most_gap, least):
                 pairs.append(pair[a])
                 xs.append(x[a:b][chain])
@@ -259,6 +265,8 @@ def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int)
 
 
 PLACES = ["start_word", "end_word", "first_start", "first_end"]
+#: Bytes of packed texts that are read at a time.
+PACKED_BYTES = 1 << 20
 
 
 def _aligned(chains: DataFrame, texts: DataFrame, k: int, least_words: int, least_identity: float) -> DataFrame:
@@ -266,26 +274,28 @@ def _aligned(chains: DataFrame, texts: DataFrame, k: int, least_words: int, leas
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        kept: dict[int, np.ndarray] = {}
 
-        def tokens(text_hash: int, blob: bytes) -> np.ndarray:
-            if text_hash not in kept:
-                if len(kept) >= 16:
-                    kept.clear()
-                kept[text_hash] = tk.Words(pa.array([unpack(blob).decode()], pa.large_string()), lower=True).hash
-            return kept[text_hash]
+        def tokens(part: pa.RecordBatch) -> dict[int, np.ndarray]:
+            """The word hashes of each text of some rows, read many texts at a time."""
+            blobs = {h: blob for name, own in (("text_hash", "blob"), ("first_hash", "first_blob")) for h, blob in zip(part.column(name).to_pylist(), part.column(own), strict=True)}
+            found: list[np.ndarray] = []
+            for _, texts in tk.slices(pa.array([unpack(blob.as_py()).decode() for blob in blobs.values()], pa.large_string())):
+                words = tk.Words(texts, lower=True)
+                found += np.split(words.hash, words.first[1:-1])
+            return dict(zip(blobs, found, strict=True))
 
         for batch in batches:
-            columns = [batch.column(c) for c in (*PAIR, "xs", "ys", "blob", "first_blob")]
             out: list[tuple] = []
-            for r in range(batch.num_rows):
-                *pair, xs, ys, blob, first_blob = (c[r] for c in columns)
-                pair = [p.as_py() for p in pair]
-                a, b = tokens(pair[1], blob.as_py()), tokens(pair[3], first_blob.as_py())
-                start, end, other, other_end, equal = align(a, b, xs.values.to_numpy(), ys.values.to_numpy(), k)
-                length = max(end - start, other_end - other)
-                if end - start >= least_words and equal >= least_identity * length:
-                    out.append((*pair, start, end, other, other_end, equal, equal / length))
+            size = np.cumsum([len(a.as_buffer()) + len(b.as_buffer()) for a, b in zip(batch.column("blob"), batch.column("first_blob"), strict=True)])
+            cuts = (np.flatnonzero(np.diff(size // PACKED_BYTES)) + 1).tolist()
+            for begin, end_row in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                part = batch.slice(begin, end_row - begin)
+                text = tokens(part)
+                for *pair, xs, ys in zip(*(part.column(c).to_pylist() for c in PAIR), part.column("xs"), part.column("ys"), strict=True):
+                    start, end, other, other_end, equal = align(text[pair[1]], text[pair[3]], xs.values.to_numpy(), ys.values.to_numpy(), k)
+                    length = max(end - start, other_end - other)
+                    if end - start >= least_words and equal >= least_identity * length:
+                        out.append((*pair, start, end, other, other_end, equal, equal / length))
             kinds = [pa.int64()] * 9 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 10, kinds, strict=True)], names=[*PAIR, *PLACES, "n_equal", "identity"])
 
@@ -299,17 +309,19 @@ def repeated_passages(docs: DataFrame, *, k: int = 8, window: int = 12, gap_cost
     [start_word, end_word), first_id and the place there, equal words and their part, and the
     hashes of the two texts."""
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    seeds, stretch = _seed_rows(docs, k, window, least_words - window + 1), least_words - window + 1
+    names = written(docs.groupBy("doc_id").agg(F.min("text_hash").alias("only"), F.max("text_hash").alias("last")), "names")
+    several, stretch = field_of(names.filter("only <> last").select("doc_id")), least_words - window + 1
+    seeds = _seed_rows(docs, k, window, stretch, several=several)
     shared = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first.doc_id <> last").drop("last")
     shared = written(shared, "shared")
     # most seeds are in one document only; the join decides
-    again = _seed_rows(docs, k, window, stretch, field_of(shared.select("seed")))
+    again = _seed_rows(docs, k, window, stretch, field_of(shared.select("seed")), several)
     places = written(salted_join(again, shared.drop("n"), "seed", counts=shared), "places")
     anchors = places.filter("doc_id <> first.doc_id").select("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "place", F.col("first.place").alias("first_place"))
 
     def passages(anchors: DataFrame) -> DataFrame:
         # a chain may be half as long as a passage, as its ends are extended
-        chains = written(_chains(anchors, k, gap_cost, most_gap, max(k, least_words // 2 - k)), "chains")
+        chains = written(_named(_chains(anchors, k, gap_cost, most_gap, max(k, least_words // 2 - k)), names), "chains")
         hashes = chains.select("text_hash").unionByName(chains.select(F.col("first_hash").alias("text_hash"))).distinct()
         texts = written(packed_texts(docs, "text_hash", hashes), "texts")
         found = _aligned(chains, texts, k, least_words, least_identity)
@@ -324,16 +336,29 @@ def repeated_passages(docs: DataFrame, *, k: int = 8, window: int = 12, gap_cost
     with tracked() as made:
         anchors = _nearest(marked, "seed", shared).unionByName(_stretched(marked, stretch, k))
     more = passages(anchors)
-    discard(marked, shared)
+    discard(marked, shared, names)
     remove(docs.sparkSession, *made)
     return found.unionByName(more)
 
 
+def _named(chains: DataFrame, names: DataFrame) -> DataFrame:
+    """The chains with the hashes of their texts in place of ``ONLY``."""
+    for doc_id, text_hash in (("doc_id", "text_hash"), ("first_id", "first_hash")):
+        own = names.select(F.col("doc_id").alias("_id"), "only")
+        chains = chains.join(own, F.col(doc_id) == F.col("_id")).withColumn(text_hash, F.when(F.col(text_hash) == ONLY, F.col("only")).otherwise(F.col(text_hash))).drop("_id", "only")
+    return chains
+
+
 def _marked(places: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """Adds ``open`` to the places of seeds: whether they are in no passage found."""
-    spans = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    """The places of seeds with the document of the first one, and with ``open``: whether they are in no passage found.
+
+    First places are never open, so only the others are compared with passages.
+    """
+    spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     covered = F.exists("spans", lambda s: (s["start_word"] <= F.col("place")) & (F.col("place") + k <= s["end_word"]))
-    return places.join(spans, ["doc_id", "text_hash"], "left").withColumn("open", (F.col("doc_id") != F.col("first.doc_id")) & ~F.coalesce(covered, F.lit(False))).drop("spans")
+    places = places.select("seed", "doc_id", "text_hash", "place", "stretch", F.col("first.doc_id").alias("first_doc"))
+    others = places.filter("doc_id <> first_doc").join(spans, (F.col("doc_id") == F.col("_id")) & F.col("text_hash").isin(ONLY, F.col("_hash")), "left")
+    return others.withColumn("open", ~F.coalesce(covered, F.lit(False))).drop("_id", "_hash", "spans").unionByName(places.filter("doc_id = first_doc").withColumn("open", F.lit(False)))
 
 
 def _stretched(marked: DataFrame, stretch: int, k: int) -> DataFrame:
@@ -346,7 +371,7 @@ def _stretched(marked: DataFrame, stretch: int, k: int) -> DataFrame:
     marked = written(_maybe_open(marked, "stretch"), "maybe-open")
     repeated = marked.groupBy("stretch").agg(F.min(here).alias("near"), F.max("doc_id").alias("last"), F.max("open").alias("any_open"), F.count(F.lit(1)).alias("n"))
     repeated = written(repeated.filter("any_open and near.first_id <> last").select("stretch", "near", "n"), "repeated-stretches")
-    named = written(salted_join(marked, small(repeated.drop("n")), "stretch", counts=repeated).select("stretch", "doc_id", "text_hash", "place", "first", "open", "near"), "stretches")
+    named = written(salted_join(marked, small(repeated.drop("n")), "stretch", counts=repeated).select("stretch", "doc_id", "text_hash", "place", "first_doc", "open", "near"), "stretches")
     found = named.filter("open and near.first_id <> doc_id").select("doc_id", "text_hash", "place", "near.*").unionByName(_nearest(named.drop("near"), "stretch", repeated))
     along = F.explode(F.sequence(F.lit(0), F.lit(stretch - k), F.lit(k)))
     return found.select("*", along.alias("on")).select("doc_id", "text_hash", (F.col("place") + F.col("on")).alias("place"), "first_id", "first_hash", (F.col("first_place") + F.col("on")).alias("first_place"))
@@ -363,7 +388,7 @@ def _nearest(marked: DataFrame, key: str, counts: DataFrame) -> DataFrame:
     A key's places are sorted within blocks of ids, as it may be in very many documents;
     the last place before a block is carried into it, one row for each key and block.
     """
-    places = salted_join(_maybe_open(marked, key), marked.filter("open").select(key).distinct(), key, counts=counts)
+    places = written(salted_join(_maybe_open(marked, key), marked.filter("open").select(key).distinct(), key, counts=counts), "open-places")
     ends = marked.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     low, width = ends["low"] or 0, max(1, ((ends["high"] or 0) - (ends["low"] or 0)) // BLOCKS + 1)
     block = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("int")
@@ -373,4 +398,4 @@ def _nearest(marked: DataFrame, key: str, counts: DataFrame) -> DataFrame:
     carried = carried.select(key, "block", F.lag("last_one").over(Window.partitionBy(key).orderBy("block")).alias("carried"))
     before = F.lag(here).over(Window.partitionBy(key, "block").orderBy("doc_id", "text_hash", "place"))
     ranked = blocked.withColumn("near", before).filter("open").join(carried, [key, "block"]).withColumn("near", F.coalesce("near", "carried"))
-    return ranked.filter("near is not null and near.first_id <> doc_id and near.first_id <> first.doc_id").select("doc_id", "text_hash", "place", "near.*")
+    return ranked.filter("near is not null and near.first_id <> doc_id and near.first_id <> first_doc").select("doc_id", "text_hash", "place", "near.*")
